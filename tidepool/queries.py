@@ -1,0 +1,18 @@
+"""Registry of the engine's own queries and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, positioned files and median position of each day."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("files"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
