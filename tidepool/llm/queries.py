@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_prefix
+from . import bpe_prefix, simhash_vp
 from .common import table
 
 
@@ -15,8 +16,14 @@ def op6_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_prefix": op6_bpe_prefix,
+    "op8_simhash_vp": op8_simhash_vp,
 }
 
 ORACLE_SQL: dict[str, str] = {}
