@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_prefix, simhash_vp
+from . import best_fit, bpe_prefix, simhash_vp
 from .common import table
 
 
@@ -21,9 +21,14 @@ def op8_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_prefix": op6_bpe_prefix,
     "op8_simhash_vp": op8_simhash_vp,
+    "op9_best_fit": op9_best_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {}
