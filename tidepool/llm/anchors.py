@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,8 +259,8 @@ def answer_contexts(table: pa.Table, frame: Frame, limit: int) -> pa.Table:
 
 def apply_answers(table: pa.Table, answers: pa.Table, frame: Frame, shards: int) -> pa.Table:
     table = sorted_chunk(table)
-    first_round = answers.filter(pa.compute.is_valid(answers.column("shared")))
-    second = answers.filter(pa.compute.is_null(answers.column("shared")))
+    first_round = answers.filter(pc.is_valid(answers.column("shared")))
+    second = answers.filter(pc.is_null(answers.column("shared")))
     found = Contexts(table, first_round, frame, shards)
     chunk = found.chunk
     bits = np.zeros(len(found.keys), U)

@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_prefix, simhash_vp
+from . import best_fit, bpe_prefix, simhash_vp, substring_automaton, suffix_repeats
 from .common import table
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.repeat_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_automaton.window_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -26,6 +34,8 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_repeats": op3_suffix_repeats,
+    "op5_substring_automaton": op5_substring_automaton,
     "op6_bpe_prefix": op6_bpe_prefix,
     "op8_simhash_vp": op8_simhash_vp,
     "op9_best_fit": op9_best_fit,
