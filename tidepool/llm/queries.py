@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_prefix, pivot_topk, simhash_vp, substring_automaton, suffix_repeats
+from . import best_fit, bpe_prefix, pivot_topk, quality_mcd, simhash_vp, substring_automaton, suffix_repeats
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk.top_k(vectors, vectors.where("id % 100 = 0"), 10)
 
 
+def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mcd.verdicts(table(spark, sf_dir, "documents")).drop("distance")
+
+
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_topk": op1_pivot_topk,
+    "op2_quality_mcd": op2_quality_mcd,
     "op3_suffix_repeats": op3_suffix_repeats,
     "op5_substring_automaton": op5_substring_automaton,
     "op6_bpe_prefix": op6_bpe_prefix,
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_mcd": quality_mcd.oracle_sql(),
     "op1_pivot_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
