@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_prefix, pivot_topk, quality_mcd, simhash_vp, substring_automaton, suffix_repeats
+from . import best_fit, bpe_prefix, pivot_topk, quality_mcd, simhash_vp, substring_automaton, suffix_repeats, toxicity_weak
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_toxicity_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_weak.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_topk": op1_pivot_topk,
     "op2_quality_mcd": op2_quality_mcd,
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_prefix": op6_bpe_prefix,
     "op8_simhash_vp": op8_simhash_vp,
     "op9_best_fit": op9_best_fit,
+    "op10_toxicity_weak": op10_toxicity_weak,
 }
 
 ORACLE_SQL: dict[str, str] = {
