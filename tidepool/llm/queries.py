@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_prefix, pivot_topk, quality_mcd, simhash_vp, substring_automaton, suffix_repeats, toxicity_weak
+from . import best_fit, bpe_prefix, license_scan, pivot_topk, quality_mcd, separator_scan, simhash_vp, substring_automaton, suffix_repeats, toxicity_weak
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.document_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+
+
 def op5_substring_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_automaton.window_digests(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.default_templates(spark))
+
+
 def op8_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,8 +58,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_topk": op1_pivot_topk,
     "op2_quality_mcd": op2_quality_mcd,
     "op3_suffix_repeats": op3_suffix_repeats,
+    "op4_separator_scan": op4_separator_scan,
     "op5_substring_automaton": op5_substring_automaton,
     "op6_bpe_prefix": op6_bpe_prefix,
+    "op7_license_scan": op7_license_scan,
     "op8_simhash_vp": op8_simhash_vp,
     "op9_best_fit": op9_best_fit,
     "op10_toxicity_weak": op10_toxicity_weak,
@@ -59,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_mcd": quality_mcd.oracle_sql(),
+    "op7_license_scan": license_scan.oracle_sql(),
     "op1_pivot_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
