@@ -56,7 +56,8 @@ def shingles(w: Column) -> Column:
 
 def bands(s: Column) -> Column:
     """One minimum of seeded hashes a band, over an array of shingles (a bound value)."""
-    return F.array(*[F.array_min(F.transform(s, lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(BANDS)])
+    least = lambda k: F.array_min(F.transform(s, lambda x: F.xxhash64(x, F.lit(k))))
+    return F.array(*[least(k) for k in range(BANDS)])
 
 
 def windows(w: Column, size: int) -> Column:
@@ -88,7 +89,8 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id long, license string, n_windows long, best_containment double")
     has = let(words(F.col("text")), lambda w: let(shingles(w), lambda s: F.exists(s, lambda x: F.xxhash64(x).isin(seen))))
     near = docs.where(has).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    sized = [near.select("row", "doc_id", F.lit(n).alias("size"), F.explode(let(F.col("w"), lambda w, n=n: windows(w, n))).alias("window")) for n in SIZES]
+    cut = lambda n: let(F.col("w"), lambda w: windows(w, n))
+    sized = [near.select("row", "doc_id", F.lit(n).alias("size"), F.explode(cut(n)).alias("window")) for n in SIZES]
     rows = sized[0]
     for other in sized[1:]:
         rows = rows.unionByName(other)
