@@ -178,9 +178,19 @@ def cut(text: str) -> list[str]:
     return text.replace("\n", " \n").split(" ")
 
 
+_UNITS: dict[str, tuple[Units, Units]] = {}
+
+
+def worker_units(path: str) -> tuple[Units, Units]:
+    """This worker's caches; later tasks of the worker find their entries again."""
+    if path not in _UNITS:
+        encoder = PrefixEncoder(path)
+        _UNITS[path] = Units(encoder, ""), Units(encoder, " ")
+    return _UNITS[path]
+
+
 def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encoder = PrefixEncoder(path)
-    first, later = Units(encoder, ""), Units(encoder, " ")
+    first, later = worker_units(path)
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
