@@ -13,7 +13,7 @@ the anchor's context, the units within reach of a run that holds the anchor.
    document with a smaller doc_id.
 3. The chunk turns the answers into removed runs.
 
-Chunks and shards are as many as the session's shuffle partitions. A passage that
+Shards are as many as the session's shuffle partitions, chunks three times as many. A passage that
 any number of documents share sends one row of each chunk, so no hot passage,
 source or group of copies gathers in one place. Every stage follows from the
 input alone and can run again after a lost executor.
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ U = np.uint64
 STEP = 1 << 16
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
+#: Chunks for each shuffle partition: a task holds one chunk's text and contexts.
+CHUNKS = 3
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -79,21 +82,25 @@ class Chunk:
     gram: int
     span: int
 
+    def whole(self, lo: int, hi: int) -> np.ndarray:
+        """Whether the run that starts at each unit from lo to hi lies in one document."""
+        a, b = np.searchsorted(self.bounds[1:], (lo, hi + self.span), side="right")
+        ends = self.bounds[1 + a : 1 + b]
+        change = np.zeros(hi - lo + 1, np.int32)
+        np.add.at(change, np.clip(np.maximum(self.bounds[a:b], ends - self.span + 1) - lo, 0, hi - lo), 1)
+        np.add.at(change, np.clip(ends - lo, 0, hi - lo), -1)
+        return np.cumsum(change[:-1]) == 0
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, position, document) of each anchor, by position."""
         n, grams = len(self.values), self.span - self.gram + 1
         if n < self.span:
             return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        crossing = np.zeros(n + 1, np.int32)
-        ends = self.bounds[1:]
-        np.add.at(crossing, np.maximum(self.bounds[:-1], ends - self.span + 1), 1)
-        np.add.at(crossing, ends, -1)
-        whole = np.cumsum(crossing[:-1]) == 0
         hashes, places = [], []
         for lo in range(0, n - self.span + 1, STEP):
             hi = min(lo + STEP, n - self.span + 1)
             h = gram_hashes(self.values[lo : hi + self.span - 1].astype(U) + U(1), self.gram)
-            least = np.where(whole[lo:hi], sliding(h, grams, np.minimum), U(0))
+            least = np.where(self.whole(lo, hi), sliding(h, grams, np.minimum), U(0))
             edge = np.zeros(grams - 1, U)
             at = np.flatnonzero(sliding(np.concatenate((edge, least, edge)), grams, np.maximum) == h)
             hashes.append(h[at])
@@ -148,7 +155,8 @@ def by_shard(h: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
 
 
 def sorted_chunk(table: pa.Table) -> pa.Table:
-    return table.sort_by([("doc_id", "ascending")])
+    """By doc_id, and by text among rows of one doc_id: each stage sees one order."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 def doc_ids(table: pa.Table) -> np.ndarray:
@@ -159,6 +167,25 @@ def rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
     return pa.table({k: pa.array(v, t) for k, (v, t) in columns.items()})
 
 
+def short(h: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash. Anchors that these confuse within a shard
+    count as shared, which costs a context and changes no result."""
+    return (h >> U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def long(raw: bytes) -> np.ndarray:
+    part = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return np.concatenate((part, np.zeros((len(part), 3), np.uint8)), axis=1).view("<u8")[:, 0].astype(U)
+
+
+def packed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpacked(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def send_anchors(table: pa.Table, frame: Frame, shards: int) -> pa.Table:
     table = sorted_chunk(table)
     chunk, _ = frame.load(table)
@@ -169,13 +196,13 @@ def send_anchors(table: pa.Table, frame: Frame, shards: int) -> pa.Table:
     return rows({
         "shard": ([s for s, _ in parts], pa.int32()),
         "ck": ([ck] * len(parts), pa.int32()),
-        "hashes": ([known[p].tobytes() for _, p in parts], pa.binary()),
+        "hashes": ([short(known[p]) for _, p in parts], pa.binary()),
         "several": ([np.packbits(several[p]).tobytes() for _, p in parts], pa.binary()),
     })
 
 
 def answer_anchors(table: pa.Table) -> pa.Table:
-    hashes = [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
+    hashes = [long(x) for x in table.column("hashes").to_pylist()]
     several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(table.column("several").to_pylist(), hashes)]
     all_hashes = np.concatenate(hashes)
     ranked, number, count = np.unique(all_hashes, return_inverse=True, return_counts=True)
@@ -220,10 +247,10 @@ def send_contexts(table: pa.Table, answers: pa.Table, frame: Frame, shards: int)
     return rows({
         "shard": ([s for s, _ in found.parts], pa.int32()),
         "ck": ([ck] * len(found.parts), pa.int32()),
-        "hashes": ([found.hashes[p].tobytes() for _, p in found.parts], pa.binary()),
-        "owners": ([found.owner[p].tobytes() for _, p in found.parts], pa.binary()),
-        "sizes": ([np.array([len(found.keys[i]) for i in p], np.int32).tobytes() for _, p in found.parts], pa.binary()),
-        "keys": ([b"".join([found.keys[i] for i in p]) for _, p in found.parts], pa.binary()),
+        "hashes": ([(found.hashes[p] >> U(32)).astype(np.uint32).tobytes() for _, p in found.parts], pa.binary()),
+        "owners": ([packed(found.owner[p].tobytes()) for _, p in found.parts], pa.binary()),
+        "sizes": ([packed(np.array([len(found.keys[i]) for i in p], np.int32).tobytes()) for _, p in found.parts], pa.binary()),
+        "keys": ([packed(b"".join([found.keys[i] for i in p])) for _, p in found.parts], pa.binary()),
     })
 
 
@@ -232,10 +259,11 @@ def answer_contexts(table: pa.Table, frame: Frame, limit: int) -> pa.Table:
     unique: dict[bytes, int] = {}
     numbers, owners, hashes = [], [], []
     for keys, sizes, owner, h in zip(*(table.column(c).to_pylist() for c in ("keys", "sizes", "owners", "hashes"))):
-        ends = np.cumsum(np.frombuffer(sizes, np.int32).astype(np.int64)).tolist()
+        keys = unpacked(keys)
+        ends = np.cumsum(np.frombuffer(unpacked(sizes), np.int32).astype(np.int64)).tolist()
         numbers.append(np.array([unique.setdefault(keys[a:b], len(unique)) for a, b in zip([0, *ends[:-1]], ends)], np.int64))
-        owners.append(np.frombuffer(owner, np.int64))
-        hashes.append(np.frombuffer(h, U))
+        owners.append(np.frombuffer(unpacked(owner), np.int64))
+        hashes.append(np.frombuffer(h, np.uint32).astype(U))
     number, owner = np.concatenate(numbers), np.concatenate(owners)
     least = np.full(len(unique), LAST_ID)
     np.minimum.at(least, number, owner)
@@ -268,19 +296,19 @@ def apply_answers(table: pa.Table, answers: pa.Table, frame: Frame, shards: int)
     for shard, part in found.parts:
         bits[part] = np.frombuffer(answer[shard], U)
     own = np.where(chunk.ids[found.doc] > found.owner[found.number], ~U(0), bits[found.number]) if len(found.doc) else np.zeros(0, U)
-    change = np.zeros(len(chunk.values) + 1, np.int32)
+    change = np.zeros(len(chunk.values) + 1, np.int16)  # no unit lies in more than span * span runs
     room = found.last - found.first - chunk.span
     for s in range(chunk.span - chunk.gram + 1):
         starts = found.first[(own >> U(s) & U(1)).astype(bool) & (room >= s)] + s
         np.add.at(change, starts, 1)
         np.add.at(change, starts + chunk.span, -1)
-    return frame.report(table, chunk, found.source, np.cumsum(change[:-1]) > 0)
+    return frame.report(table, chunk, found.source, np.cumsum(change[:-1], dtype=np.int16) > 0)
 
 
 def remove_repeats(docs: DataFrame, frame: Frame, limit: int) -> DataFrame:
     """The operator's report of each document. limit: contexts solved at once."""
     shards = parallelism(docs.sparkSession)
-    chunks = docs.withColumn("ck", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).groupBy("ck")
+    chunks = docs.withColumn("ck", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS * shards)).cast("int")).groupBy("ck")
     anchors = chunks.applyInArrow(lambda t: send_anchors(t, frame, shards), "shard int, ck int, hashes binary, several binary")
     shared = anchors.groupBy("shard").applyInArrow(answer_anchors, "ck int, shard int, shared binary")
     contexts = chunks.cogroup(shared.groupBy("ck")).applyInArrow(

@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ SPAN = 50
 #: Bytes an anchor covers.
 GRAM = 16
 #: Contexts whose suffixes are sorted at once.
-LIMIT = 1 << 14
+LIMIT = 1 << 15
 
 
 def load(table: pa.Table) -> tuple[Chunk, bytes]:
@@ -43,72 +44,92 @@ def context(source: bytes, first: np.ndarray, last: np.ndarray):
 
 def ranks(keys: np.ndarray) -> np.ndarray:
     """Dense ranks in order."""
-    return np.unique(keys, return_inverse=True)[1].reshape(keys.shape).astype(U)
+    return np.unique(keys, return_inverse=True)[1].astype(np.uint32)
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.astype(U) << U(32) | right.astype(U)
 
 
 def earlier_matches(contexts: list[bytes], owner: np.ndarray) -> np.ndarray:
     """Bit s of each: its 50 bytes from s on also occur in a context of a smaller owner.
 
-    The first byte of a context tells how many bytes lie before its anchor.
+    The first byte of a context tells how many bytes lie before its anchor. Contexts
+    are laid out with their anchors in one column: equal runs hold their anchor at the
+    same place, so suffixes need an order only among those of the same column.
     """
-    width, n = 2 * SPAN - GRAM, len(contexts)
+    most = SPAN - GRAM
+    width, n = most + SPAN, len(contexts)
     size = np.fromiter(map(len, contexts), np.int64, n) - 1
-    text = np.zeros((n, width), np.uint8)
-    text[np.arange(width) < size[:, None]] = np.frombuffer(b"".join([c[1:] for c in contexts]), np.uint8)
-    order2 = text[:, :-1].astype(np.uint16) << 8 | text[:, 1:]
-    order4 = order2[:, :-2].astype(np.uint32) << 16 | order2[:, 2:]
-    prefix = ranks(order4[:, :-4].astype(U) << U(32) | order4[:, 4:])  # by 8 bytes
-    prefix = ranks(prefix[:, :-8] << U(32) | prefix[:, 8:])  # by 16
-    prefix = ranks(prefix[:, :-16] << U(32) | prefix[:, 16:])  # by 32
-    rest = SPAN - 32
-    starts = SPAN - GRAM + 1
-    suffix = prefix[:, :starts] << U(32) | prefix[:, rest : rest + starts]  # by 50
-    real = np.arange(starts) <= (size - SPAN)[:, None]
-    row, at = np.nonzero(real)
-    key, doc = suffix[row, at], owner[row]
-    array = np.lexsort((doc, key))
-    new = np.concatenate(([True], key[array][1:] != key[array][:-1])) if len(array) else np.zeros(0, bool)
-    first = np.maximum.accumulate(np.where(new, np.arange(len(array)), 0))
-    matched = array[doc[array][first] < doc[array]]
+    left = np.fromiter((c[0] for c in contexts), np.int64, n)
+    begin = most - left
+    text = np.zeros((width, n), np.uint8)
+    column = np.arange(width)[None, :]
+    real = (column >= begin[:, None]) & (column < (begin + size)[:, None])
+    text.T[real] = np.frombuffer(b"".join([c[1:] for c in contexts]), np.uint8)
+
+    def eight(c: int) -> np.ndarray:
+        key = np.zeros(n, U)
+        for k in range(8):
+            key = key << U(8) | text[c + k]
+        return key
+
+    by8 = [ranks(eight(c)) for c in range(width - 7)]
+    by16 = [ranks(joined(by8[c], by8[c + 8])) for c in range(width - 15)]
+    by32 = [ranks(joined(by16[c], by16[c + 16])) for c in range(width - 31)]
     bits = np.zeros(n, U)
-    np.bitwise_or.at(bits, row[matched], U(1) << at[matched].astype(U))
+    for c in range(most + 1):
+        whole = np.flatnonzero((begin <= c) & (c + SPAN <= begin + size))
+        if not len(whole):
+            continue
+        key, doc = joined(by32[c], by32[c + SPAN - 32])[whole], owner[whole]
+        array = np.lexsort((doc, key))
+        new = np.concatenate(([True], key[array][1:] != key[array][:-1]))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(array)), 0))
+        matched = whole[array[doc[array][first] < doc[array]]]
+        bits[matched] |= U(1) << (c - begin[matched]).astype(U)
     return bits
 
 
-def spans_of(removed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Maximal removed runs of each document."""
-    begins = removed.copy()
-    begins[1:] &= ~removed[:-1]
-    inner = bounds[:-1][bounds[:-1] < bounds[1:]]
-    begins[inner] = removed[inner]
-    total = np.concatenate(([0], np.cumsum(begins)))
-    return total[bounds[1:]] - total[bounds[:-1]]
-
-
-def kept_bytes(data: np.ndarray, removed: np.ndarray, bounds: np.ndarray):
-    gone = np.concatenate(([0], np.cumsum(removed)))
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        yield (data[a:b] if gone[a] == gone[b] else data[a:b][~removed[a:b]]).tobytes()
-
-
 def digest(table: pa.Table, chunk: Chunk, source: bytes, removed: np.ndarray) -> pa.Table:
-    gone = np.concatenate(([0], np.cumsum(removed)))
+    gone, spans, shas = [], [], []
+    for a, b in zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist()):
+        own, out = chunk.values[a:b], removed[a:b]
+        n = int(np.count_nonzero(out))
+        gone.append(n)
+        spans.append(int(np.count_nonzero(out[1:] & ~out[:-1])) + int(out[0]) if n else 0)
+        shas.append(hashlib.sha256(own[~out] if n else own).hexdigest())
     return pa.table({
         "doc_id": table.column("doc_id"),
         "n_bytes": np.diff(chunk.bounds),
-        "n_removed": np.diff(gone[chunk.bounds]),
-        "n_spans": spans_of(removed, chunk.bounds).astype(np.int64),
-        "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept_bytes(chunk.values, removed, chunk.bounds)], pa.string()),
+        "n_removed": pa.array(gone, pa.int64()),
+        "n_spans": pa.array(spans, pa.int64()),
+        "kept_sha256": pa.array(shas, pa.string()),
     })
 
 
-def texts(table: pa.Table, chunk: Chunk, source: bytes, removed: np.ndarray) -> pa.Table:
-    """Remaining text. A run may end inside a character that both texts begin with;
-    what is left of such a character is dropped."""
-    left = [x.decode("utf-8", "ignore") for x in kept_bytes(chunk.values, removed, chunk.bounds)]
-    return pa.table({"row": table.column("row"), "kept": pa.array(left, pa.string()), "n_removed": np.diff(np.concatenate(([0], np.cumsum(removed)))[chunk.bounds])})
-
-
 def repeat_digests(docs: DataFrame) -> DataFrame:
     frame = Frame(load, context, earlier_matches, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return remove_repeats(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), frame, LIMIT)
+
+
+def remaining(table: pa.Table, chunk: Chunk, source: bytes, removed: np.ndarray) -> pa.Table:
+    """The rest of each row with the text that is left. A run may end inside a
+    character; what is left of such a character goes too."""
+    left = []
+    for i, (a, b) in enumerate(zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist())):
+        out = removed[a:b]
+        left.append(chunk.values[a:b][~out].tobytes().decode("utf-8", "ignore") if out.any() else None)
+    changed = pa.array([x is not None for x in left])
+    text = pc.if_else(changed, pa.array(left, pa.string()), table.column("text").combine_chunks())
+    return pa.table({"doc": table.column("doc"), "text": text})
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeated bytes removed from text, n_chars (if there) counted anew,
+    and all other columns as they were. Null text stays null."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"))
+    frame = Frame(load, context, earlier_matches, remaining, rows.select("doc", "text").schema)
+    found = remove_repeats(rows, frame, LIMIT)
+    columns = {"text": F.col("text"), "n_chars": F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return found.select(*[columns.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
