@@ -13,7 +13,7 @@ the anchor's context, the units within reach of a run that holds the anchor.
    document with a smaller doc_id.
 3. The chunk turns the answers into removed runs.
 
-Shards are as many as the session's shuffle partitions, chunks three times as many. A passage that
+Shards are as many as the session's shuffle partitions, chunks twice as many. A passage that
 any number of documents share sends one row of each chunk, so no hot passage,
 source or group of copies gathers in one place. Every stage follows from the
 input alone and can run again after a lost executor.
@@ -38,7 +38,7 @@ STEP = 1 << 16
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 #: Chunks for each shuffle partition: a task holds one chunk's text and contexts.
-CHUNKS = 3
+CHUNKS = 2
 LAST_ID = np.iinfo(np.int64).max
 
 
