@@ -167,3 +167,63 @@ def test_polygon_holes(spark):
     edges = spark.createDataFrame([("s", *map(float, e)) for e in ring], "shape string, y1 double, x1 double, y2 double, x2 double")
     points = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 2.0), (3, 9.0, 9.0)], "id long, lat double, lon double")
     assert {r.id: r.inside for r in geo.crossings(points, edges, ["id"]).collect()} == {1: True, 2: False}
+
+
+def test_draft_vectors_never_move(spark):
+    from tidepool.operators import ladder
+
+    base = np.eye(4)
+    seen = [base[0], blend(base[0], base[1], 0.9), blend(base[0], base[1], 0.6), base[2], blend(base[2], base[3], 0.86)]
+    rows = spark.createDataFrame([("k", i, v.tolist()) for i, v in enumerate(seen)], "kind string, seq long, v array<double>")
+    got = ladder.fold_drafts(rows, "kind", 0.85).orderBy("seq").collect()
+    assert [(r.draft, r.state) for r in got] == [(0, "new"), (0, "reinforced"), (2, "new"), (3, "new"), (3, "reinforced")]
+
+
+def test_ladder_keeps_room_for_later_rungs(spark):
+    from tidepool.operators import ladder
+
+    rows = [("b", i, 4, float(i + 1) if i < 4 else None, 0.8 if i == 5 else None, 0.1 if i == 6 else None) for i in range(8)]
+    frame = spark.createDataFrame(rows, "batch string, id long, budget int, medoid_rank double, gray double, outlier double")
+    got = {r.id: r.rung for r in ladder.run_ladder(frame, "batch", 0.5).collect()}
+    assert got == {0: 1, 1: 1, 5: 2, 6: 3}
+
+
+def test_name_units_and_problems(spark):
+    from tidepool.functions import names
+
+    rows = spark.createDataFrame([("東京_lake view",), ("20240101_a",), ("2024_a?",), ("20240101__x",)], "n string")
+    got = rows.select(names.name_units(F.col("n")).alias("u"), names.name_problems(F.col("n"), 3).alias("p")).collect()
+    assert [(r.u, r.p) for r in got] == [(4, "bad_period,too_long"), (2, ""), (2, "bad_period,illegal_character"), (2, "empty_slot")]
+
+
+def test_eviction_drops_the_most_redundant(spark):
+    base = np.eye(4)
+    rows = [("k", 1, base[0]), ("k", 2, blend(base[0], base[1], 0.99)), ("k", 3, base[2]), ("k", 4, blend(base[2], base[3], 0.9))]
+    frame = spark.createDataFrame([(k, i, v.tolist()) for k, i, v in rows], "k string, id long, v array<double>")
+    assert {r.id for r in vectors.evict(frame, "k", 2).collect()} == {2, 4}
+
+
+def test_staleness(spark):
+    rows = spark.createDataFrame([("a/x", "x", 5), ("a/y", "y", 5), ("a/z", "z", 5), ("a/w", "w", 0), ("a/v", "v", 7)], "path string, name string, size long")
+    there = spark.createDataFrame([("a/x", "x", 5), ("b/y", "y", 5), ("c/y", "y", 6), ("b/w", "w", 1), ("c/w", "w", 2), ("b/v", "v", 9)], "path string, name string, size long")
+    got = {r.path: (r.verdict, r.candidate) for r in joins.staleness(rows, there).collect()}
+    assert got == {"a/x": ("present", None), "a/y": ("moved", "b/y"), "a/z": ("gone", None), "a/w": ("ambiguous", "b/w"), "a/v": ("moved", "b/v")}
+
+
+def test_media_tree_reads_only_what_the_cache_lacks(spark, tmp_path):
+    from tidepool.sources import media
+
+    for name, data in (("a.jpg", b"\xff\xd8\xff1"), ("b.png", b"x"), ("._c.jpg", b"y"), ("d.txt", b"z")):
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / ".hidden").mkdir()
+    (tmp_path / ".hidden" / "e.jpg").write_bytes(b"q")
+    files = media.media_files(spark, str(tmp_path))
+    assert sorted(r.name for r in files.collect()) == ["a.jpg", "b.png"]
+    cache = files.where("name = 'a.jpg'").select("path", "size", "modified", F.lit("cached").alias("sha"))
+    got = {r.name: r.sha for r in media.hashed_tree(spark, str(tmp_path), cache).collect()}
+    assert got == {"a.jpg": "cached", "b.png": hashlib.sha256(b"x").hexdigest()}
+
+
+def test_recursion_free_roots(spark):
+    roots = spark.createDataFrame([("/a",), ("/a/b",), ("/ab",), ("/c/d",), ("/c/d/e/f",)], "root string")
+    assert {r.root for r in joins.outermost(roots).collect()} == {"/a", "/ab", "/c/d"}
