@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool import params as P
+from tidepool.plans.stored import small
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -43,12 +44,12 @@ def containment(a: list[Column], b: list[Column]) -> Column:
 def crossings(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """Even-odd test: key, shape, inside for points (lat, lon) and edges (shape, y1, x1, y2, x2).
 
-    Shapes are a bounded dimension; their boxes prune before edges are looked at.
+    Boxes prune before edges are looked at; both are broadcast only if they are small.
     """
     boxes = edges.groupBy("shape").agg(F.min("y1").alias("s"), F.max("y1").alias("n"), F.min("x1").alias("w"), F.max("x1").alias("e"))
-    near = points.join(F.broadcast(boxes), in_box(F.col("lat"), F.col("lon"), F.col("s"), F.col("w"), F.col("n"), F.col("e"))).drop("s", "n", "w", "e")
+    near = points.join(small(boxes), in_box(F.col("lat"), F.col("lon"), F.col("s"), F.col("w"), F.col("n"), F.col("e"))).drop("s", "n", "w", "e")
     cross = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (
         F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     )
     hit = F.count_if(F.when(F.col("y1") != F.col("y2"), cross).otherwise(F.lit(False)))
-    return near.join(F.broadcast(edges), "shape").groupBy(*key, "shape").agg((hit % 2 == 1).alias("inside"))
+    return near.join(small(edges, 1_000_000), "shape").groupBy(*key, "shape").agg((hit % 2 == 1).alias("inside"))

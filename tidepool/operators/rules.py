@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool import params as P
 from tidepool.functions import parse
+from tidepool.plans.stored import small
 
 OWN_MAKES = ("apple", "samsung")
 SCREENS = ((1170, 2532), (1080, 2400))
@@ -85,13 +86,13 @@ def route(rows: DataFrame, dupes: DataFrame, documents: DataFrame, overrides: Da
     several legs that hold a day the first by ord counts.
     """
     day_legs = (
-        rows.select("day").distinct().join(F.broadcast(legs), F.col("day").between(F.col("first"), F.col("last"))).groupBy("day").agg(F.min_by("name", "ord").alias("leg"))
+        rows.select("day").distinct().join(small(legs), F.col("day").between(F.col("first"), F.col("last"))).groupBy("day").agg(F.min_by("name", "ord").alias("leg"))
     )
     joined = (
         rows.withColumn("cls", preclass())
         .join(dupes, "file_no", "left")
         .join(documents.withColumn("is_document", F.lit(True)), "file_no", "left")
-        .join(F.broadcast(overrides.withColumnRenamed("path", "override")), "day", "left")
+        .join(small(overrides.withColumnRenamed("path", "override")), "day", "left")
         .join(day_legs, "day", "left")
     )
     month = F.date_format("day", "yyyyMM")
