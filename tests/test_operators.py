@@ -227,3 +227,46 @@ def test_media_tree_reads_only_what_the_cache_lacks(spark, tmp_path):
 def test_recursion_free_roots(spark):
     roots = spark.createDataFrame([("/a",), ("/a/b",), ("/ab",), ("/c/d",), ("/c/d/e/f",)], "root string")
     assert {r.root for r in joins.outermost(roots).collect()} == {"/a", "/ab", "/c/d"}
+
+
+def test_greedy_matching(spark):
+    rnd = random.Random(8)
+    pairs = sorted({(rnd.randint(0, 9), rnd.randint(20, 29)) for _ in range(45)})
+    rows = [(a, b, round(rnd.choice([0.9, 0.95, rnd.random()]), 3)) for a, b in pairs]
+    want, new, old = set(), set(), set()
+    for a, b, cos in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if a not in new and b not in old:
+            want.add((a, b))
+            new.add(a)
+            old.add(b)
+    got = vectors.match_best_first(spark.createDataFrame(rows, "new long, old long, cos double")).collect()
+    assert {(r.new, r.old) for r in got} == want
+
+
+def test_areas_match_the_ordered_pass(spark):
+    rnd = random.Random(6)
+    rows = []
+    for _ in range(400):
+        y, x = rnd.choice([(25.0, 121.0), (25.03, 121.02), (25.3, 121.3)])
+        rows.append((y + rnd.randint(-4, 4) * 0.01, x + rnd.randint(-4, 4) * 0.01, rnd.randint(1, 28), rnd.randint(1, 4), rnd.random() < 0.3))
+    cells = {}
+    for r in rows:
+        cells.setdefault((round(r[0] / 0.01), round(r[1] / 0.01)), []).append(r)
+    place = lambda k: (k[0] * 0.01, k[1] * 0.01)
+    found, used = [], set()
+    for seed in sorted(cells, key=lambda k: (-len(cells[k]), k)):
+        if seed not in used:
+            own = [k for k in cells if k not in used and timeline.km(*place(seed), *place(k)) <= 2.0]
+            used |= set(own)
+            found.append([seed, [r for k in own for r in cells[k]]])
+    stat = lambda m: (len(m), len({r[2] for r in m}), len({r[3] for r in m}), round(sum(r[4] for r in m) / len(m), 6))
+    home = lambda m: stat(m)[1] >= 8 and stat(m)[2] >= 3 and stat(m)[3] >= 0.25
+    homes = [a for a in found if home(list(a[1]))]
+    flags = {a[0]: home(a[1]) for a in found}
+    want = {}
+    for seed, own in found:
+        to = seed if flags[seed] else next((h[0] for h in homes if timeline.km(*place(h[0]), *place(seed)) <= 5.0), seed)
+        want.setdefault(to, []).extend(own)
+    frame = spark.createDataFrame(rows, "lat double, lon double, day long, month long, night boolean")
+    got = {r.seed: (r.files, r.days, r.months, r.night_share, r.residence) for r in census.areas(frame).collect()}
+    assert got == {f"{k[0]}:{k[1]}": (*stat(m), flags[k]) for k, m in want.items()}

@@ -53,3 +53,23 @@ def crossings(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     )
     hit = F.count_if(F.when(F.col("y1") != F.col("y2"), cross).otherwise(F.lit(False)))
     return near.join(small(edges, 1_000_000), "shape").groupBy(*key, "shape").agg((hit % 2 == 1).alias("inside"))
+
+
+def edge_km(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """key, shape, km: distance to the nearest edge of each shape, on a local flat map."""
+    kx, ky = F.cos(F.radians("lat")) * 111.32, F.lit(110.57)
+    px, py = F.col("lon") * kx, F.col("lat") * ky
+    ax, ay = F.col("x1") * kx, F.col("y1") * ky
+    dx, dy = F.col("x2") * kx - ax, F.col("y2") * ky - ay
+    along = F.coalesce(((px - ax) * dx + (py - ay) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    return points.join(small(edges, 1_000_000)).groupBy(*key, "shape").agg(F.min(F.hypot(px - ax - t * dx, py - ay - t * dy)).alias("km"))
+
+
+def country_of(points: DataFrame, edges: DataFrame, key: list[str], near_km: float) -> DataFrame:
+    """key, shape: the shape that holds a point, else the nearest within near_km, else NULL. Of
+    several that hold it the first by name counts."""
+    held = crossings(points, edges, key).where("inside").groupBy(*key).agg(F.min("shape").alias("held"))
+    outside = points.join(held, key, "left_anti")
+    near = edge_km(outside, edges, key).where(F.col("km") <= near_km).groupBy(*key).agg(F.min_by("shape", F.struct("km", "shape")).alias("near"))
+    return points.select(*key).join(held, key, "left").join(near, key, "left").select(*key, F.coalesce("held", "near").alias("shape"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool import params as P
 from tidepool.functions import geo
+from tidepool.operators.vectors import ordered_leaders
 from tidepool.plans.stored import stored
 
 
@@ -40,3 +41,35 @@ def places(rows: DataFrame) -> DataFrame:
     )
     missed = F.concat_ws(",", F.when(F.col("days") < P.HOME_MIN_DAYS, "days"), F.when(F.col("night_days") < P.HOME_MIN_NIGHT_DAYS, "night_days"))
     return found.withColumn("missed", missed).withColumn("proposed", missed == "")
+
+
+def near_cells(cells: DataFrame, km: float, width: float) -> DataFrame:
+    """(a, b) of different cells (id, lat, lon) within km. Buckets of `width` degrees bound what
+    meets: a bucket and those around it. width must be at least km in degrees of longitude."""
+    y, x = F.floor(F.col("lat") / width), F.floor(F.col("lon") / width)
+    left = cells.select(F.col("id").alias("a"), F.col("lat").alias("alat"), F.col("lon").alias("alon"), y.alias("y"), x.alias("x"))
+    right = cells.select(F.col("id").alias("b"), F.col("lat").alias("blat"), F.col("lon").alias("blon"), F.explode(F.sequence(y - 1, y + 1)).alias("y"), F.sequence(x - 1, x + 1).alias("xs"))
+    right = right.select("b", "blat", "blon", "y", F.explode("xs").alias("x"))
+    close = geo.haversine_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")) <= km
+    return left.join(right, ["y", "x"]).where((F.col("a") != F.col("b")) & close).select("a", "b")
+
+
+def areas(rows: DataFrame, days: int = 8, months: int = 3, night: float = 0.25, merge_km: float = 2.0, fold_km: float = 5.0) -> DataFrame:
+    """(seed, residence, files, days, months, night_share): cells of about 1 km go to the densest
+    seed within merge_km; areas within fold_km of a residence are folded into the first one by seed.
+
+    rows: lat, lon, day, month, night. Only cells, not rows, enter the ordered steps.
+    """
+    celled = rows.withColumn("cy", geo.cell_even(F.col("lat"), P.CENSUS_CELL)).withColumn("cx", geo.cell_even(F.col("lon"), P.CENSUS_CELL))
+    name = F.concat_ws(":", "cy", "cx")
+    cells = stored(celled.groupBy("cy", "cx").agg(F.count("*").alias("n")).select(name.alias("id"), (F.col("cy") * P.CENSUS_CELL).alias("lat"), (F.col("cx") * P.CENSUS_CELL).alias("lon"), F.struct((-F.col("n")).alias("n"), "cy", "cx").alias("rank")), "cells")
+    lead = stored(ordered_leaders(cells.select("id", "rank"), near_cells(cells, merge_km, 0.05)), "areas")
+    stats = [F.count("*").alias("files"), F.count_distinct("day").alias("days"), F.count_distinct("month").alias("months"), F.avg(F.col("night").cast("int")).alias("night_share")]
+    placed = stored(celled.withColumn("id", name).join(lead, "id").select("leader", "day", "month", "night"), "area-rows")
+    found = stored(placed.groupBy("leader").agg(*stats).withColumn("residence", (F.col("days") >= days) & (F.col("months") >= months) & (F.col("night_share") >= night)), "area-stats")
+    seeds = cells.join(found.select(F.col("leader").alias("id"), "residence"), "id")
+    home = seeds.where("residence").select(F.col("id").alias("b"), "rank")
+    fold = near_cells(seeds, fold_km, 0.12).join(home, "b").join(seeds.where("not residence").select(F.col("id").alias("a")), "a", "left_semi").groupBy("a").agg(F.min_by("b", "rank").alias("home"))
+    final = placed.join(fold.withColumnRenamed("a", "leader"), "leader", "left").withColumn("seed", F.coalesce("home", "leader"))
+    flags = found.select(F.col("leader").alias("seed"), "residence")
+    return final.groupBy("seed").agg(*stats).join(flags, "seed").select("seed", "residence", "files", "days", "months", F.round("night_share", 6).alias("night_share"))

@@ -86,18 +86,17 @@ def close_pairs(rows: DataFrame, tau: float, most_blocks: int = 4096) -> DataFra
     return left.join(right, "j").select("i", "j", "x", "y").mapInPandas(multiply, "a long, b long, cos double")
 
 
-def leaders(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, leader): rows in the order (most neighbours, sha) lead and claim what is left near
-    them. Same result as the ordered pass: a row leads once all its earlier neighbours are
-    known not to, and doesn't once one of them does; then each takes its first leader."""
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    rank = F.struct((-F.coalesce("n", F.lit(0))).alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("sha"))
-    ranked = ids.select("id").join(degree, "id", "left").select("id", rank.alias("rank"))
+def ordered_leaders(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, leader): rows in the order of rank lead and claim what is left beside them.
+
+    ranked: id, rank (distinct). pairs: a, b, in both directions. Same result as the ordered
+    pass: a row leads once all its earlier neighbours are known not to, and doesn't once one of
+    them does; then each takes its first leader. Each round is a join on the pairs.
+    """
     first = ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra"))
     other = ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb"))
-    before = stored(both.join(first, "a").join(other, "b").where("rb < ra").select("a", "b", "rb"), "earlier")
-    state = stored(ranked.select("id", F.when(F.lit(False), F.lit(True)).alias("leads")), "leaders")
+    before = stored(pairs.join(first, "a").join(other, "b").where("rb < ra").select("a", "b", "rb"), "earlier")
+    state = stored(ranked.select("id", F.lit(None).cast("boolean").alias("leads")), "leaders")
     while state.where("leads is null").limit(1).count():
         known = before.join(state.select(F.col("id").alias("b"), "leads"), "b")
         seen = known.groupBy(F.col("a").alias("id")).agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("near"), F.count_if(F.col("leads").isNull()).alias("open"))
@@ -108,6 +107,30 @@ def leaders(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return state.join(claimed, "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
 
 
+def leaders(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Leader clusters in the order (most neighbours, sha). pairs: a, b, in one direction."""
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    rank = F.struct((-F.coalesce("n", F.lit(0))).alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("sha"))
+    return ordered_leaders(ids.select("id").join(degree, "id", "left").select("id", rank.alias("rank")), both)
+
+
+def match_best_first(pairs: DataFrame) -> DataFrame:
+    """One-to-one pairs (new, old, cos), the most alike first, ties by new and old. A pair that
+    is the best of both its sides is taken in the ordered pass whatever comes before it, so a
+    round takes all of these at once and drops what they rule out."""
+    rank = F.struct(-F.col("cos"), F.col("new"), F.col("old"))
+    left = stored(pairs.select("new", "old", "cos", rank.alias("rank")), "pairs")
+    taken = None
+    while left.limit(1).count():
+        by_new = left.groupBy("new").agg(F.min("rank").alias("rank"))
+        by_old = left.groupBy("old").agg(F.min("rank").alias("rank"))
+        best = stored(left.join(by_new, ["new", "rank"], "left_semi").join(by_old, ["old", "rank"], "left_semi").select("new", "old", "cos"), "matched")
+        taken = best if taken is None else taken.unionByName(best)
+        left = stored(left.join(best.select("new"), "new", "left_anti").join(best.select("old"), "old", "left_anti"), "pairs")
+    return taken if taken is not None else left.select("new", "old", "cos")
+
+
 def medoids(rows: DataFrame, key: str) -> DataFrame:
     """(key, id, n): the member with the largest total cosine to the members, which is its
     product with their mean; ties to the lowest sha."""

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool import params as P
-from tidepool.functions import names, parse
-from tidepool.operators import ladder, recurrence, vectors
+from tidepool.functions import geo, names, parse
+from tidepool.operators import census, ladder, recurrence, vectors
 from tidepool.plans import adapters as A
 
+from .basics import EDGES, HAV, VALID, with_homes
 from .looks import GRAY, TAU, classes, unit
 
 c = F.col
@@ -196,3 +197,60 @@ def settings_pairs(s, d):
     n = A.table(s, d, "nation").select(c("n_nationkey").cast("long").alias("k"), c("n_regionkey").alias("value"))
     other = n.select((c("k") - 1).alias("k"), c("k").alias("high"), c("value").alias("bound"))
     return n.join(other, "k").where("value > bound").select(c("k").alias("low"), "high")
+
+
+FLAT = """min(sqrt(pow(lon * kx - x1 * kx - t * dx, 2) + pow(lat * 110.57 - y1 * 110.57 - t * dy, 2)))"""
+EDGE = A.CTE + f""", pe AS (SELECT file_no, lat, lon, shape, y1, x1, cos(radians(lat)) * 111.32e0 AS kx, (x2 - x1) * cos(radians(lat)) * 111.32e0 AS dx, (y2 - y1) * 110.57e0 AS dy FROM typed, {A.values(EDGES, "shape, y1, x1, y2, x2")} WHERE lat IS NOT NULL),
+    pt AS (SELECT *, greatest(0, least(1, ((lon - x1) * kx * dx + (lat - y1) * 110.57e0 * dy) / (dx * dx + dy * dy))) AS t FROM pe),
+    km AS (SELECT file_no, shape, {FLAT} AS km FROM pt GROUP BY file_no, shape)"""
+
+
+def edges(s):
+    return s.createDataFrame(EDGES, "shape string, y1 double, x1 double, y2 double, x2 double")
+
+
+@add("edge_distance", EDGE + " SELECT file_no, shape, round(km, 6) AS km FROM km")
+def edge_distance(s, d):
+    points = A.typed(s, d).where("lat is not null").select("file_no", "lat", "lon")
+    return geo.edge_km(points, edges(s), ["file_no"]).withColumn("km", F.round("km", 6))
+
+
+@add("country_of_point", EDGE + f""", held AS (SELECT file_no, min(shape) AS held FROM (SELECT file_no, shape FROM typed, {A.values(EDGES, "shape, y1, x1, y2, x2")} WHERE lat IS NOT NULL AND y1 <> y2
+      GROUP BY file_no, shape HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1) GROUP BY file_no)
+    SELECT shape, count(*) AS files FROM (SELECT file_no, coalesce(any_value(held), arg_min(shape, (km, shape)) FILTER (km <= 5)) AS shape FROM km LEFT JOIN held USING (file_no) GROUP BY file_no) GROUP BY shape""")
+def country_of_point(s, d):
+    points = A.typed(s, d).where("lat is not null").select("file_no", "lat", "lon")
+    return geo.country_of(points, edges(s), ["file_no"], 5.0).groupBy("shape").agg(F.count("*").alias("files"))
+
+
+@add("areas")
+def areas(s, d):
+    return census.areas(A.typed(s, d).where("lat is not null and day is not null and file_no % 20 < 3"), days=8, months=1)
+
+
+@add("prior_match")
+def prior_match(s, d):
+    rows = unit(s, d)
+    pairs = vectors.close_pairs(rows, 0.2).select(c("a").alias("new"), c("b").alias("old"), F.round("cos", 9).alias("cos"))
+    return vectors.match_best_first(pairs)
+
+
+@add("home_stops", A.CTE + f""", p AS (SELECT folder, day, lat, lon FROM typed WHERE lat IS NOT NULL AND day IS NOT NULL), m AS (SELECT folder, day, median(lat) AS clat, median(lon) AS clon FROM p GROUP BY ALL),
+    k AS (SELECT folder, day, min({HAV.format(a="clat", b="clon", c="hlat", d="hlon")}) AS centre, min({HAV.format(a="lat", b="lon", c="hlat", d="hlon")}) AS point FROM p JOIN m USING (folder, day), {A.HOMES_SQL} WHERE {VALID} GROUP BY ALL)
+    SELECT folder, CAST(day AS VARCHAR) AS day, CASE WHEN centre < 3 THEN 'centre' ELSE 'point' END AS via FROM k WHERE centre < 3 OR point < 3""")
+def home_stops(s, d):
+    points = A.typed(s, d).where("lat is not null and day is not null").select("folder", "day", "lat", "lon")
+    mid = points.groupBy("folder", "day").agg(F.median("lat").alias("clat"), F.median("lon").alias("clon"))
+    pairs = with_homes(s, points.join(mid, ["folder", "day"]))
+    near = pairs.groupBy("folder", "day").agg(F.min(geo.haversine_km(c("clat"), c("clon"), c("hlat"), c("hlon"))).alias("centre"), F.min("km").alias("point"))
+    return near.where((c("centre") < 3) | (c("point") < 3)).select("folder", c("day").cast("string").alias("day"), F.when(c("centre") < 3, "centre").otherwise("point").alias("via"))
+
+
+@add("landmark_pick", A.CTE + """, v AS (SELECT folder, file_type AS name, CASE WHEN file_type IN ('JPEG', 'HEIC') THEN 0 ELSE 1 END AS rank, count(*) AS photos, sum(count(*)) OVER (PARTITION BY folder) AS total FROM manifest GROUP BY folder, file_type),
+    o AS (SELECT *, row_number() OVER w AS r, first_value(rank) OVER w AS first FROM v WINDOW w AS (PARTITION BY folder ORDER BY rank, photos DESC, name))
+    SELECT folder, name FROM o WHERE r = 1 OR (r = 2 AND rank = first AND 3 * photos >= total)""")
+def landmark_pick(s, d):
+    w = Window.partitionBy("folder").orderBy("rank", F.desc("photos"), "name")
+    votes = A.manifest(s, d).groupBy("folder", c("file_type").alias("name")).agg(F.count("*").alias("photos")).withColumn("rank", F.when(c("name").isin("JPEG", "HEIC"), 0).otherwise(1))
+    ordered = votes.withColumn("total", F.sum("photos").over(Window.partitionBy("folder"))).withColumn("r", F.row_number().over(w)).withColumn("first", F.first("rank").over(w))
+    return ordered.where("r = 1 or (r = 2 and rank = first and 3 * photos >= total)").select("folder", "name")
