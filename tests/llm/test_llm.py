@@ -255,3 +255,17 @@ def test_pipeline_runs_and_keeps_columns(spark, sf_dir):
     packed = corpus_pipeline.run(spark, sf_dir)
     total = packed.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
     assert total[1] <= -(-total[0] // 2048) + 1
+
+
+def test_null_ids(spark, sf_dir):
+    rows = spark.createDataFrame([(None, "a b c d", None, None), (1, "a b c d", None, None), (None, "q r s t", None, None), (1, "a b c d", None, None)], "doc_id long, text string, lang string, source string")
+    found = sorted(((r.doc_id or -1, r.component_id) for r in simhash_vp.near_duplicates(rows).collect()), key=str)
+    assert found == [(-1, 1), (-1, None), (1, 1), (1, 1)]
+    assert simhash_vp.keep_first(rows).count() == 4
+    labels = spark.createDataFrame([(None, 0, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    every = [
+        toxicity_weak.scores(rows, labels), quality_mcd.verdicts(rows), suffix_repeats.without_repeats(rows), substring_automaton.window_digests(rows), bpe_prefix.encode_digests(rows, BYTE),
+        best_fit.pack_documents(rows, WORD), separator_scan.document_counts(rows, path, public_tokenizers.PATTERN, 50256),
+    ]
+    assert [f.count() for f in every] == [4] * len(every)

@@ -17,7 +17,8 @@ by connected components.
 
 Defined results: null, empty or blank text has fingerprint zero and is linked
 like any other; texts of one or two words have one shingle; repeated rows get the
-same fingerprint; extra columns are ignored.
+same fingerprint; a null doc_id links nothing and gets the component of its
+fingerprint, NULL if no other document has it; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -214,10 +215,10 @@ def near_links(classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable) of every document."""
     prints = materialize(fingerprints(docs), "simhash")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
+    classes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     found = connected_components(near_links(classes))
     named = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ training rows nor in the sample of unlabelled ones.
 
 Defined results: null, empty or wordless text gets the score of no features; a
 document with several labels counts with the highest; without training rows of both
-classes every score is 0; repeated rows score alike; extra columns are ignored.
+classes every score is 0; repeated rows score alike; a null doc_id is not held out and trains nothing; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def features(text: str | None) -> set[str]:
