@@ -196,7 +196,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[list[str], int
             own = [sorted(features(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "toxic", "own"])
 
-    found = docs.join(wanted, "doc_id").select("doc_id", "toxic", "text").mapInArrow(extract, "doc_id long, toxic int, own array<string>")
+    one = docs.join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = one.select("doc_id", "toxic", "text").mapInArrow(extract, "doc_id long, toxic int, own array<string>")
     found = materialize(found, "toxic-sample")
     counts = found.select("toxic", F.explode("own").alias("f")).groupBy("f").agg(
         F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") >= 0).alias("labelled")
@@ -209,8 +210,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[list[str], int
             own = [[f for f in r if f in names] for r in batch.column("own").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "toxic", "own"])
 
-    rows = found.mapInArrow(narrow, found.schema).collect()  # LABELLED + UNLABELLED rows, but for repeated ids
-    return [(r.own, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.own))[: 2 * (LABELLED + UNLABELLED)]]
+    rows = found.mapInArrow(narrow, found.schema).collect()  # LABELLED + UNLABELLED rows at most
+    return [(r.own, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def with_score(docs: DataFrame, bias: float, weights: dict[str, float]) -> DataFrame:
