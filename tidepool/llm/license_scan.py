@@ -60,10 +60,14 @@ def bands(s: Column) -> Column:
     return F.array(*[least(k) for k in range(BANDS)])
 
 
-def windows(w: Column, size: int) -> Column:
-    """(start, words) of overlapping windows."""
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice(w, i + 1, 2 * size).alias("words")))
+def windows(w: Column) -> Column:
+    """(size, start, words) of the overlapping windows of every size."""
+
+    def of(size: int) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("start"), F.slice(w, i + 1, 2 * size).alias("words")))
+
+    return F.concat(*[of(n) for n in SIZES])
 
 
 def pieces(templates: DataFrame) -> DataFrame:
@@ -89,12 +93,8 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id long, license string, n_windows long, best_containment double")
     has = let(words(F.col("text")), lambda w: let(shingles(w), lambda s: F.exists(s, lambda x: F.xxhash64(x).isin(seen))))
     near = docs.where(has).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    cut = lambda n: let(F.col("w"), lambda w: windows(w, n))
-    sized = [near.select("row", "doc_id", F.lit(n).alias("size"), F.explode(cut(n)).alias("window")) for n in SIZES]
-    rows = sized[0]
-    for other in sized[1:]:
-        rows = rows.unionByName(other)
-    rows = rows.select("row", "doc_id", "size", "window.start", let(F.col("window.words"), shingles).alias("have")).where(F.size("have") > 0)
+    rows = near.select("row", "doc_id", F.explode(let(F.col("w"), windows)).alias("window"))
+    rows = rows.select("row", "doc_id", "window.size", "window.start", let(F.col("window.words"), shingles).alias("have")).where(F.size("have") > 0)
     keys = rows.select("row", "doc_id", "size", "start", "have", F.posexplode(let(F.col("have"), bands)).alias("band", "value"))
     table = known.select("license", "piece", "size", "need", F.posexplode(let(F.col("need"), bands)).alias("band", "value"))
     met = keys.join(F.broadcast(table), ["size", "band", "value"]).dropDuplicates(["row", "size", "start", "license", "piece"])
