@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 #: Fixed value: the pre-token pattern of the byte-level tokenizer.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units and pre-tokens a worker remembers before it starts afresh.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 300_000
 NEVER = 1 << 60
 
 
