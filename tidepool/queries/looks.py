@@ -167,7 +167,7 @@ MISSED = "concat_ws(',', CASE WHEN days < 5 THEN 'days' END, CASE WHEN night_day
 
 
 def found_places(s, d):
-    return census.places(A.typed(s, d).where("lat is not null and day is not null and file_no % 60 = 1"))
+    return census.places(A.typed(s, d).where("lat is not null and day is not null"))
 
 
 @add("place_components", PLACES + f" SELECT days, night_days, months, files, lat, lon, {MISSED} AS missed, {MISSED} = '' AS proposed FROM places")

@@ -225,7 +225,7 @@ def country_of_point(s, d):
 
 @add("areas")
 def areas(s, d):
-    return census.areas(A.typed(s, d).where("lat is not null and day is not null and file_no % 20 < 3"), days=8, months=1)
+    return census.areas(A.typed(s, d).where("lat is not null and day is not null"), days=8, months=1)
 
 
 @add("prior_match")
