@@ -4,7 +4,7 @@ import math
 
 import pytest
 from tidepool.plans import adapters as A
-from tidepool.queries import QUERIES
+from tidepool.queries import ORACLE_SQL, QUERIES
 
 
 def located(spark, sf_dir):
@@ -44,3 +44,13 @@ def test_places_hold_every_located_file(spark, sf_dir):
 
 def test_areas_hold_every_located_file(spark, sf_dir):
     assert sum(r.files for r in QUERIES["areas"](spark, sf_dir).collect()) == located(spark, sf_dir).count()
+
+
+@pytest.mark.parametrize("name, subset", [("day_type_fill", " AND file_no % 3 = 0"), ("run_islands", " AND file_no % 3 = 0"), ("batch_spec", " WHERE p_partkey % 10 = 0")])
+def test_query_matches_sql_over_all_rows(spark, sf_dir, duck, same_rows, name, subset):
+    assert same_rows(QUERIES[name](spark, sf_dir).toPandas(), duck.execute(ORACLE_SQL[name].replace(subset, "")).df())
+
+
+def test_split_runs_hold_every_dated_day(spark, sf_dir):
+    want = A.typed(spark, sf_dir).where("day is not null").select("folder", "day").distinct().count()
+    assert QUERIES["split_runs"](spark, sf_dir).select("folder", "day").distinct().count() == want

@@ -149,7 +149,7 @@ def time_window(s, d):
 @add("batch_spec", "SELECT part.p_partkey, CAST(b AS INTEGER) AS batch FROM part, unnest(list_concat(generate_series(p_size, p_size + 3), [p_size + 9])) u(b) WHERE p_partkey % 10 = 0")
 def batch_spec(s, d):
     spec = F.concat(c("p_size").cast("string"), F.lit("-"), (c("p_size") + 3).cast("string"), F.lit(","), (c("p_size") + 9).cast("string"))
-    return A.table(s, d, "part").where("p_partkey % 10 = 0").select("p_partkey", F.explode(parse.expand_spec(spec)).alias("batch"))
+    return A.table(s, d, "part").select("p_partkey", F.explode(parse.expand_spec(spec)).alias("batch"))
 
 
 @add("span_days", """SELECT p_partkey, CAST(make_date(2024, m1, 5) AS VARCHAR) AS first, CAST(make_date(CASE WHEN m2 * 100 + 2 < m1 * 100 + 5 THEN 2025 ELSE 2024 END, m2, 2) AS VARCHAR) AS last

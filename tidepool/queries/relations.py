@@ -236,7 +236,7 @@ TYPES = """, d AS (SELECT folder, day, median(lat) AS lat, median(lon) AS lon, c
 
 
 def typed_days(s, d):
-    days = A.typed(s, d).where("day is not null and file_no % 3 = 0").groupBy("folder", "day").agg(F.median("lat").alias("lat"), F.median("lon").alias("lon"), F.count("*").alias("files"))
+    days = A.typed(s, d).where("day is not null").groupBy("folder", "day").agg(F.median("lat").alias("lat"), F.median("lon").alias("lon"), F.count("*").alias("files"))
     raw = F.when(c("lat").isNull() | (F.dayofmonth("day") % 4 == 0), None).when(c("lon") > 121.35, "ABROAD").when(c("lat").between(25.15, 25.3), "HOME").otherwise("AWAY")
     days = days.withColumn("type", raw)
     return timeline.fill_types(days.withColumn("lat", F.when(c("type").isNotNull(), c("lat"))), ["folder"])
