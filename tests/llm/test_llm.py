@@ -217,6 +217,37 @@ def test_licenses(spark):
     assert {(r.doc_id, r.license) for r in got} == {(2, "mit"), (4, "mit-grant")}
 
 
+def exact_licenses(docs):
+    """Exact containment of every window: {(doc_id, license): n_windows}."""
+    cut = lambda t: re.findall("[a-z0-9]+", t.lower())
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    found = {}
+    for name, template in license_scan.TEMPLATES:
+        w, largest = cut(template), max(license_scan.SIZES)
+        size = next((n for n in sorted(license_scan.SIZES) if len(w) <= n), largest)
+        needs = [grams(w[s : s + largest]) for s in range(0, len(w) - 4, largest)]
+        for i, text in docs:
+            d = cut(text)
+            have = [grams(d[s : s + 2 * size]) for s in range(0, len(d), size)]
+            n = [sum(len(need & h) >= 0.8 * len(need) for h in have) for need in needs]
+            if sum(x > 0 for x in n) >= 0.8 * len(needs):
+                found[i, name] = sum(n)
+    return found
+
+
+def test_licenses_in_many_contexts(spark):
+    rnd, texts = random.Random(3), []
+    for k in (1, 2, 4, 6):
+        for _ in range(100):
+            own = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+            texts.append(f"{own(rnd.randint(0, 150))} {license_scan.TEMPLATES[k][1]} {own(rnd.randint(70, 150))}")
+    docs = list(enumerate(texts))
+    got = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string"), license_scan.default_templates(spark)).collect()
+    want = exact_licenses(docs)
+    assert {(r.doc_id, r.license): r.n_windows for r in got} == want
+    assert all((i, license_scan.TEMPLATES[k][0]) in want for i, k in enumerate(k for k in (1, 2, 4, 6) for _ in range(100)))
+
+
 def test_toxicity(spark):
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))

@@ -3,11 +3,13 @@
 Words are runs of a-z and 0-9 of the lower-cased text, shingles have five words. A
 template is cut into pieces of at most SIZES words. For each piece size the text is
 read in windows of twice that size at steps of the size, so a copy of a piece lies
-whole in some window. The window holds at most 2 * size - 4 shingles; a piece of
-at least half the size that is 80 % there has a Jaccard similarity of 0.16 or more,
-and with 48 one-row bands the chance that no band collides is below 0.0003 (below 1e-9
-for whole pieces of full size). Candidates count only if the window holds 80 % of the
-piece's shingles exactly.
+whole in some window. The window holds at most 2 * size - 4 shingles, which bounds the
+Jaccard similarity of a piece that is 80 % there from below; a piece that 48 one-row
+bands could miss there with a chance above MISS (the short ones: a tail of few words, a
+template of one shingle) is also looked up by single shingles. A window with 80 % of its
+n shingles lacks at most a fifth of them, so it holds one of any n // 5 + 1: these
+pieces are never missed. Candidates count only if the window holds 80 % of the piece's
+shingles exactly.
 
 Documents without any shingle of a template can't match and are left out by an exact
 test first. All of it is DataFrame expressions; the templates' tables are broadcast,
@@ -26,6 +28,8 @@ SHINGLE = 5
 SIZES = (8, 32)
 BANDS = 48
 CONTAINMENT = 0.8
+#: Largest chance that the bands alone may miss a piece in a window.
+MISS = 1e-5
 
 #: Public license statements.
 TEMPLATES = (
@@ -60,6 +64,22 @@ def bands(s: Column) -> Column:
     return F.array(*[least(k) for k in range(BANDS)])
 
 
+def sure_shingles(need: Column, size: Column) -> Column:
+    """Hashes of shingles of a piece (a bound value), one of which is in every window that
+    holds the piece; empty if the bands alone find it."""
+    own = F.array_distinct(need)
+    lacks = F.floor(F.size(own) * (1 - CONTAINMENT) + 1e-9).cast("int")
+    least = (F.size(own) - lacks) / (2 * size - (SHINGLE - 1) + lacks)
+    hashes = F.transform(F.slice(own, 1, lacks + 1), lambda x: F.xxhash64(x))
+    return F.when(F.pow(1 - least, F.lit(BANDS)) > MISS, hashes).otherwise(F.array().cast("array<bigint>"))
+
+
+def keys_of(s: Column, sure: Column) -> Column:
+    """(band, value) of the bands of an array of shingles (a bound value), and of sure, as one more band."""
+    banded = F.transform(bands(s), lambda v, k: F.struct(k.alias("band"), v.alias("value")))
+    return F.concat(banded, F.transform(sure, lambda v: F.struct(F.lit(BANDS).alias("band"), v.alias("value"))))
+
+
 def windows(w: Column) -> Column:
     """(size, start, words) of the overlapping windows of every size."""
 
@@ -87,7 +107,7 @@ def pieces(templates: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """doc_id, license, n_windows and best_containment of each match."""
-    known = pieces(templates)
+    known = pieces(templates).withColumn("sure", let(F.col("need"), lambda s: sure_shingles(s, F.col("size"))))
     seen = sorted({r[0] for r in known.select(F.explode("need").alias("s")).select(F.xxhash64("s")).collect()})  # shingles of the templates
     if not seen:
         return docs.sparkSession.createDataFrame([], "doc_id long, license string, n_windows long, best_containment double")
@@ -95,8 +115,10 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     near = docs.where(has).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
     rows = near.select("row", "doc_id", F.explode(let(F.col("w"), windows)).alias("window"))
     rows = rows.select("row", "doc_id", "window.size", "window.start", let(F.col("window.words"), shingles).alias("have")).where(F.size("have") > 0)
-    keys = rows.select("row", "doc_id", "size", "start", "have", F.posexplode(let(F.col("have"), bands)).alias("band", "value"))
-    table = known.select("license", "piece", "size", "need", F.posexplode(let(F.col("need"), bands)).alias("band", "value"))
+    sure = sorted({r[0] for r in known.select(F.explode("sure")).collect()})
+    known_ones = lambda s: F.filter(F.transform(s, lambda x: F.xxhash64(x)), lambda h: h.isin(sure))
+    keys = rows.select("row", "doc_id", "size", "start", "have", F.inline(let(F.col("have"), lambda s: keys_of(s, known_ones(s)))))
+    table = known.select("license", "piece", "size", "need", F.inline(let(F.col("need"), lambda s: keys_of(s, F.col("sure")))))
     met = keys.join(F.broadcast(table), ["size", "band", "value"]).dropDuplicates(["row", "size", "start", "license", "piece"])
     share = F.size(F.array_intersect("have", "need")) / F.size(F.array_distinct("need"))
     found = met.select("row", "doc_id", "license", "piece", share.alias("share")).where(F.col("share") >= CONTAINMENT)
