@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool import params as P
@@ -176,8 +180,28 @@ def expand_spec(spec: Column) -> Column:
     return F.flatten(F.transform(F.split(spec, ","), one))
 
 
-def candidate_id(shas: Column) -> Column:
-    return F.concat(F.lit("rc-"), F.substring(F.sha2(F.array_join(F.array_sort(shas), "|"), 256), 1, 12))
+def candidate_ids(rows: DataFrame, key: str, sha: str = "sha") -> DataFrame:
+    """(key, candidate_id): hash of a key's sorted shas, joined by |. Sorted partitions are hashed
+    row by row, so a key of any size is only streamed."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda k, h: pa.RecordBatch.from_arrays([pa.array([k], kept), pa.array(["rc-" + h.hexdigest()[:12]])], names=[key, "candidate_id"])
+        now, joint = None, b""
+        for batch in batches:
+            kept = batch.column(0).type
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if now is None or now[0] != k:
+                    if now:
+                        yield of(*now)
+                    now, joint = (k, hashlib.sha256()), b""
+                if x is not None:
+                    now[1].update(joint + x.encode())
+                    joint = b"|"
+        if now:
+            yield of(*now)
+
+    return rows.select(key, sha).repartition(key).sortWithinPartitions(key, sha).mapInArrow(run, f"{key} {kind}, candidate_id string")
 
 
 def provenance(value: Column) -> Column:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.operators import vectors
+from tidepool.plans.stored import stored
+
 
 def run_ladder(rows: DataFrame, key: str, share: float) -> DataFrame:
     """Picks (key, id, rung) of each batch under its budget.
@@ -14,50 +17,47 @@ def run_ladder(rows: DataFrame, key: str, share: float) -> DataFrame:
     rows: key, id, budget, medoid_rank (1 = medoid of the largest cluster, NULL otherwise),
     gray (score or NULL), outlier (similarity or NULL). Rung 1 takes medoids up to its share of
     the budget, rung 2 gray files by score, rung 3 outliers from the least alike, rung 4 the
-    medoids that the share left out, rung 5 the rest by hash. A batch is bounded by its
-    makers; each is one group.
+    medoids that the share left out, rung 5 the rest by hash. Each row stands on its first rung,
+    and a batch's first rows by rung are picked.
     """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        budget = int(pdf["budget"].iloc[0])
-        first = max(1, min(budget, round(budget * share)))
-        chosen: dict[int, int] = {}
-
-        def take(own: pd.DataFrame, rung: int, most: int) -> None:
-            for i in own["id"]:
-                if most <= 0 or len(chosen) >= budget:
-                    return
-                if i not in chosen:
-                    chosen[i] = rung
-                    most -= 1
-
-        medoids = pdf[pdf["medoid_rank"].notna()].sort_values(["medoid_rank", "id"])
-        take(medoids, 1, first)
-        take(pdf[pdf["gray"].notna()].sort_values(["gray", "id"], ascending=[False, True]), 2, budget)
-        take(pdf[pdf["outlier"].notna()].sort_values(["outlier", "id"]), 3, budget)
-        take(medoids, 4, budget)
-        take(pdf.sort_values("sha"), 5, budget)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(chosen), "id": list(chosen), "rung": np.array(list(chosen.values()), np.int64)})
-
-    named = rows.withColumn("sha", F.sha2(F.col("id").cast("string"), 256))
-    return named.groupBy(key).applyInPandas(pick, f"{key} {dict(rows.dtypes)[key]}, id long, rung long")
+    has = lambda x: F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
+    first = F.greatest(F.lit(1), F.least(F.col("budget"), F.bround(F.col("budget") * F.lit(share)).cast("int")))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.when(has("medoid_rank"), 0).otherwise(1), "medoid_rank", "id"))
+    rung = F.when(has("medoid_rank") & (F.col("place") <= first), 1).when(has("gray"), 2).when(has("outlier"), 3).when(has("medoid_rank"), 4).otherwise(5)
+    score = F.when(F.col("rung").isin(1, 4), F.col("medoid_rank").cast("double")).when(F.col("rung") == 2, -F.col("gray")).when(F.col("rung") == 3, F.col("outlier"))
+    sha = F.when(F.col("rung") == 5, F.sha2(F.col("id").cast("string"), 256))
+    picked = rows.withColumn("place", place).withColumn("rung", rung.cast("long"))
+    at = F.row_number().over(Window.partitionBy(key).orderBy("rung", score, sha, "id"))
+    return picked.withColumn("at", at).where(F.col("at") <= F.col("budget")).select(key, F.col("id").cast("long").alias("id"), "rung")
 
 
 def fold_drafts(sightings: DataFrame, kind: str, tau: float) -> DataFrame:
     """(kind, seq, draft, state) of sightings (kind, seq, v) folded in order: one that is at least tau
     like a draft's first vector reinforces the most alike draft, else it starts a draft, whose vector
-    never moves. Each step depends on the drafts before it; kinds are independent."""
+    never moves. Each step depends on the drafts before it; blocks of sightings meet the blocks
+    of drafts so far, and only a block of each is held at once."""
+    schema = f"{kind} {dict(sightings.dtypes)[kind]}, id long, v array<double>, blk long, draft long"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, first, names, out = pdf.sort_values("seq"), [], [], []
-        for seq, v in zip(pdf["seq"], pdf["v"]):
+        pdf, first, names, out = pdf.sort_values("id"), [], [], []
+        for seq, v, best, to in zip(pdf["id"], pdf["v"], pdf["cos"], pdf["to"]):
+            best, draft = (best, to) if best >= tau else (tau, None)
             cos = np.round(np.stack(first) @ v, 9) if first else np.zeros(0)
-            if len(cos) and cos.max() >= tau:
-                out.append((names[int(cos.argmax())], "reinforced"))
-            else:
+            if len(cos) and (cos.max() > best or draft is None and cos.max() >= tau):
+                draft = names[int(cos.argmax())]
+            if draft is None:
                 first.append(np.asarray(v))
                 names.append(seq)
-                out.append((seq, "new"))
-        return pd.DataFrame({kind: pdf[kind].to_numpy(), "seq": pdf["seq"].to_numpy(), "draft": [x for x, _ in out], "state": [x for _, x in out]})
-
-    return sightings.groupBy(kind).applyInPandas(fold, f"{kind} {dict(sightings.dtypes)[kind]}, seq long, draft long, state string")
+            out.append(seq if draft is None else int(draft))
+        return pdf[[kind, "id", "v", "blk"]].assign(draft=out)
+
+    rows = sightings.select(kind, F.col("seq").cast("long").alias("id"), "v")
+    done, drafts = None, None
+    for block in vectors.block_rounds(vectors.in_blocks(rows, kind, F.asc("id"))):
+        near = vectors.beside(block, drafts, kind, lambda cos, e: cos)
+        new = stored(near.groupBy(kind).applyInPandas(fold, schema), "drafts")
+        done = new if done is None else done.unionByName(new)
+        drafts = done.where("draft = id").select(kind, "id", "v", "blk", F.lit(0.0).alias("e"))
+    if done is None:
+        return rows.select(kind, F.col("id").alias("seq"), F.col("id").alias("draft"), F.lit("new").alias("state"))
+    return done.select(kind, F.col("id").alias("seq"), "draft", F.when(F.col("draft") == F.col("id"), "new").otherwise("reinforced").alias("state"))

@@ -108,9 +108,17 @@ def split_runs(days: DataFrame, keys: list[str], most: int) -> DataFrame:
     return days.groupBy(*keys).applyInPandas(split, schema)
 
 
-def upper_median_band(hours: Column) -> Column:
-    """Time of day of the upper median of an array of hours."""
-    mid = F.element_at(F.array_sort(hours), F.floor(F.size(hours) / 2).cast("int") + 1)
-    return F.when(mid.between(7, 10), "mostly morning").when(mid.between(11, 14), "mostly midday").when(mid.between(15, 18), "mostly late afternoon").otherwise("mostly after dark")
+def band_of(hour: Column) -> Column:
+    """Time of day of an hour."""
+    return F.when(hour.between(7, 10), "mostly morning").when(hour.between(11, 14), "mostly midday").when(hour.between(15, 18), "mostly late afternoon").otherwise("mostly after dark")
+
+
+def upper_median_bands(rows: DataFrame, key: str, hour: Column) -> DataFrame:
+    """(key, band): time of day of the upper median hour, from the count of each hour."""
+    n = rows.groupBy(key, hour.alias("hour")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy(key)
+    upto = n.withColumn("upto", F.sum("n").over(own.orderBy("hour"))).withColumn("all", F.sum("n").over(own))
+    return upto.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(key).agg(band_of(F.min("hour")).alias("band"))
+
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.plans.stored import stored
+from tidepool.plans.stored import small, stored
 
 BLOCK = 1024
 
@@ -148,38 +148,95 @@ def nearest_members(rows: DataFrame, key: str, k: int) -> DataFrame:
 
 def farthest_points(rows: DataFrame, key: str, k: int) -> DataFrame:
     """k picks of each key: first the row least like the mean, then again and again the row
-    least like all picked ones. The picks depend on each other; a key is one batch of files."""
+    least like all picked ones. Each pick is a grouped minimum, joined back to the rows of its key."""
+    named = rows.select(key, "id", "v", F.sha2(F.col("id").cast("string"), 256).alias("sha"))
+    centre = mean_vectors(rows, key).select(F.col(key).alias("key"), "c")
+    like = F.round(dot(F.col("v"), F.col("c")), 9)
+    left = stored(named.join(small(centre), F.col(key).eqNullSafe(F.col("key"))).select(*named.columns, like.alias("like")), "farthest")
+    taken = None
+    for r in range(1, k + 1):
+        pick = left.groupBy(F.col(key).alias("key")).agg(F.min_by(F.struct("id", "v"), F.struct("like", "sha")).alias("at"))
+        pick = stored(pick.select("key", F.col("at.id").alias("picked"), F.col("at.v").alias("c")), "farthest-picks")
+        own = pick.select(F.col("key").alias(key), F.col("picked").cast("long").alias("id"), F.lit(r).cast("long").alias("r"))
+        taken = own if taken is None else taken.unionByName(own)
+        if r < k:
+            rest = left.join(small(pick), F.col(key).eqNullSafe(F.col("key"))).where(F.col("id") != F.col("picked"))
+            left = stored(rest.select(*named.columns, (like if r == 1 else F.greatest("like", like)).alias("like")), "farthest")
+    return taken
+
+
+def in_blocks(rows: DataFrame, key: str, order: Column) -> DataFrame:
+    """rows with blk: BLOCK rows of a key each, in the given order."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return stored(rows.withColumn("blk", F.floor(at / BLOCK)), "blocks")
+
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sha").reset_index(drop=True)
-        x = np.stack(pdf["v"])
-        mean = x.mean(axis=0)
-        like = np.round(x @ (mean / (np.linalg.norm(mean) or 1.0)), 9)
-        out: list[int] = []
-        while len(out) < min(k, len(x)):
-            at = int(np.where(np.isin(np.arange(len(x)), out), np.inf, like).argmin())
-            like = np.round(x @ x[at], 9) if not out else np.maximum(like, np.round(x @ x[at], 9))
-            out.append(at)
-        return pd.DataFrame({key: pdf[key].iloc[out], "id": pdf["id"].iloc[out], "r": np.arange(1, len(out) + 1)})
+def block_rounds(rows: DataFrame) -> Iterator[DataFrame]:
+    most = rows.agg(F.max("blk")).first()[0]
+    for i in range(0 if most is None else most + 1):
+        yield rows.where(F.col("blk") == i)
 
-    named = rows.withColumn("sha", F.sha2(F.col("id").cast("string"), 256))
-    return named.groupBy(key).applyInPandas(pick, f"{key} {dict(rows.dtypes)[key]}, id long, r long")
+
+def block_products(block: DataFrame, done: DataFrame, key: str, best) -> DataFrame:
+    """(key, id, cos, to): of each row of a block (key, id, v) the best of the done rows (key, blk, id, v, e) of
+    its key, by best(products, e of the done rows). A task holds a block of each at once."""
+    x = block.groupBy(key).agg(F.collect_list(F.struct("id", "v")).alias("x"))
+    y = done.groupBy(F.col(key).alias("key"), "blk").agg(F.array_sort(F.collect_list(F.struct("id", "v", "e"))).alias("y"))
+    ids = dict(block.dtypes)["id"]
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, x, y in zip(pdf["k"], pdf["x"], pdf["y"]):
+                cos = np.round(np.stack([r["v"] for r in x]) @ np.stack([r["v"] for r in y]).T, 9)
+                cos = best(cos, np.array([r["e"] for r in y]))
+                at = cos.argmax(axis=1)
+                yield pd.DataFrame({"k": [k] * len(x), "id": [r["id"] for r in x], "cos": cos.max(axis=1), "to": [y[i]["id"] for i in at]})
+
+    pairs = x.join(y, F.col(key).eqNullSafe(F.col("key"))).select(F.col(key).alias("k"), "x", "y")
+    found = pairs.mapInPandas(multiply, f"k {dict(block.dtypes)[key]}, id {ids}, cos double, to {ids}")
+    top = found.groupBy("id", F.col("k").alias("near_key")).agg(F.min_by(F.struct("cos", "to"), F.struct(-F.col("cos"), F.col("to"))).alias("near"))
+    return top.select("near_key", F.col("id").alias("near_id"), F.col("near.cos").alias("cos"), F.col("near.to").alias("to"))
+
+
+def beside(block: DataFrame, done: DataFrame | None, key: str, best) -> DataFrame:
+    """block with cos and to of block_products; cos is null and to 0 without any done row."""
+    if done is None:
+        return block.withColumn("cos", F.lit(None).cast("double")).withColumn("to", F.lit(0).cast("long"))
+    near = block_products(block, done, key, best)
+    met = block.join(near, (F.col("id") == F.col("near_id")) & F.col(key).eqNullSafe(F.col("near_key")), "left")
+    return met.select(*block.columns, "cos", F.coalesce("to", F.lit(0)).alias("to"))
+
+
+NEVER = -2.0
 
 
 def evict(rows: DataFrame, key: str, cap: int) -> DataFrame:
     """Exemplars left of each key once those whose nearest neighbour is closest have gone, one
-    by one, until cap are left; ties to the smaller id."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        cos = np.round(np.stack(pdf["v"]) @ np.stack(pdf["v"]).T, 9)
-        np.fill_diagonal(cos, -1.0)
-        left = list(range(len(pdf)))
-        while len(left) > cap:
-            left.pop(int(cos[np.ix_(left, left)].max(axis=1).argmax()))
-        return pdf.loc[left, [key, "id"]]
-
-    return rows.groupBy(key).applyInPandas(run, f"{key} {dict(rows.dtypes)[key]}, id long")
+    by one, until cap are left; ties to the smaller id.
+
+    The row that goes is always the smaller id of the closest pair left, so a row goes at e, its
+    largest cosine to a larger id that hasn't gone by then, which is one whose own e isn't
+    larger. e depends on larger ids only: blocks of descending ids meet all blocks before them.
+    """
+    schema = f"{key} {dict(rows.dtypes)[key]}, id long, v array<double>, blk long, e double"
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ascending=False).reset_index(drop=True)
+        x, e = np.stack(pdf["v"]), pdf["cos"].fillna(NEVER).to_numpy(float).copy()
+        cos = np.round(x @ x.T, 9)
+        for i in range(1, len(x)):
+            e[i] = max(e[i], np.where(e[:i] <= cos[i, :i], cos[i, :i], NEVER).max())
+        return pdf[[key, "id", "v", "blk"]].assign(e=e)
+
+    done = None
+    for block in block_rounds(in_blocks(rows.select(key, F.col("id").cast("long").alias("id"), "v"), key, F.desc("id"))):
+        near = beside(block, done, key, lambda cos, e: np.where(e[None, :] <= cos, cos, NEVER))
+        new = stored(near.groupBy(key).applyInPandas(settle, schema), "evictions")
+        done = new if done is None else done.unionByName(new)
+    if done is None:
+        return rows.select(key, F.col("id").cast("long").alias("id"))
+    last = F.row_number().over(Window.partitionBy(key).orderBy("e", F.desc("id")))
+    return done.withColumn("r", last).where(F.col("r") <= cap).select(key, "id")
 
 
 def suppress_boxes(boxes: DataFrame, key: str, most: float) -> DataFrame:

@@ -168,8 +168,7 @@ def provenance_split(s, d):
 
 @add("candidate_ids", """SELECT source, 'rc-' || substr(sha256(string_agg(sha, '|' ORDER BY sha)), 1, 12) AS candidate_id FROM (SELECT source, sha256(CAST(doc_id AS VARCHAR)) AS sha FROM documents) GROUP BY source""")
 def candidate_ids(s, d):
-    shas = F.collect_list(F.sha2(c("doc_id").cast("string"), 256))
-    return A.table(s, d, "documents").groupBy("source").agg(parse.candidate_id(shas).alias("candidate_id"))
+    return parse.candidate_ids(A.table(s, d, "documents").select("source", F.sha2(c("doc_id").cast("string"), 256).alias("sha")), "source")
 
 
 @add("props_lookup", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.missing') IS NOT NULL AS has_missing FROM events")

@@ -188,7 +188,7 @@ def area_stats(s, d):
 @add("time_of_day", A.CTE + """SELECT folder, CASE WHEN h BETWEEN 7 AND 10 THEN 'mostly morning' WHEN h BETWEEN 11 AND 14 THEN 'mostly midday' WHEN h BETWEEN 15 AND 18 THEN 'mostly late afternoon' ELSE 'mostly after dark' END AS band
     FROM (SELECT folder, list_sort(list(hour(taken)))[count(*) // 2 + 1] AS h FROM typed WHERE taken IS NOT NULL GROUP BY folder)""")
 def time_of_day(s, d):
-    return A.typed(s, d).where("taken is not null").groupBy("folder").agg(timeline.upper_median_band(F.collect_list(F.hour("taken"))).alias("band"))
+    return A.typed(s, d).where("taken is not null").transform(timeline.upper_median_bands, "folder", F.hour("taken"))
 
 
 @add("who_evidence", "SELECT event_type, user_id % 5 AS who, count(DISTINCT event_id % 100) AS files FROM events GROUP BY ALL")
