@@ -45,19 +45,13 @@ def blast_radius(rows: DataFrame, clusters: DataFrame, candidates: DataFrame, ta
     """(key, mass, reach): members plus leftovers. A leftover is in no candidate, its own
     cluster has fewer than `mass` members, and its nearest candidate is at least tau - margin alike.
 
-    rows: id, v. clusters: id, key. candidates: key. Candidate centres are few; their number
-    is checked before they become literals.
+    rows: id, v. clusters: id, key. candidates: key.
     """
     labelled = rows.join(clusters, "id")
     sizes = clusters.groupBy("key").agg(F.count("*").alias("size"))
-    centres = vectors.mean_vectors(labelled.join(candidates.select("key"), "key", "left_semi"), "key").limit(1001).collect()
-    if len(centres) > 1000:
-        raise ValueError("more than 1000 candidates")
+    centres = vectors.mean_vectors(labelled.join(candidates.select("key"), "key", "left_semi"), "key").select(F.col("key").cast("string").alias("name"), "c")
     counted = labelled.join(candidates.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("mass"))
-    if not centres:
-        return counted.withColumn("reach", F.col("mass"))
     rest = labelled.join(candidates.select("key"), "key", "left_anti").join(sizes, "key").where(F.col("size") < mass).select("id", "v")
-    own = {str(r.key): r.c for r in centres} | ({"": [0.0] * len(centres[0].c)} if len(centres) == 1 else {})
-    near = vectors.top_two(rest, sorted(own.items())).where(F.col("best_score") >= tau - margin)
+    near = vectors.nearest_two(rest, centres, 1000).where(F.col("best_score") >= tau - margin)
     extra = near.groupBy(F.col("best").alias("k")).agg(F.count("*").alias("extra"))
     return counted.join(extra, F.col("key").cast("string") == F.col("k"), "left").select("key", "mass", (F.col("mass") + F.coalesce("extra", F.lit(0))).alias("reach"))

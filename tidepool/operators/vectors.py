@@ -44,12 +44,45 @@ def mean_vectors(rows: DataFrame, key: str, renormalise: bool = True) -> DataFra
 def top_two(rows: DataFrame, classes: list[tuple[str, list[float]]]) -> DataFrame:
     """rows with best, best_score, second, second_score over a few class vectors, which are
     literals of the plan: no join and no shuffle."""
+    if not classes:
+        none = {"best": "string", "best_score": "double", "second": "string", "second_score": "double"}
+        return rows.select(*rows.columns, *[F.lit(None).cast(t).alias(n) for n, t in none.items()])
     scored = F.array(*[F.struct((-dot(F.col("v"), F.array(*map(F.lit, c)))).alias("neg"), F.lit(n).alias("name")) for n, c in classes])
     ranked = rows.withColumn("ranked", F.array_sort(scored))
     pick = lambda i: F.get("ranked", F.lit(i))
     return ranked.select(*rows.columns, pick(0)["name"].alias("best"), (-pick(0)["neg"]).alias("best_score"), pick(1)["name"].alias("second"), (-pick(1)["neg"]).alias("second_score"))
 
 
+def nearest_two(rows: DataFrame, centres: DataFrame, most: int = 100) -> DataFrame:
+    """top_two over any number of centres (name, c). Up to `most` are literals; beyond that, blocks of
+    rows meet blocks of centres, and the two best of each row are kept of those of all blocks."""
+    few = centres.select("name", "c").limit(most + 1).collect()
+    if len(few) <= most:
+        return top_two(rows, sorted((r["name"], list(r["c"])) for r in few))
+    known = stored(centres.select("name", "c"), "centres")
+    own = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored-rows")
+    of = lambda df: max(1, -(-df.count() // BLOCK))
+    n, m = of(own), of(known)
+    blk = lambda x, k: F.pmod(F.xxhash64(x), F.lit(k)).cast("int")
+    left = own.groupBy(blk("row", n).alias("i")).agg(F.collect_list(F.struct("row", "v")).alias("x")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = known.groupBy(blk("name", m).alias("j")).agg(F.array_sort(F.collect_list(F.struct("name", "c"))).alias("y"))
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x, y in zip(pdf["x"], pdf["y"]):
+                ids, names = np.array([r["row"] for r in x]), np.array([r["name"] for r in y], object)
+                neg = -(np.stack([r["v"] for r in x]) @ np.stack([r["c"] for r in y]).T)
+                at = np.argsort(neg, axis=1, kind="stable")[:, :2]
+                yield pd.DataFrame({"row": np.repeat(ids, at.shape[1]), "neg": np.take_along_axis(neg, at, 1).ravel(), "name": names[at].ravel()})
+
+    found = left.join(right, "j").select("x", "y").mapInPandas(multiply, "row long, neg double, name string")
+    r = F.row_number().over(Window.partitionBy("row").orderBy("neg", "name"))
+    one = F.struct("neg", "name")
+    best = found.withColumn("r", r).where("r <= 2").groupBy("row").agg(F.min(one).alias("first"), F.max(one).alias("next"))
+    score = lambda x: -F.col(f"{x}.neg")
+    return own.join(best, "row").select(*rows.columns, F.col("first.name").alias("best"), score("first").alias("best_score"), F.col("next.name").alias("second"), score("next").alias("second_score"))
+
+
 def verdict(best: Column, second: Column, accept: float, gray: float, margin: float) -> Column:
     """question if two accept within the margin, else accept, gray or none."""
     return F.when((second >= accept) & (best - second < margin), "question").when(best >= accept, "accept").when(best >= gray, "gray").otherwise("none")

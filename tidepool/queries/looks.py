@@ -37,11 +37,8 @@ def unit(s, d):
 
 
 def classes(s, d):
-    """Class vectors: labels are a fixed, small vocabulary, which is checked."""
-    rows = vectors.mean_vectors(unit(s, d), "label").orderBy("label").limit(101).collect()
-    if len(rows) > 100:
-        raise ValueError("more than 100 classes: use a join instead of literals")
-    return [(str(r.label), r.c) for r in rows]
+    """Class vectors (name, c) of the labels."""
+    return vectors.mean_vectors(unit(s, d), "label").select(F.coalesce(c("label").cast("string"), F.lit("None")).alias("name"), "c")
 
 
 @add("vector_load", UNIT + " SELECT label, count(*) AS n, round(sum(v[1]), 6) AS total FROM u GROUP BY label")
@@ -60,28 +57,28 @@ TOP = UNIT + """, r AS (SELECT id, u.label, CAST(m.label AS VARCHAR) AS name, li
 
 @add("zero_shot_top2", TOP + " SELECT id, best, round(s1, 6) AS score, round(s1 - s2, 6) AS margin, s1 - s2 >= 0.05 AS confident, s1 - s2 >= 0.01 AS signal FROM t")
 def zero_shot_top2(s, d):
-    t = vectors.top_two(unit(s, d), classes(s, d))
+    t = vectors.nearest_two(unit(s, d), classes(s, d))
     gap = c("best_score") - c("second_score")
     return t.select("id", "best", F.round("best_score", 6).alias("score"), F.round(gap, 6).alias("margin"), (gap >= P.CONFIDENT).alias("confident"), (gap >= P.SIGNAL).alias("signal"))
 
 
 @add("clip_verdict", TOP + f" SELECT CASE WHEN s2 >= {ACCEPT} AND s1 - s2 < {MARGIN} THEN 'question' WHEN s1 >= {ACCEPT} THEN 'accept' WHEN s1 >= {GRAY} THEN 'gray' ELSE 'none' END AS verdict, count(*) AS files FROM t GROUP BY 1")
 def clip_verdict(s, d):
-    t = vectors.top_two(unit(s, d), classes(s, d))
+    t = vectors.nearest_two(unit(s, d), classes(s, d))
     return t.groupBy(vectors.verdict(c("best_score"), c("second_score"), ACCEPT, GRAY, MARGIN).alias("verdict")).agg(F.count("*").alias("files"))
 
 
 @add("identity_verdict", TOP + " SELECT id, CASE WHEN s1 >= 0.25 AND s2 <= s1 - 0.02 THEN 'accept' WHEN s1 >= 0.25 * 0.70 / 0.82 THEN 'gray' ELSE 'none' END AS verdict FROM t")
 def identity_verdict(s, d):
-    t = vectors.top_two(unit(s, d), classes(s, d))
+    t = vectors.nearest_two(unit(s, d), classes(s, d))
     return t.select("id", vectors.identity_verdict(c("best_score"), c("second_score"), 0.25, P.IDENTITY_MARGIN).alias("verdict"))
 
 
 @add("paperwork_score", UNIT + " SELECT id, round(max(list_dot_product(v, c)) FILTER (m.label < 3) - max(list_dot_product(v, c)) FILTER (m.label >= 3), 6) AS score FROM u, m GROUP BY id")
 def paperwork_score(s, d):
-    known = classes(s, d)
-    best = lambda keep: F.greatest(*[vectors.dot(c("v"), F.array(*map(F.lit, v))) for n, v in known if keep(int(n))])
-    return unit(s, d).select("id", F.round(best(lambda n: n < 3) - best(lambda n: n >= 3), 6).alias("score"))
+    known, side = classes(s, d), c("name").try_cast("int") < 3
+    paper = vectors.nearest_two(unit(s, d).select("id", "v"), known.where(side)).select("id", "v", c("best_score").alias("paper"))
+    return vectors.nearest_two(paper, known.where(~side)).select("id", F.round(c("paper") - c("best_score"), 6).alias("score"))
 
 
 @add("close_pairs", UNIT + f" SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 6) AS cos FROM u a JOIN u b ON a.id < b.id WHERE list_dot_product(a.v, b.v) >= {TAU}")
@@ -102,7 +99,7 @@ def cluster_medoid(s, d):
 
 @add("outlier_rank", UNIT + f" SELECT id, round(max(list_dot_product(v, c)), 6) AS best FROM u, m GROUP BY id HAVING max(list_dot_product(v, c)) < {OUTLIER}")
 def outlier_rank(s, d):
-    return vectors.top_two(unit(s, d), classes(s, d)).where(c("best_score") < OUTLIER).select("id", F.round("best_score", 6).alias("best"))
+    return vectors.nearest_two(unit(s, d), classes(s, d)).where(c("best_score") < OUTLIER).select("id", F.round("best_score", 6).alias("best"))
 
 
 @add("exemplar_topk", UNIT + " SELECT label, id, CAST(r AS INTEGER) AS r FROM (SELECT u.label, id, row_number() OVER (PARTITION BY u.label ORDER BY round(list_dot_product(v, c), 9) DESC, sha256(CAST(id AS VARCHAR))) AS r FROM u JOIN m USING (label)) WHERE r <= 5")
@@ -207,7 +204,7 @@ def stratified_sample(s, d):
 
 @add("gray_picks", TOP + " SELECT id, round(s1, 6) AS score FROM t WHERE s1 >= 0.2 AND s1 < 0.3")
 def gray_picks(s, d):
-    return vectors.top_two(unit(s, d), classes(s, d)).where("best_score >= 0.2 and best_score < 0.3").select("id", F.round("best_score", 6).alias("score"))
+    return vectors.nearest_two(unit(s, d), classes(s, d)).where("best_score >= 0.2 and best_score < 0.3").select("id", F.round("best_score", 6).alias("score"))
 
 
 @add("rename_ledger", "SELECT DISTINCT conv_id AS subject, lower(role) || '-' || turn AS name FROM conversations")
@@ -286,7 +283,7 @@ def skipped_before(s, d):
 
 @add("question_pairs", TOP.replace("a.name AS best,", "a.name AS best, b.name AS second,") + f" SELECT least(best, second) AS first, greatest(best, second) AS second, count(*) AS files FROM t WHERE s1 - s2 < {MARGIN} GROUP BY ALL")
 def question_pairs(s, d):
-    t = vectors.top_two(unit(s, d), classes(s, d)).where(c("best_score") - c("second_score") < MARGIN)
+    t = vectors.nearest_two(unit(s, d), classes(s, d)).where(c("best_score") - c("second_score") < MARGIN)
     return t.groupBy(F.least("best", "second").alias("first"), F.greatest("best", "second").alias("second")).agg(F.count("*").alias("files"))
 
 

@@ -138,7 +138,7 @@ def blast_radius(s, d):
 
 @add("ladder_picks")
 def ladder_picks(s, d):
-    scored = vectors.top_two(unit(s, d), classes(s, d))
+    scored = vectors.nearest_two(unit(s, d), classes(s, d))
     near = vectors.nearest_members(unit(s, d), "label", 3).select("id", c("r").alias("medoid_rank"))
     rows = scored.join(near, "id", "left").select(
         "label", "id", F.lit(10).alias("budget"), "medoid_rank", F.when((c("best_score") >= GRAY) & (c("best_score") < TAU), c("best_score")).alias("gray"), F.when(c("best_score") < 0.15, c("best_score")).alias("outlier"))
