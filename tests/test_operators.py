@@ -102,9 +102,11 @@ def test_twins_prefer_the_tree_and_keep_the_shortest(spark):
     assert {r.path: r.twin for r in got.collect()} == {"s/X 2.jpg": "s/X.jpg", "s/y.jpg": "tree/a.jpg"}
 
 
-def test_aliases_follow_chains_and_stop_at_loops(spark):
-    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (8, 7)], "id long, target long")
-    assert {r.id: r.root for r in joins.resolve_aliases(links).collect()} == {1: 4, 2: 4, 3: 4, 7: None, 8: None}
+def test_aliases_follow_chains_and_refuse_loops(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 41)], "id long, target long")
+    assert {r.id: r.root for r in joins.resolve_aliases(links).collect()} == {i: 41 for i in range(1, 41)}
+    with pytest.raises(ValueError, match="loop"):
+        joins.resolve_aliases(links.union(spark.createDataFrame([(77, 78), (78, 77)], links.schema)))
 
 
 def test_touching_cells_are_eight_connected(spark):

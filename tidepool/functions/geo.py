@@ -48,22 +48,54 @@ def crossings(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """
     boxes = edges.groupBy("shape").agg(F.min("y1").alias("s"), F.max("y1").alias("n"), F.min("x1").alias("w"), F.max("x1").alias("e"))
     near = points.join(small(boxes), in_box(F.col("lat"), F.col("lon"), F.col("s"), F.col("w"), F.col("n"), F.col("e"))).drop("s", "n", "w", "e")
-    cross = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (
-        F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    )
+    # an edge is crossed by the ray to the east if the point lies between its ends in latitude and west of it
+    between = (F.col("lat") < F.greatest("y1", "y2")) & (F.col("lat") >= F.least("y1", "y2"))
+    at = F.col("x1") + (F.col("lat") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    cross = between & (F.col("lon") < at)
     hit = F.count_if(F.when(F.col("y1") != F.col("y2"), cross).otherwise(F.lit(False)))
     return near.join(small(edges, 1_000_000), "shape").groupBy(*key, "shape").agg((hit % 2 == 1).alias("inside"))
 
 
-def edge_km(points: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """key, shape, km: distance to the nearest edge of each shape, on a local flat map."""
-    kx, ky = F.cos(F.radians("lat")) * 111.32, F.lit(110.57)
-    px, py = F.col("lon") * kx, F.col("lat") * ky
-    ax, ay = F.col("x1") * kx, F.col("y1") * ky
-    dx, dy = F.col("x2") * kx - ax, F.col("y2") * ky - ay
-    along = F.coalesce(((px - ax) * dx + (py - ay) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    return points.join(small(edges, 1_000_000)).groupBy(*key, "shape").agg(F.min(F.hypot(px - ax - t * dx, py - ay - t * dy)).alias("km"))
+def nearest_of(lat: Column, lon: Column, places: list[tuple[float, float, Column, dict]]) -> Column:
+    """struct(km, fields...) of the nearest of a few places that are literals of the plan (lat, lon,
+    whether it counts, fields): no join and no shuffle. NULL if none counts."""
+    if not places:
+        return F.lit(None).cast("struct<km:double>")
+    text = lambda v: F.lit(v).cast("string")
+    found = [F.when(counts & lat.isNotNull(), F.struct(haversine_km(lat, lon, F.lit(y), F.lit(x)).alias("km"), *[text(v).alias(k) for k, v in own.items()])) for y, x, counts, own in places]
+    return F.array_min(F.array(*found))
+
+
+#: Kilometres a degree of latitude, and of longitude at the equator.
+LAT_KM, LON_KM = 110.57, 111.32
+
+
+def segment_km(lat: Column, lon: Column, y1: Column, x1: Column, y2: Column, x2: Column) -> Column:
+    """Distance from a point to a segment on the flat map around the point: the point is projected on
+    the segment's line and held within its ends."""
+    east = lambda x: (x - lon) * F.cos(F.radians(lat)) * LON_KM
+    north = lambda y: (y - lat) * LAT_KM
+    along_east, along_north = east(x2) - east(x1), north(y2) - north(y1)
+    square = along_east * along_east + along_north * along_north
+    share = -(east(x1) * along_east + north(y1) * along_north) / F.nullif(square, F.lit(0.0))
+    held = F.coalesce(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return F.hypot(east(x1) + held * along_east, north(y1) + held * along_north)
+
+
+def edge_km(points: DataFrame, edges: DataFrame, key: list[str], near_km: float | None = None) -> DataFrame:
+    """key, shape, km: distance to the nearest edge of each shape; with near_km only edges in whose
+    grown box the point lies are looked at, so shapes further away may be missing."""
+    e = {n: F.col(n) for n in ("y1", "x1", "y2", "x2")}
+    pairs = small(edges, 1_000_000)
+    if near_km is None:
+        met = points.join(pairs)
+    else:
+        dy = near_km / LAT_KM
+        dx = near_km / (LON_KM * F.cos(F.radians("lat")))
+        low, high = lambda a, b: F.least(e[a], e[b]), lambda a, b: F.greatest(e[a], e[b])
+        met = points.join(pairs, in_box(F.col("lat"), F.col("lon"), low("y1", "y2") - dy, low("x1", "x2") - dx, high("y1", "y2") + dy, high("x1", "x2") + dx))
+    km = segment_km(F.col("lat"), F.col("lon"), *e.values())
+    return met.groupBy(*key, "shape").agg(F.min(km).alias("km"))
 
 
 def country_of(points: DataFrame, edges: DataFrame, key: list[str], near_km: float) -> DataFrame:
@@ -71,5 +103,5 @@ def country_of(points: DataFrame, edges: DataFrame, key: list[str], near_km: flo
     several that hold it the first by name counts."""
     held = crossings(points, edges, key).where("inside").groupBy(*key).agg(F.min("shape").alias("held"))
     outside = points.join(held, key, "left_anti")
-    near = edge_km(outside, edges, key).where(F.col("km") <= near_km).groupBy(*key).agg(F.min_by("shape", F.struct("km", "shape")).alias("near"))
+    near = edge_km(outside, edges, key, near_km).where(F.col("km") <= near_km).groupBy(*key).agg(F.min_by("shape", F.struct("km", "shape")).alias("near"))
     return points.select(*key).join(held, key, "left").join(near, key, "left").select(*key, F.coalesce("held", "near").alias("shape"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,26 @@ def place_kind(tags: Column) -> Column:
         .when(has("tourism", "attraction", "museum", "viewpoint"), "sight")
         .when(F.map_contains_key(tags, "highway"), "street")
     )
+
+
+def _folded(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+
+def folded(name: Column) -> Column:
+    """A name regardless of letter case and width (no built-in function normalises so)."""
+    return F.pandas_udf(_folded, "string")(name)
+
+
+def near_names(rows: DataFrame, name: str) -> DataFrame:
+    """(first, second, distance) of different names that are equal once folded, or one edit apart where
+    both have four characters or more. Names within one edit share a key: the name itself or the
+    name without one of its characters. So the join is an equi-join on these keys."""
+    own = rows.select(F.col(name).alias("w")).where("w is not null").distinct().select("w", folded(F.col("w")).alias("f"))
+    drop = F.transform(F.sequence(F.lit(1), F.length("f")), lambda i: F.concat(F.substring("f", F.lit(1), i - 1), F.substring("f", i + 1, F.length("f"))))
+    keys = F.when(F.length("f") >= 4, F.array_distinct(F.concat(F.array("f"), drop))).otherwise(F.array("f"))
+    keyed = own.select("w", "f", F.explode(keys).alias("k"))
+    left, right = keyed.select("k", F.col("w").alias("first"), F.col("f").alias("f1")), keyed.select("k", F.col("w").alias("second"), F.col("f").alias("f2"))
+    met = left.join(right, "k").where("first < second").withColumn("distance", F.levenshtein("f1", "f2"))
+    close = (F.col("distance") == 0) | ((F.col("distance") == 1) & (F.least(F.length("f1"), F.length("f2")) >= 4))
+    return met.where(close).select("first", "second", "distance").distinct()

@@ -213,18 +213,38 @@ def is_view_confirmed(value: Column) -> Column:
     return value.isin("viewed-image", "viewed-image:")
 
 
+#: Brands of ISO media files.
+HEIF_BRANDS = ("heic", "heix", "hevc", "hevx", "heim", "heis", "mif1", "msf1")
+BRANDS = {
+    "MOV": ("qt  ",),
+    "M4V": ("M4V ", "M4VH", "M4VP"),
+    "MP4": ("isom", "iso2", "iso4", "iso5", "iso6", "mp41", "mp42", "avc1", "dash", "MSNV"),
+    "3GP": ("3gp4", "3gp5", "3gp6", "3gp7", "3ge6", "3ge7", "3gg6", "3g2a"),
+}
+QUICKTIME_ATOMS = ("moov", "mdat", "wide", "free", "skip", "pnot")
+HEAD_BYTES = 64
+
+
 def sniff(content: Column) -> Column:
-    """File type from the first bytes."""
-    head = F.hex(F.substring(content, 1, 12))
-    brand = F.substring(head, 17, 8)
+    """File type from the first bytes, NULL if they tell none. A media box is named by its major
+    brand; one that is not known still counts as HEIC if its compatible brands hold one of HEIF."""
+    code = lambda s: s.encode().hex().upper()
+    codes = lambda names: [code(n) for n in names]
+    head = F.hex(F.substring(content, 1, HEAD_BYTES))
+    word = lambda i: F.substring(head, 8 * i + 1, 8)
+    size = F.conv(word(0), 16, 10).cast("long")
+    ends = F.least(F.floor(F.least(size, F.floor(F.length(head) / 2)) / 4), F.lit(HEAD_BYTES // 4)).cast("int")
+    others = F.when(ends > 4, F.transform(F.sequence(F.lit(4), ends - 1), lambda i: F.substring(head, 8 * i + 1, F.lit(8))))
+    box = F.when(word(2).isin(codes(HEIF_BRANDS)), "HEIC")
+    for kind, brands in BRANDS.items():
+        box = box.when(word(2).isin(codes(brands)), kind)
+    box = box.when(F.coalesce(F.arrays_overlap(others, F.array(*map(F.lit, codes(HEIF_BRANDS)))), F.lit(False)), "HEIC")
     return (
         F.when(head.startswith("FFD8FF"), "JPEG")
         .when(head.startswith("89504E470D0A1A0A"), "PNG")
-        .when(head.startswith("474946383761") | head.startswith("474946383961"), "GIF")
-        .when(head.startswith("52494646") & (brand == "57454250"), "WEBP")
-        .when(head.startswith("52494646") & (brand == "41564920"), "AVI")
-        .when((F.substring(head, 9, 8) == "66747970") & brand.isin("68656963", "68656978", "6D696631"), "HEIC")
-        .when((F.substring(head, 9, 8) == "66747970") & (brand == "71742020"), "MOV")
-        .when((F.substring(head, 9, 8) == "66747970") & brand.startswith("336770"), "3GP")
-        .when(F.substring(head, 9, 8) == "66747970", "MP4")
+        .when(head.startswith(code("GIF87a")) | head.startswith(code("GIF89a")), "GIF")
+        .when((word(0) == code("RIFF")) & (word(2) == code("WEBP")), "WEBP")
+        .when((word(0) == code("RIFF")) & (word(2) == code("AVI ")), "AVI")
+        .when((word(1) == code("ftyp")) & (F.length(head) >= 24), box)
+        .when(word(1).isin(codes(QUICKTIME_ATOMS)), "MOV")
     )

@@ -2,32 +2,83 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool import params as P
 from tidepool.functions import geo
 from tidepool.operators.vectors import ordered_leaders
-from tidepool.plans.stored import stored
+from tidepool.plans.stored import discard, stored
 
+#: Cells along an edge of a tile that one task labels.
+TILE = 128
 
-def touching_cells(cells: DataFrame) -> DataFrame:
-    """(cy, cx, place): 8-connected components of distinct cells. Labels fall to the smallest
-    neighbour's and then jump to their label's label, so rounds grow with the logarithm
-    of a component's width; each round is a join on cells."""
-    now = cells.select("cy", "cx").distinct().withColumn("place", F.struct("cy", "cx"))
-    now = stored(now, "cells")
-    around = F.expr("explode(flatten(transform(sequence(-1, 1), y -> transform(sequence(-1, 1), x -> struct(cy + y AS cy, cx + x AS cx)))))")
+
+def tile_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Smallest (cy, cx) of the piece of each cell of one tile; a tile has TILE * TILE cells at most."""
+    y0, x0 = pdf["cy"].min(), pdf["cx"].min()
+    y, x = (pdf["cy"] - y0).to_numpy() + 1, (pdf["cx"] - x0).to_numpy() + 1
+    none = np.iinfo(np.int32).max
+    grid = np.full((y.max() + 2, x.max() + 2), none, np.int32)
+    grid[y, x] = y * grid.shape[1] + x
+    held = grid < none
+    while True:
+        low = grid
+        for step in (1, -1):
+            low = np.minimum(low, np.roll(low, step, 0))
+        for step in (1, -1):
+            low = np.minimum(low, np.roll(low, step, 1))
+        low = np.where(held, low, none)
+        # a label's own label is as small or smaller
+        low = np.where(held, np.minimum(low, np.append(low.ravel(), none)[np.minimum(low, low.size)]), none)
+        if (low == grid).all():
+            break
+        grid = low
+    label = grid[y, x].astype(np.int64)
+    return pdf[["cy", "cx"]].assign(py=label // grid.shape[1] - 1 + y0, px=label % grid.shape[1] - 1 + x0)
+
+
+def smallest_linked(links: DataFrame) -> DataFrame:
+    """(label, root) of linked labels (a, b): labels fall to the smallest neighbour's and then jump to
+    their label's label, so rounds grow with the logarithm of a component's width."""
+    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "label-links")
+    now = stored(both.select(F.col("a").alias("label"), F.col("a").alias("root")).distinct(), "labels")
     while True:
-        near = now.select("place", around.alias("at")).select("at.*", "place").groupBy("cy", "cx").agg(F.min("place").alias("low"))
-        met = now.join(near, ["cy", "cx"])
-        to = now.select(F.struct("cy", "cx").alias("low"), F.col("place").alias("further"))
-        new = stored(met.join(to, "low", "left").select("cy", "cx", F.least("place", "low", F.coalesce("further", "low")).alias("place"), (F.col("place") != F.least("place", "low", F.coalesce("further", "low"))).alias("moved")), "cells")
-        now = new.drop("moved")
-        if not new.where("moved").limit(1).count():
+        near = both.join(now.select(F.col("label").alias("b"), "root"), "b").groupBy(F.col("a").alias("label")).agg(F.min("root").alias("near"))
+        low = F.least("root", "near")
+        to = now.select(F.col("label").alias("low"), F.col("root").alias("further"))
+        met = now.join(near, "label").select("label", "root", low.alias("low")).join(to, "low", "left")
+        best = F.least("low", F.coalesce("further", "low"))
+        new = stored(met.select("label", best.alias("root"), (F.col("root") != best).alias("moved")), "labels")
+        moved = new.where("moved").limit(1).count()
+        discard(now)
+        now = new.select("label", "root")
+        if not moved:
             return now
 
 
+def touching_cells(cells: DataFrame) -> DataFrame:
+    """(cy, cx, place): 8-connected components of distinct cells, named by their smallest cell.
+
+    Tiles of TILE * TILE cells are labelled each in one task; only labels that touch across an
+    edge of a tile are then joined in rounds, so rounds see few rows however many cells there are."""
+    tile = lambda c: F.floor(F.col(c) / TILE).alias("t" + c)
+    own = cells.select("cy", "cx").distinct().select("cy", "cx", tile("cy"), tile("cx"))
+    named = stored(own.groupBy("tcy", "tcx").applyInPandas(lambda pdf: tile_pieces(pdf), "cy long, cx long, py long, px long"), "cells")
+    label = F.struct("py", "px")
+    edge = F.pmod(F.col("cy"), F.lit(TILE)).isin(0, TILE - 1) | F.pmod(F.col("cx"), F.lit(TILE)).isin(0, TILE - 1)
+    around = F.expr("explode(flatten(transform(sequence(-1, 1), y -> transform(sequence(-1, 1), x -> struct(cy + y AS cy, cx + x AS cx)))))")
+    border = named.where(edge)
+    links = border.select(label.alias("a"), around.alias("at")).select("a", "at.*").join(border.select("cy", "cx", label.alias("b")), ["cy", "cx"]).where("a < b").select("a", "b").distinct()
+    links = stored(links, "touching")
+    pieces = named.select("cy", "cx", label.alias("label"))
+    if not links.limit(1).count():
+        return pieces.withColumnRenamed("label", "place")
+    return pieces.join(smallest_linked(links), "label", "left").select("cy", "cx", F.coalesce("root", "label").alias("place"))
+
+
 def places(rows: DataFrame) -> DataFrame:
     """Evidence of each place of rows (lat, lon, day, month, night) and whether it clears the home bars."""
     celled = rows.withColumn("cy", geo.cell_floor(F.col("lat"), P.CENSUS_CELL)).withColumn("cx", geo.cell_floor(F.col("lon"), P.CENSUS_CELL))
@@ -36,8 +87,8 @@ def places(rows: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("night"), F.col("day"))).alias("night_days"),
         F.count_distinct("month").alias("months"),
         F.count("*").alias("files"),
-        F.round(F.avg("lat"), 6).alias("lat"),
-        F.round(F.avg("lon"), 6).alias("lon"),
+        F.round(F.avg("lat"), 9).alias("lat"),
+        F.round(F.avg("lon"), 9).alias("lon"),
     )
     missed = F.concat_ws(",", F.when(F.col("days") < P.HOME_MIN_DAYS, "days"), F.when(F.col("night_days") < P.HOME_MIN_NIGHT_DAYS, "night_days"))
     return found.withColumn("missed", missed).withColumn("proposed", missed == "")

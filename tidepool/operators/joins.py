@@ -5,26 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.plans.stored import discard, stored
+
 
 def nearest_offset(rows: DataFrame, keys: list[str], window_seconds: int, bucket_seconds: int | None = None) -> DataFrame:
     """The nearest donor of each asking row within the window, in either direction.
 
     rows: keys, id, at (timestamp), offset (NULL for askers). Ties take the earlier donor,
-    then the smaller offset. Time buckets of one window's width bound what meets:
-    an asker looks into its own bucket and the two beside it. So the join is
-    an equi-join and a hot key is spread over its buckets.
+    then the smaller offset. Donors go to the time bucket (one window wide) of theirs and the
+    two beside it, so an asker meets all it may use in its own bucket; there one sort gives the last
+    donor up to it and the first one after it. A hot key is spread over its buckets.
     """
-    width = bucket_seconds or window_seconds
-    second = F.unix_micros(F.col("at").cast("timestamp")) / F.lit(1_000_000)
-    bucket = F.floor(second / width)
-    donors = rows.where("offset is not null").select(*keys, bucket.alias("b"), F.col("at").alias("d_at"), F.col("offset").alias("d_offset"))
-    # equal donors answer alike
-    donors = donors.distinct()
-    askers = rows.where("offset is null").select(*keys, "id", F.col("at").alias("q_at"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("b"))
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    gap = F.abs(micros("q_at") - micros("d_at"))
-    met = askers.join(donors, [*keys, "b"]).withColumn("gap", gap).where(F.col("gap") <= window_seconds * 1_000_000)
-    return met.groupBy(*keys, "id").agg(F.min_by(F.struct("d_at", "d_offset"), F.struct("gap", "d_at", "d_offset")).alias("n")).select(*keys, "id", "n.d_at", "n.d_offset")
+    width = (bucket_seconds or window_seconds) * 1_000_000
+    at = micros(F.col("at"))
+    bucket = F.floor(at / width)
+    # of equal times the smallest offset counts
+    donors = rows.where("offset is not null").groupBy(*keys, "at").agg(F.min("offset").alias("offset"))
+    donors = donors.select(*keys, F.lit(None).cast(dict(rows.dtypes)["id"]).alias("id"), "at", F.struct("at", "offset").alias("donor"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("b"))
+    askers = rows.where("offset is null").select(*keys, "id", "at", F.lit(None).cast(donors.schema["donor"].dataType).alias("donor"), bucket.alias("b"))
+    w = Window.partitionBy(*keys, "b").orderBy("at", F.col("donor").isNull())
+    before = F.last("donor", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("donor", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    met = donors.unionByName(askers).withColumn("before", before).withColumn("after", after).where("donor is null")
+    gap = lambda c: F.abs(micros(F.col("at")) - micros(F.col(f"{c}.at")))
+    near = met.withColumn("n", F.when(F.coalesce(gap("before") <= gap("after"), F.col("before").isNotNull()), F.col("before")).otherwise(F.col("after")))
+    return near.where(gap("n") <= window_seconds * 1_000_000).select(*keys, "id", F.col("n.at").alias("d_at"), F.col("n.offset").alias("d_offset"))
+
+
+def micros(at: Column) -> Column:
+    """Microseconds of a local time, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at.cast("timestamp_ntz"))
 
 
 def neighbour_days(rows: DataFrame) -> DataFrame:
@@ -58,11 +68,11 @@ def control(rows: DataFrame) -> DataFrame:
 
 def name_size_duplicates(rows: DataFrame, reference: DataFrame) -> DataFrame:
     """unique, duplicate or collision of rows (id, name, size, sha) against a
-    reference (ord, name, size, sha): the hash counts only where name and size agree."""
-    ref = reference.select("name", "size", F.col("sha").alias("r_sha"), "ord")
-    met = rows.join(ref, ["name", "size"], "left").groupBy("id").agg(
-        F.count("ord").alias("candidates"), F.min(F.when(F.col("sha") == F.col("r_sha"), F.col("ord"))).alias("match")
-    )
+    reference (ord, name, size, sha): the hash counts only where name and size agree. The reference
+    is counted by key first, so a hot name costs one row a key."""
+    named = reference.groupBy("name", "size").agg(F.count("*").alias("candidates"))
+    same = reference.groupBy("name", "size", "sha").agg(F.min("ord").alias("match"))
+    met = rows.join(named, ["name", "size"], "left").join(same, ["name", "size", "sha"], "left")
     kind = F.when(F.col("match").isNotNull(), "duplicate").when(F.col("candidates") > 0, "collision").otherwise("unique")
     return met.select("id", kind.alias("verdict"), "match")
 
@@ -84,17 +94,15 @@ def twins(files: DataFrame, tree: DataFrame) -> DataFrame:
 
 def staleness(rows: DataFrame, present: DataFrame) -> DataFrame:
     """present, moved, ambiguous or gone for rows (path, name, size) against the files
-    that are there (path, name, size); equal sizes narrow the candidates."""
-    there = present.select(F.col("path"), F.lit(True).alias("here"))
-    cand = present.select("name", F.col("size").alias("c_size"), F.col("path").alias("c_path"))
-    sized = (F.col("size") == F.col("c_size")) & (F.col("size") > 0)
-    counted = rows.join(cand, "name", "left").groupBy("path").agg(
-        F.count("c_path").alias("n"), F.count_if(sized).alias("n_sized"), F.min("c_path").alias("first"), F.min(F.when(sized, F.col("c_path"))).alias("first_sized")
-    )
-    n = F.when(F.col("n_sized") > 0, F.col("n_sized")).otherwise(F.col("n"))
-    best = F.when(F.col("n_sized") > 0, F.col("first_sized")).otherwise(F.col("first"))
+    that are there (path, name, size); equal sizes narrow the candidates. Candidates are counted by
+    name, and by name and size, before they meet rows."""
+    there = present.select("path", F.lit(True).alias("here")).distinct()
+    named = present.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("first"))
+    sized = present.where("size > 0").groupBy("name", "size").agg(F.count("*").alias("n_sized"), F.min("path").alias("first_sized"))
+    met = rows.join(named, "name", "left").join(sized, ["name", "size"], "left").join(there, "path", "left")
+    n, best = F.coalesce("n_sized", "n", F.lit(0)), F.coalesce("first_sized", "first")
     out = F.when(F.col("here"), "present").when(n == 0, "gone").when(n == 1, "moved").otherwise("ambiguous")
-    return counted.join(there, "path", "left").select("path", out.alias("verdict"), F.when(out.isin("moved", "ambiguous"), best).alias("candidate"))
+    return met.select("path", out.alias("verdict"), F.when(out.isin("moved", "ambiguous"), best).alias("candidate"))
 
 
 def collision_suffix(rows: DataFrame) -> DataFrame:
@@ -106,17 +114,21 @@ def collision_suffix(rows: DataFrame) -> DataFrame:
     return rows.select("dest", "id", F.when(n == 1, F.col("name")).otherwise(F.concat(stem, F.lit("_dup"), n.cast("string"), ext)).alias("final"))
 
 
-def resolve_aliases(links: DataFrame, limit: int = 16) -> DataFrame:
-    """(id, root) by following id -> target for at most limit steps, doubling the step
-    each time. A loop ends at NULL."""
-    now = links.select("id", "target")
-    steps = 1
-    while steps < limit:
+def resolve_aliases(links: DataFrame) -> DataFrame:
+    """(id, root) by following id -> target to its end, doubling the step each round. An id whose
+    way never ends is on a loop or leads into one: that is an error."""
+    now, reach, count = stored(links.select("id", "target"), "aliases"), 1, None
+    while True:
         ahead = now.select(F.col("id").alias("target"), F.col("target").alias("next"))
-        now = now.join(ahead, "target", "left").select("id", F.coalesce("next", "target").alias("target"))
-        steps *= 2
-    still = now.join(links.select(F.col("id").alias("target"), F.lit(True).alias("on")), "target", "left")
-    return still.select("id", F.when(F.col("on").isNull(), F.col("target")).alias("root"))
+        new = stored(now.join(ahead, "target", "left").select("id", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved")), "aliases")
+        discard(now)
+        now = new.select("id", "target")
+        if not new.where("moved").limit(1).count():
+            return now.select("id", F.col("target").alias("root"))
+        count = links.count() if count is None else count
+        if reach > count:
+            raise ValueError(f"aliases run in a loop, among others from {new.where('moved').first()['id']}")
+        reach *= 2
 
 
 def outermost(paths: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def axes(members: DataFrame, key: str) -> DataFrame:
     base = members.groupBy(key).agg(
         F.count("*").alias("mass"),
         F.count_distinct(F.to_date("taken")).alias("days"),
-        F.count_distinct(F.date_format("taken", "yyyy-MM-dd").substr(1, 9)).alias("months"),
+        F.count_distinct(F.date_format("taken", "yyyy-MM")).alias("months"),
         F.round(F.count_if(F.hour("taken").isin(*P.NIGHT_HOURS)) / F.nullif(F.count_if(dated), F.lit(0)), 3).alias("night_share"),
         F.round(F.count_if(~F.col("has_camera")) / F.count("*"), 3).alias("no_camera_share"),
     )

@@ -39,7 +39,7 @@ def sessions(rows: DataFrame, keys: list[str], at: Column, gap_seconds: int) ->
     """Gap sessions of each key: number, start, end and rows."""
     w = Window.partitionBy(*keys).orderBy("at")
     timed = rows.select(*keys, at.alias("at"))
-    new = F.coalesce(F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.lag("at").over(w).cast("timestamp")) > gap_seconds * 1_000_000, F.lit(True))
+    new = F.coalesce(F.timestamp_diff("MICROSECOND", F.lag("at").over(w), F.col("at")) > gap_seconds * 1_000_000, F.lit(True))
     numbered = timed.withColumn("new", new.cast("int")).withColumn("session", F.sum("new").over(w))
     return numbered.groupBy(*keys, "session").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count("*").alias("rows"))
 
@@ -121,4 +121,11 @@ def upper_median_bands(rows: DataFrame, key: str, hour: Column) -> DataFrame:
     return upto.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(key).agg(band_of(F.min("hour")).alias("band"))
 
 
-
+def drop_offs(rows: DataFrame, key: str, absent: int, least: int = 3) -> DataFrame:
+    """(key, months, last_month, trailing) of keys that were seen in `least` months or more and in none
+    of the last `absent` months or more. Only months that occur at all (yyyy-MM) count as positions;
+    these few hundred rows at most are ranked in one task."""
+    seen = rows.select(key, "month").distinct()
+    place = seen.select("month").distinct().select("month", F.row_number().over(Window.orderBy(F.desc("month"))).alias("after"))
+    own = seen.join(F.broadcast(place), "month").groupBy(key).agg(F.count("*").alias("months"), F.max("month").alias("last_month"), (F.min("after") - 1).cast("long").alias("trailing"))
+    return own.where((F.col("months") >= least) & (F.col("trailing") >= absent))

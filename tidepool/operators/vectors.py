@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.plans.stored import small, stored
+from tidepool.plans.stored import discard, small, stored
 
 BLOCK = 1024
 
@@ -92,14 +92,14 @@ def identity_verdict(best: Column, second: Column, floor: float, margin: float)
     return F.when((best >= floor) & (F.coalesce(second, F.lit(-1.0)) <= best - margin), "accept").when(best >= floor * 0.70 / 0.82, "gray").otherwise("none")
 
 
-def close_pairs(rows: DataFrame, tau: float, most_blocks: int = 4096) -> DataFrame:
+def close_pairs(rows: DataFrame, tau: float) -> DataFrame:
     """(a, b, cos) with a < b and cos >= tau, exactly, by matrix products of blocks.
 
     Blocks meet on the key (left block, right block), so each pair of blocks is one row of
     work and no task holds more than two blocks.
     """
     n = rows.count()
-    blocks = max(1, min(most_blocks, -(-n // BLOCK)))
+    blocks = max(1, -(-n // BLOCK))
     own = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("blk"))
     packed = own.groupBy("blk").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -119,6 +119,52 @@ def close_pairs(rows: DataFrame, tau: float, most_blocks: int = 4096) -> DataFra
     return left.join(right, "j").select("i", "j", "x", "y").mapInPandas(multiply, "a long, b long, cos double")
 
 
+def key_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """(key, blk, x): rows (id, v) of each key in blocks of about BLOCK rows, by a hash of the id."""
+    sizes = rows.groupBy(F.col(key).alias("of")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = rows.join(small(sizes), F.col(key).eqNullSafe(F.col("of"))).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    return dealt.groupBy(key, "blk").agg(F.collect_list(F.struct("id", "v")).alias("x"))
+
+
+def block_pairs(left: DataFrame, right: DataFrame, key: str, condition: Column) -> DataFrame:
+    """(k, i, x, j, y): pairs of blocks of one key."""
+    y = right.select(F.col(key).alias("other"), F.col("blk").alias("j"), F.col("x").alias("y"))
+    pairs = left.withColumnRenamed("blk", "i").join(y, F.col(key).eqNullSafe(F.col("other")))
+    return pairs.where(condition).select(F.col(key).alias("k"), "i", "x", "j", "y")
+
+
+def coherence(rows: DataFrame, key: str) -> DataFrame:
+    """(key, least): the smallest cosine between two rows (id, v) of each key."""
+    blocks = stored(key_blocks(rows.select(key, "id", "v"), key), "key-blocks")
+
+    def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, j, x, y in zip(pdf["i"], pdf["j"], pdf["x"], pdf["y"]):
+                cos = np.stack([r["v"] for r in x]) @ np.stack([r["v"] for r in y]).T
+                if i == j:
+                    np.fill_diagonal(cos, np.inf)
+                out.append(cos.min())
+            yield pd.DataFrame({"k": pdf["k"], "least": out})
+
+    pairs = block_pairs(blocks, blocks, key, F.col("i") <= F.col("j"))
+    found = pairs.mapInPandas(lowest, f"k {dict(rows.dtypes)[key]}, least double")
+    return found.where(~F.col("least").isin(float("inf"))).groupBy(F.col("k").alias(key)).agg(F.min("least").alias("least"))
+
+
+def most_alike(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """(id, cos): the largest cosine of each row to the other rows (id, v) of its key, by blocks."""
+
+    def highest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x, y in zip(pdf["x"], pdf["y"]):
+                cos = np.stack([r["v"] for r in x]) @ np.stack([r["v"] for r in y]).T
+                yield pd.DataFrame({"id": [r["id"] for r in x], "cos": cos.max(axis=1)})
+
+    pairs = block_pairs(key_blocks(rows.select(key, "id", "v"), key), key_blocks(others.select(key, "id", "v"), key), key, F.lit(True))
+    return pairs.mapInPandas(highest, f"id {dict(rows.dtypes)['id']}, cos double").groupBy("id").agg(F.max("cos").alias("cos"))
+
+
 def ordered_leaders(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, leader): rows in the order of rank lead and claim what is left beside them.
 
@@ -129,12 +175,15 @@ def ordered_leaders(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
     first = ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra"))
     other = ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb"))
     before = stored(pairs.join(first, "a").join(other, "b").where("rb < ra").select("a", "b", "rb"), "earlier")
-    state = stored(ranked.select("id", F.lit(None).cast("boolean").alias("leads")), "leaders")
+    # a row without earlier neighbours leads at once
+    waiting = before.select(F.col("a").alias("id")).distinct().withColumn("waits", F.lit(True))
+    state = stored(ranked.select("id").join(waiting, "id", "left").select("id", F.when(F.col("waits").isNull(), F.lit(True)).alias("leads")), "leaders")
     while state.where("leads is null").limit(1).count():
         known = before.join(state.select(F.col("id").alias("b"), "leads"), "b")
         seen = known.groupBy(F.col("a").alias("id")).agg(F.bool_or(F.coalesce("leads", F.lit(False))).alias("near"), F.count_if(F.col("leads").isNull()).alias("open"))
         new = F.when(F.coalesce("near", F.lit(False)), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
-        state = stored(state.join(seen, "id", "left").select("id", F.coalesce("leads", new).alias("leads")), "leaders")
+        old, state = state, stored(state.join(seen, "id", "left").select("id", F.coalesce("leads", new).alias("leads")), "leaders")
+        discard(old)
     lead = state.where("leads").select(F.col("id").alias("b"))
     claimed = before.join(lead, "b").groupBy(F.col("a").alias("id")).agg(F.min_by("b", "rb").alias("leader"))
     return state.join(claimed, "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader"))

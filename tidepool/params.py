@@ -13,6 +13,7 @@ IDENTITY_FLOOR, IDENTITY_MARGIN, COHERENCE = 0.45, 0.02, 0.33
 MIN_BOX_SCORE, BOX_PAD, MIN_BOX_SHARE, BOX_CONTAINMENT = 0.5, 0.12, 0.02, 0.55
 SAMPLE_RATE_GPS, SAMPLE_RATE_NO_GPS, SAMPLE_MIN, SAMPLE_MAX = 0.10, 0.05, 10, 40
 AS_OF_HOURS = 24
+PLACE_KM, LANDMARK_KM, OUTLINE_KM = 1.0, 0.3, 15.0
 EARTH_KM = 6371.0
 PHOTO_EXT = ("jpg", "jpeg", "heic", "heif", "png", "gif", "webp", "tif", "tiff", "dng")
 VIDEO_EXT = ("mov", "mp4", "m4v", "avi", "3gp")

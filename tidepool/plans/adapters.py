@@ -24,15 +24,17 @@ SELECT event_id AS file_no,
   CASE WHEN event_id % 5 = 0 THEN '-' ELSE replace(substr(CAST(ts AS STRING), 1, 10), '-', ':') || ' 12:00:00' END AS create_date,
   CASE event_id % 4 WHEN 0 THEN '+08:00' WHEN 1 THEN '+0900' WHEN 2 THEN '-' ELSE '-03:30' END AS offset_original,
   CASE WHEN event_id % 9 = 0 THEN '-' WHEN event_id % 97 = 0 THEN '0, 0'
-       ELSE '25.' || lpad(CAST(k % 50 AS STRING), 2, '0') || CASE WHEN event_id % 2 = 0 THEN ', ' ELSE ' ' END
-         || '121.' || lpad(CAST(user_id % 50 AS STRING), 2, '0') END AS gps_position,
+       WHEN event_id % 61 = 0 THEN '25.' || CAST(50 + event_id * 7 % 50 AS STRING) || ' 122.' || lpad(CAST(user_id * 13 % 100 AS STRING), 2, '0')
+       ELSE '25.' || lpad(CAST(k % 50 - k % 5 + k % 2 AS STRING), 2, '0') || CASE WHEN event_id % 2 = 0 THEN ', ' ELSE ' ' END
+         || '121.' || lpad(CAST(user_id % 25 * 2 AS STRING), 2, '0') END AS gps_position,
   CASE event_id % 6 WHEN 0 THEN '-' WHEN 1 THEN 'Apple' WHEN 2 THEN 'Canon' WHEN 3 THEN '' WHEN 4 THEN 'samsung' ELSE 'Apple' END AS make,
   CASE event_id % 6 WHEN 0 THEN '-' WHEN 1 THEN 'iPhone 12' WHEN 2 THEN 'EOS' WHEN 3 THEN '-' WHEN 4 THEN 'SM-N975F' ELSE 'iPhone 15' END AS model,
   CASE event_id % 8 WHEN 0 THEN '1170' WHEN 1 THEN '4032' WHEN 2 THEN '1280' WHEN 3 THEN '6000' WHEN 4 THEN '-' WHEN 5 THEN '1080' ELSE '3024' END AS width,
   CASE event_id % 8 WHEN 0 THEN '2532' WHEN 1 THEN '3024' WHEN 2 THEN '960' WHEN 3 THEN '4000' WHEN 4 THEN '-' WHEN 5 THEN '2400' ELSE '4032' END AS height,
   substr(CAST(ts AS STRING), 1, 19) AS modified,
   ts
-FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) e
+FROM (SELECT event_id, user_id, event_type, value, props, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
+    ts + INTERVAL '1' MONTH * CAST(event_id % (1 + user_id % 5) AS INT) AS ts FROM events) e
 """
 
 TYPED = """

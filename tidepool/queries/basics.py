@@ -146,7 +146,7 @@ def time_window(s, d):
     return A.table(s, d, "events").select("event_id", m).select("event_id", "minute", parse.in_window(c("minute"), 1320, 360).alias("at_night"), parse.in_window(c("minute"), 540, 1080).alias("at_work"))
 
 
-@add("batch_spec", "SELECT part.p_partkey, CAST(b AS INTEGER) AS batch FROM part, unnest(list_concat(generate_series(p_size, p_size + 3), [p_size + 9])) u(b) WHERE p_partkey % 10 = 0")
+@add("batch_spec", "SELECT part.p_partkey, CAST(b AS INTEGER) AS batch FROM part, unnest(list_concat(generate_series(p_size, p_size + 3), [p_size + 9])) u(b)")
 def batch_spec(s, d):
     spec = F.concat(c("p_size").cast("string"), F.lit("-"), (c("p_size") + 3).cast("string"), F.lit(","), (c("p_size") + 9).cast("string"))
     return A.table(s, d, "part").select("p_partkey", F.explode(parse.expand_spec(spec)).alias("batch"))
@@ -194,6 +194,11 @@ def with_homes(s, rows):
     return pairs.withColumn("km", geo.haversine_km(c("lat"), c("lon"), c("hlat"), c("hlon")))
 
 
+def homes_of(day):
+    """The homes as literals, each with its condition on the day."""
+    return [(lat, lon, parse.within_bounds(day.cast("string"), F.lit(since), F.lit(until)), {"id": name, "label": label}) for name, lat, lon, since, until, label in A.HOMES]
+
+
 def placed(s, d):
     return A.typed(s, d).where("lat is not null and day is not null")
 
@@ -201,8 +206,9 @@ def placed(s, d):
 @add("nearest_home", A.CTE + f"""SELECT file_no, arg_min(id, km) AS home, arg_min(coalesce(label, 'none'), km) AS label, round(min(km), 6) AS km FROM (
     SELECT file_no, id, label, {KM} AS km FROM typed, {A.HOMES_SQL} WHERE lat IS NOT NULL AND day IS NOT NULL AND {VALID}) GROUP BY file_no""")
 def nearest_home(s, d):
-    rows = with_homes(s, placed(s, d))
-    return rows.groupBy("file_no").agg(F.min_by("id", "km").alias("home"), F.min_by(F.coalesce("label", F.lit("none")), "km").alias("label"), F.round(F.min("km"), 6).alias("km"))
+    near = geo.nearest_of(c("lat"), c("lon"), homes_of(c("day")))
+    rows = placed(s, d).select("file_no", near.alias("near")).where("near is not null")
+    return rows.select("file_no", c("near.id").alias("home"), F.coalesce("near.label", F.lit("none")).alias("label"), F.round("near.km", 6).alias("km"))
 
 
 @add("within_home_range", A.CTE + f"""SELECT DISTINCT file_no FROM typed, {A.HOMES_SQL} WHERE lat IS NOT NULL AND day IS NOT NULL AND {VALID} AND {KM} <= 3.0""")
@@ -227,10 +233,10 @@ def private_points(s, d):
 NKM = HAV.format(a="lat", b="lon", c="nlat", d="nlon")
 
 
-@add("named_place", A.CTE + f"""SELECT file_no, arg_min(label, km) AS label FROM (SELECT file_no, label, {NKM} AS km FROM typed, {A.NAMED_SQL} WHERE lat IS NOT NULL) WHERE km <= 5 GROUP BY file_no""")
+@add("named_place", A.CTE + f"""SELECT file_no, arg_min(label, km) AS label FROM (SELECT file_no, label, {NKM} AS km FROM typed, {A.NAMED_SQL} WHERE lat IS NOT NULL) WHERE km <= {P.PLACE_KM} GROUP BY file_no""")
 def named_place(s, d):
-    rows = A.typed(s, d).where("lat is not null").join(F.broadcast(A.named(s)))
-    return rows.withColumn("km", geo.haversine_km(c("lat"), c("lon"), c("nlat"), c("nlon"))).where("km <= 5").groupBy("file_no").agg(F.min_by("label", "km").alias("label"))
+    near = geo.nearest_of(c("lat"), c("lon"), [(lat, lon, F.lit(True), {"label": label}) for _, lat, lon, label in A.NAMED])
+    return A.typed(s, d).where("lat is not null").select("file_no", near.alias("near")).where(c("near.km") <= P.PLACE_KM).select("file_no", "near.label")
 
 
 @add("grid_cells", A.CTE + "SELECT CAST(floor(round(lat / 0.01, 6)) AS BIGINT) AS cy, CAST(floor(round(lon / 0.01, 6)) AS BIGINT) AS cx, CAST(round_even(lat / 0.2, 0) AS BIGINT) AS ay, count(*) AS files FROM typed WHERE lat IS NOT NULL GROUP BY ALL")

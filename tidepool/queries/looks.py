@@ -109,10 +109,7 @@ def exemplar_topk(s, d):
 
 @add("group_coherence", UNIT + " SELECT a.label, round(min(list_dot_product(a.v, b.v)), 6) AS least FROM u a JOIN u b ON a.label = b.label AND a.id < b.id GROUP BY a.label")
 def group_coherence(s, d):
-    rows = unit(s, d)
-    who = rows.select("id", "label")
-    pairs = vectors.close_pairs(rows, -1.1).join(who.withColumnRenamed("id", "a"), "a").join(who.select(c("id").alias("b"), c("label").alias("other")), "b")
-    return pairs.where("label = other").groupBy("label").agg(F.round(F.min("cos"), 6).alias("least"))
+    return vectors.coherence(unit(s, d), "label").withColumn("least", F.round("least", 6))
 
 
 @add("farthest_points")
@@ -129,8 +126,7 @@ def cap_eviction(s, d):
     SELECT id, round(s, 6) AS cos FROM p WHERE s >= {GRAY}""")
 def confirmed_suppression(s, d):
     rows = unit(s, d)
-    sure = rows.where("id % 50 = 0").select("label", c("v").alias("e"))
-    met = rows.where("id % 50 <> 0").join(sure, "label").groupBy("id").agg(F.max(vectors.dot(c("v"), c("e"))).alias("cos"))
+    met = vectors.most_alike(rows.where("id % 50 <> 0"), rows.where("id % 50 = 0"), "label")
     return met.where(c("cos") >= GRAY).select("id", F.round("cos", 6).alias("cos"))
 
 
@@ -153,13 +149,16 @@ def box_containment(s, d):
     return pairs.select("a.file", c("a.id").alias("first"), c("b.id").alias("second"), F.round(geo.containment(side("a"), side("b")), 6).alias("share"))
 
 
-PLACES = A.CTE + """, cells AS (SELECT DISTINCT CAST(floor(round(lat / 0.01, 6)) AS BIGINT) AS cy, CAST(floor(round(lon / 0.01, 6)) AS BIGINT) AS cx FROM src),
-    edges AS (SELECT a.cy, a.cx, b.cy AS by, b.cx AS bx FROM cells a JOIN cells b ON abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1),
-    walk AS (SELECT cy, cx, cy AS ry, cx AS rx FROM cells UNION SELECT e.by, e.bx, w.ry, w.rx FROM walk w JOIN edges e ON e.cy = w.cy AND e.cx = w.cx),
-    comp AS (SELECT cy, cx, min((ry, rx)) AS place FROM walk GROUP BY cy, cx),
-    places AS (SELECT count(DISTINCT day) AS days, count(DISTINCT CASE WHEN night THEN day END) AS night_days, count(DISTINCT month) AS months, count(*) AS files, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon
-        FROM src JOIN comp ON cy = CAST(floor(round(lat / 0.01, 6)) AS BIGINT) AND cx = CAST(floor(round(lon / 0.01, 6)) AS BIGINT) GROUP BY place)"""
-PLACES = PLACES.replace("WITH manifest", "WITH RECURSIVE manifest").replace(", cells AS", ", src AS (SELECT * FROM typed WHERE lat IS NOT NULL AND day IS NOT NULL AND file_no % 60 = 1), cells AS", 1)
+CELL = "CAST(floor(round({0} / 0.01, 6)) AS BIGINT)"
+PLACES = A.CTE + f""", src AS (SELECT *, {CELL.format("lat")} AS cy, {CELL.format("lon")} AS cx FROM typed WHERE lat IS NOT NULL AND day IS NOT NULL),
+    cells AS (SELECT DISTINCT cy, cx FROM src),
+    edges AS (SELECT a.cy, a.cx, b.cy AS by, b.cx AS bx FROM cells a, generate_series(-1, 1) s(i), generate_series(-1, 1) t(j), cells b WHERE b.cy = a.cy + i AND b.cx = a.cx + j AND (i <> 0 OR j <> 0)),
+    comp(cy, cx, place) USING KEY (cy, cx) AS (
+      SELECT cy, cx, (cy, cx) FROM cells
+      UNION (SELECT e.by, e.bx, min(w.place) FROM comp w JOIN edges e ON e.cy = w.cy AND e.cx = w.cx JOIN recurring.comp o ON o.cy = e.by AND o.cx = e.bx WHERE w.place < o.place GROUP BY e.by, e.bx)),
+    places AS (SELECT count(DISTINCT day) AS days, count(DISTINCT CASE WHEN night THEN day END) AS night_days, count(DISTINCT month) AS months, count(*) AS files, round(avg(lat), 9) AS lat, round(avg(lon), 9) AS lon
+        FROM src JOIN comp USING (cy, cx) GROUP BY place)"""
+PLACES = PLACES.replace("WITH manifest", "WITH RECURSIVE manifest")
 MISSED = "concat_ws(',', CASE WHEN days < 5 THEN 'days' END, CASE WHEN night_days < 3 THEN 'night_days' END)"
 
 

@@ -71,10 +71,11 @@ def date_probe(s, d):
     return picked.groupBy("folder").agg(F.count("*").alias("probed"), F.min("taken").cast("string").alias("first"), F.max("taken").cast("string").alias("last"))
 
 
-@add("name_index", A.CTE + "SELECT lower(file_name) AS name, count(*) AS paths, string_agg(folder, ',' ORDER BY folder, file_no) AS folders FROM manifest GROUP BY 1 HAVING count(*) > 2")
+@add("name_index", A.CTE + "SELECT lower(file_name) AS name, folder || '/' || file_no AS path, CAST(split_part(file_size, ' ', 1) AS BIGINT) AS size, count(*) OVER (PARTITION BY lower(file_name)) AS paths FROM manifest")
 def name_index(s, d):
-    where = F.transform(F.array_sort(F.collect_list(F.struct("folder", "file_no"))), lambda x: x["folder"])
-    return A.manifest(s, d).groupBy(F.lower("file_name").alias("name")).agg(F.count("*").alias("paths"), F.array_join(where, ",").alias("folders")).where("paths > 2")
+    # one row a path, so a name of any number of paths is only counted
+    rows = A.manifest(s, d).select(F.lower("file_name").alias("name"), F.concat_ws("/", "folder", c("file_no").cast("string")).alias("path"), F.get(F.split("file_size", " "), F.lit(0)).cast("bigint").alias("size"))
+    return rows.join(rows.groupBy("name").agg(F.count("*").alias("paths")), "name")
 
 
 @add("verify_report", "SELECT CASE WHEN l.doc_id IS NULL THEN 'gone' WHEN quality = 0 THEN 'moved' ELSE 'present' END AS verdict, count(*) AS files FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
@@ -112,7 +113,7 @@ def members(s, d):
 AXES = A.CTE + """, m AS (SELECT file_no % 60 AS cluster, file_no AS id, taken, CASE WHEN lat IS NOT NULL THEN CASE WHEN lat < 25.25 THEN 'residence-' ELSE 'place-' END || CAST(floor(lat * 4) AS BIGINT) END AS area, NOT (make IN ('-', '') AND model IN ('-', '')) AS has_camera FROM typed),
     a AS (SELECT cluster, area, count(*) AS n, min(id) AS first FROM m WHERE area IS NOT NULL GROUP BY ALL),
     t AS (SELECT cluster, arg_max(area, (n, -first)) AS bound_area, max(n) / sum(n) AS b FROM a GROUP BY cluster),
-    x AS (SELECT cluster, count(*) AS mass, count(DISTINCT CAST(taken AS DATE)) AS days, count(DISTINCT substr(CAST(taken AS VARCHAR), 1, 9)) AS months,
+    x AS (SELECT cluster, count(*) AS mass, count(DISTINCT CAST(taken AS DATE)) AS days, count(DISTINCT substr(CAST(taken AS VARCHAR), 1, 7)) AS months,
       round(count(*) FILTER (hour(taken) IN (19, 20, 21, 22, 23, 0, 1, 2, 3, 4, 5, 6)) / nullif(count(taken), 0), 3) AS night_share, round(count(*) FILTER (NOT has_camera) / count(*), 3) AS no_camera_share FROM m GROUP BY cluster),
     axes AS (SELECT x.*, bound_area, coalesce(round(b, 3), 0) AS boundness FROM x LEFT JOIN t USING (cluster))"""
 
@@ -187,9 +188,9 @@ def allowed_destinations(s, d):
     return A.table(s, d, "pages").join(F.broadcast(prefixes), hit, "left_semi").select("page_id")
 
 
-@add("recorded_rate", "SELECT event_type, arg_max(value, (ts, event_id)) AS rate FROM events WHERE user_id % 4 = 0 GROUP BY event_type")
+@add("recorded_rate", "SELECT event_type, arg_max(value, (ts, event_id)) AS rate FROM events GROUP BY event_type")
 def recorded_rate(s, d):
-    return A.table(s, d, "events").where("user_id % 4 = 0").groupBy("event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("rate"))
+    return A.table(s, d, "events").groupBy("event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("rate"))
 
 
 @add("settings_pairs", "SELECT a.n_nationkey AS low, b.n_nationkey AS high FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_regionkey > b.n_regionkey")
@@ -217,10 +218,10 @@ def edge_distance(s, d):
 
 @add("country_of_point", EDGE + f""", held AS (SELECT file_no, min(shape) AS held FROM (SELECT file_no, shape FROM typed, {A.values(EDGES, "shape, y1, x1, y2, x2")} WHERE lat IS NOT NULL AND y1 <> y2
       GROUP BY file_no, shape HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1) % 2 = 1) GROUP BY file_no)
-    SELECT shape, count(*) AS files FROM (SELECT file_no, coalesce(any_value(held), arg_min(shape, (km, shape)) FILTER (km <= 5)) AS shape FROM km LEFT JOIN held USING (file_no) GROUP BY file_no) GROUP BY shape""")
+    SELECT shape, count(*) AS files FROM (SELECT file_no, coalesce(any_value(held), arg_min(shape, (km, shape)) FILTER (km <= 15)) AS shape FROM km LEFT JOIN held USING (file_no) GROUP BY file_no) GROUP BY shape""")
 def country_of_point(s, d):
     points = A.typed(s, d).where("lat is not null").select("file_no", "lat", "lon")
-    return geo.country_of(points, edges(s), ["file_no"], 5.0).groupBy("shape").agg(F.count("*").alias("files"))
+    return geo.country_of(points, edges(s), ["file_no"], P.OUTLINE_KM).groupBy("shape").agg(F.count("*").alias("files"))
 
 
 @add("areas")

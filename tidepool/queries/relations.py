@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool import params as P
-from tidepool.functions import geo, parse
+from tidepool.functions import geo, names, parse
 from tidepool.operators import joins, timeline
 from tidepool.plans import adapters as A
 
@@ -68,11 +68,11 @@ def doc_files(s, d):
     )
 
 
-@add("name_size_dedupe", f"""WITH f AS (SELECT *, 'x' AS k FROM ({DOCS})), r AS (SELECT doc_id AS ord, size, sha FROM f WHERE doc_id % 2 = 0), q AS (SELECT doc_id AS id, size, sha FROM f WHERE doc_id % 2 = 1)
-    SELECT id, CASE WHEN min(ord) FILTER (q.sha = r.sha) IS NOT NULL THEN 'duplicate' WHEN count(ord) > 0 THEN 'collision' ELSE 'unique' END AS verdict FROM q LEFT JOIN r ON q.size = r.size GROUP BY id""")
+@add("name_size_dedupe", f"""WITH f AS ({DOCS}), r AS (SELECT doc_id AS ord, name, size, sha FROM f WHERE doc_id % 3 = 0), q AS (SELECT doc_id AS id, name, size, sha FROM f WHERE doc_id % 3 <> 0)
+    SELECT id, CASE WHEN min(ord) FILTER (q.sha = r.sha) IS NOT NULL THEN 'duplicate' WHEN count(ord) > 0 THEN 'collision' ELSE 'unique' END AS verdict FROM q LEFT JOIN r ON q.size = r.size AND q.name = r.name GROUP BY id""")
 def name_size_dedupe(s, d):
-    files = doc_files(s, d).select("doc_id", F.lit("x").alias("name"), "size", "sha")
-    found = joins.name_size_duplicates(files.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "id"), files.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "ord"))
+    files = doc_files(s, d).select("doc_id", "name", "size", "sha")
+    found = joins.name_size_duplicates(files.where("doc_id % 3 <> 0").withColumnRenamed("doc_id", "id"), files.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "ord"))
     return found.select("id", "verdict")
 
 
@@ -139,12 +139,6 @@ def sighting_days(s, d):
     return with_homes(s, placed(s, d)).where("km <= 10").groupBy(c("id").alias("home")).agg(F.count_distinct("day").alias("days"), F.count("*").alias("files"))
 
 
-@add("landmark_votes", A.CTE + f"""SELECT label, count(*) AS votes FROM (SELECT file_no, arg_min(label, km) AS label FROM (SELECT file_no, label, {HAV.format(a="lat", b="lon", c="nlat", d="nlon")} AS km FROM typed, {A.NAMED_SQL} WHERE lat IS NOT NULL) WHERE km <= 8 GROUP BY file_no) GROUP BY label""")
-def landmark_votes(s, d):
-    rows = A.typed(s, d).where("lat is not null").join(F.broadcast(A.named(s))).withColumn("km", geo.haversine_km(c("lat"), c("lon"), c("nlat"), c("nlon"))).where("km <= 8")
-    return rows.groupBy("file_no").agg(F.min_by("label", "km").alias("label")).groupBy("label").agg(F.count("*").alias("votes"))
-
-
 @add("verified_union", """SELECT o_custkey AS source, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY o_custkey""")
 def verified_union(s, d):
     o = A.table(s, d, "orders").select("o_custkey", "o_orderstatus", F.struct("o_orderdate", "o_orderkey").alias("at"))
@@ -207,15 +201,10 @@ def fsl_months(s, d):
     return A.typed(s, d).where("month is not null").groupBy("folder", "month").agg(F.count_distinct("day").alias("days")).where("days >= 25")
 
 
-@add("drop_off", """WITH m AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 259200) AS BIGINT) AS month FROM events WHERE user_id % 3 = 0 OR ts < TIMESTAMP '2024-01-15')
-    SELECT user_id, count(*) AS months, max(month) AS last_month FROM m GROUP BY user_id HAVING count(*) >= 3 AND (SELECT max(month) FROM m) - max(month) >= 2""")
+@add("drop_off", A.CTE + """, m AS (SELECT DISTINCT folder, month FROM typed WHERE month IS NOT NULL), k AS (SELECT month, row_number() OVER (ORDER BY month) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT month FROM m))
+    SELECT folder, count(*) AS months, max(month) AS last_month, max(n) - max(pos) AS trailing FROM m JOIN k USING (month) GROUP BY folder HAVING count(*) >= 3 AND max(n) - max(pos) >= 2""")
 def drop_off(s, d):
-    rows = A.table(s, d, "events").where("user_id % 3 = 0 or ts < timestamp'2024-01-15'")
-    start = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
-    m = rows.select("user_id", F.floor((F.unix_micros(c("ts").cast("timestamp")) - start) / 259_200_000_000).alias("month")).distinct()
-    top = m.agg(F.max("month").alias("top"))
-    own = m.groupBy("user_id").agg(F.count("*").alias("months"), F.max("month").alias("last_month"))
-    return own.join(F.broadcast(top)).where((c("months") >= 3) & (c("top") - c("last_month") >= P.DROP_OFF)).drop("top")
+    return timeline.drop_offs(A.typed(s, d).where("month is not null"), "folder", P.DROP_OFF)
 
 
 @add("status_stages", "SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'planned' END AS stage, count(*) AS batches, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total FROM orders GROUP BY 1")
@@ -229,7 +218,7 @@ def pack_snapshot(s, d):
     return A.table(s, d, "nation").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("n_name", 256))), "|"), 256).alias("snapshot"))
 
 
-TYPES = """, d AS (SELECT folder, day, median(lat) AS lat, median(lon) AS lon, count(*) AS files FROM typed WHERE day IS NOT NULL AND file_no % 3 = 0 GROUP BY ALL),
+TYPES = """, d AS (SELECT folder, day, median(lat) AS lat, median(lon) AS lon, count(*) AS files FROM typed WHERE day IS NOT NULL GROUP BY ALL),
     t AS (SELECT *, CASE WHEN lat IS NULL OR dayofmonth(day) % 4 = 0 THEN NULL WHEN lon > 121.35 THEN 'ABROAD' WHEN lat BETWEEN 25.15 AND 25.3 THEN 'HOME' ELSE 'AWAY' END AS raw FROM d),
     f AS (SELECT * REPLACE (CASE WHEN raw IS NULL THEN NULL ELSE lat END AS lat), last_value(raw IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(raw IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM t WINDOW w AS (PARTITION BY folder ORDER BY day)),
     typed_days AS (SELECT folder, day, files, lat, lon, coalesce(raw, CASE WHEN p = n THEN p WHEN (p IS NULL AND n = 'ABROAD') OR (n IS NULL AND p = 'ABROAD') THEN 'ABROAD' ELSE 'HOME' END) AS type FROM f)"""
@@ -307,18 +296,18 @@ def first_seen_union(s, d):
     return rows.groupBy("sha").agg(F.min_by("source", "at").alias("source"))
 
 
-@add("open_proposals", "SELECT DISTINCT p_brand FROM part EXCEPT (SELECT p_brand FROM part WHERE p_size > 48 UNION SELECT p_brand FROM part WHERE p_size < 2)")
+@add("open_proposals", "SELECT DISTINCT p_name || '/' || p_brand AS size FROM part EXCEPT (SELECT p_name || '/' || p_brand FROM part WHERE p_size > 44 UNION SELECT p_name || '/' || p_brand FROM part WHERE p_size < 6)")
 def open_proposals(s, d):
-    p = A.table(s, d, "part")
-    settled = p.where("p_size > 48").select("p_brand").union(p.where("p_size < 2").select("p_brand"))
-    return p.select("p_brand").distinct().join(settled, "p_brand", "left_anti")
+    p = A.table(s, d, "part").select(F.concat_ws("/", "p_name", "p_brand").alias("size"), "p_size")
+    settled = p.where("p_size > 44").select("size").union(p.where("p_size < 6").select("size"))
+    return p.select("size").distinct().join(settled, "size", "left_anti")
+
+
+NAMES = "SELECT p_name AS w FROM part UNION SELECT CASE WHEN s_suppkey % 7 = 0 THEN upper(s_name) ELSE s_name END FROM supplier"
 
 
-@add("near_names", "SELECT DISTINCT least(a.w, b.w) AS first, greatest(a.w, b.w) AS second FROM (SELECT DISTINCT p_name AS w FROM part) a JOIN (SELECT DISTINCT p_name AS w FROM part) b ON a.w < b.w AND levenshtein(a.w, b.w) <= 2 AND least(length(a.w), length(b.w)) >= 4")
+@add("near_names", f"""WITH n AS (SELECT w, lower(w) AS f FROM ({NAMES})) SELECT a.w AS first, b.w AS second, CAST(levenshtein(a.f, b.f) AS INTEGER) AS distance FROM n a JOIN n b ON a.w < b.w
+    WHERE levenshtein(a.f, b.f) = 0 OR (levenshtein(a.f, b.f) = 1 AND least(length(a.f), length(b.f)) >= 4)""")
 def near_names(s, d):
-    names = A.table(s, d, "part").select(c("p_name").alias("w")).distinct()
-    # within two edits lengths differ by two at most: lengths are the join key
-    left = names.select(c("w").alias("first"), F.explode(F.sequence(F.length("w") - 2, F.length("w") + 2)).alias("n"))
-    right = names.select(c("w").alias("second"), F.length("w").alias("n"))
-    near = (c("first") < c("second")) & (F.least(F.length("first"), F.length("second")) >= 4) & (F.levenshtein("first", "second") <= 2)
-    return left.join(right, "n").where(near).select("first", "second")
+    rows = s.sql(NAMES.replace("FROM part", "FROM {p}").replace("FROM supplier", "FROM {q}"), p=A.table(s, d, "part"), q=A.table(s, d, "supplier"))
+    return names.near_names(rows, "w")

@@ -15,8 +15,12 @@ from tidepool.plans.stored import shared_dir
 
 
 def _run(spark: SparkSession, sf_dir: str, table: str, build, mode: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    # the table's own path, which may be one file or a folder of part files
+    name = f"{table}.parquet"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}").schema)
+    stream = source.parquet(f"{sf_dir}/{name}") if folder else source.option("pathGlobFilter", name).parquet(sf_dir)
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     result = build(stream)
 
@@ -28,7 +32,7 @@ def _run(spark: SparkSession, sf_dir: str, table: str, build, mode: str) -> Data
 
     query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{out}/table")
+    return spark.read.schema(result.schema).parquet(f"{out}/table").select(result.columns)
 
 
 def day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +45,15 @@ def day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, "events", build, "complete")
 
 
-def live_sessions(spark: SparkSession, sf_dir: str, gap: str = "12 hours") -> DataFrame:
-    """Sessions of each user by event time, with late rows bounded by a watermark."""
+def live_sessions(spark: SparkSession, sf_dir: str, gap: str = "12 hours", late: str = "1 day") -> DataFrame:
+    """Closed sessions of each user by event time. Append mode: a session is written, and its state
+    dropped, once the watermark (the latest event less `late`) has passed its end, so sessions that may
+    still grow are not there yet."""
 
     def build(stream: DataFrame) -> DataFrame:
-        timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 day")
+        timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
         return timed.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(
             "user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"
         )
 
-    return _run(spark, sf_dir, "events", build, "complete")
+    return _run(spark, sf_dir, "events", build, "append")
