@@ -1,26 +1,26 @@
 """Exact top-k by inner product with a pivot-distance index.
 
-Inner products become distances by one more coordinate: with M the largest norm,
-each indexed vector x gets sqrt(M^2 - |x|^2) and a query q gets 0, so that
-|q - x|^2 = |q|^2 + M^2 - 2 q.x. Each vector is keyed by its nearest pivot and its
-distance to it; vectors of one pivot and one distance ring form an annulus, and
-large annuli are cut into blocks of bounded size by a hash of the id. By the
-triangle inequality a vector in an annulus with distances from lo to hi to its
-pivot is no nearer to q than max(d(q,p) - hi, lo - d(q,p)).
-
-A query first expands the sorted annuli until they hold k vectors; the k-th score
-among those bounds its answer from below. It then visits only the blocks whose
-bound can still reach that score. Scores are integer products, so nothing depends
-on the floating-point bounds but which blocks are visited, and these have a margin.
-
-The pivots come from a bounded sample; every vector is indexed. The table of
-annuli has at most PIVOTS x RINGS rows for each vector length.
-
-Defined results: vectors that are null, hold a null or a non-finite component, or
-a component whose scaled floor is 2^31 or more take no part, nor do empty ones;
+Inner products become distances by one more coordinate: within a band of similar norms, with M the
+band's largest norm, each indexed vector x gets sqrt(M^2 - |x|^2) and a query q gets 0, so that
+|q - x|^2 = |q|^2 + M^2 - 2 q.x. Bands of half an octave keep that coordinate small. Each vector is
+keyed by its nearest pivot and its distance to it; vectors of one band, pivot and distance ring form an
+annulus, and large annuli are cut into blocks of bounded size by a hash. Annuli and blocks also know the least
+and the greatest distance of their vectors to every pivot. By the triangle inequality a vector whose
+distances to a pivot p lie from lo to hi is no nearer to q than max(d(q,p) - hi, lo - d(q,p)), for each p.
+
+A query first expands the annuli in the order of their bounds until they hold k vectors; the k-th score
+among those bounds its answer from below. It then visits only the annuli that it hasn't seen whose bound can still
+reach that score, and within an annulus only such blocks. So no product is taken twice. Scores are integer
+products, so nothing depends on the floating-point bounds but which blocks are visited, and these have a margin.
+
+Pivots come from a bounded sample and grow with the root of the number of vectors up to MOST_PIVOTS; every
+vector is indexed. The table of annuli has at most RINGS rows for each pivot and band.
+
+Defined results: vectors that are null, empty, or hold a null or a non-finite component take no part;
+scaled components and scores beyond 64 bits are held at the ends of their range;
 vectors of different lengths don't meet; equal vectors and repeated ids are rows of
-their own; a query is never its own candidate (by id); ties go to smaller ids;
-extra columns are ignored.
+their own, as queries (each is ranked for itself) and as candidates; a query row is never its own
+candidate; ties go to smaller ids; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,26 +29,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 SCALE = 1024
 #: Vectors from which the pivots are chosen.
-SAMPLE = 2048
-PIVOTS = 16
-RINGS = 16
+SAMPLE = 4096
+LEAST_PIVOTS, MOST_PIVOTS = 16, 128
+RINGS = 8
 #: Vectors of a block at most, about.
 BLOCK = 4096
 #: Queries that travel together.
 PACK = 512
+#: Norm bands in an octave.
+BANDS = 2
+NONE = -(1 << 62)
 
 
 def scaled(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id and v (array of long) of the vectors that take part."""
-    v = F.transform(vec_col, lambda x: F.floor(F.lit(SCALE) * x.cast("double")))
-    whole = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < F.lit(2.0**31)))
+    v = F.transform(vec_col, lambda x: F.floor(F.lit(SCALE) * x.cast("double")).cast("long"))
+    whole = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return vectors.where(F.col(id_col).isNotNull() & (F.size(vec_col) > 0) & F.coalesce(whole, F.lit(False))).select(
         F.col(id_col).cast("long").alias("id"), v.alias("v")
     )
@@ -68,21 +71,47 @@ def choose_pivots(sample: np.ndarray, most: int) -> np.ndarray:
     return sample[picked]
 
 
-def lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
     return np.sqrt(np.maximum(square, 0))
 
 
-def lift(v: np.ndarray, top: float) -> np.ndarray:
-    """v with the coordinate that gives all indexed vectors the norm top."""
-    x = v.astype(np.float64)
+def bands_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norm band of each vector, and a norm that none of its band exceeds."""
+    norm = np.sqrt((x * x).sum(axis=1))
+    band = np.ceil(BANDS * np.log2(np.maximum(norm, 1e-3)) - 1e-9).astype(np.int32)
+    return band, 2.0 ** (band / BANDS) * (1 + 1e-6)
+
+
+def lift(x: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """x with the coordinate that gives each row the norm top."""
     return np.concatenate((x, np.sqrt(np.maximum(top * top - (x * x).sum(axis=1), 0))[:, None]), axis=1)
 
 
+def reach(gap: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least distance of each query (its distances to the pivots) to what lies within lo and hi."""
+    bound = np.zeros((len(gap), len(lo)))
+    for p in range(gap.shape[1]):
+        np.maximum(bound, gap[:, p : p + 1] - hi[None, :, p], out=bound)
+        np.maximum(bound, lo[None, :, p] - gap[:, p : p + 1], out=bound)
+    return bound
+
+
+def most_score(square: np.ndarray, top: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Score that no vector at the distance bound or more exceeds, with a margin for rounding."""
+    near = np.maximum(bound - 1e-6 * (1 + top[None, :]), 0)
+    return (square[:, None] + (top * top)[None, :] - near * near) / 2 * (1 + 1e-9) + 1
+
+
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer products."""
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2.0**53
-    return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if exact else q @ x.T
+    """Exact integer products, held at the ends of 64 bits."""
+    largest = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(x.astype(np.float64)).max(initial=0)) * q.shape[1]
+    if largest < 2.0**53:
+        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    if largest < 2.0**62:
+        return q @ x.T
+    whole = q.astype(object) @ x.astype(object).T
+    return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -95,130 +124,142 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+CELL = ["band", "pivot", "ring"]
+STATS = "n long, lo binary, hi binary"
+
+
 class Annuli:
-    """Index of the vectors of one length."""
+    """Index of the vectors (row, id, v) of one length."""
 
     def __init__(self, vectors: DataFrame, dim: int):
         self.dim = dim
-        norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-        self.top = float(np.sqrt(vectors.agg(F.max(norm)).first()[0]))
-        rows = vectors.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()
-        self.pivots = choose_pivots(lift(np.array([r[0] for r in rows], np.int64), self.top), PIVOTS)
-        self.width = max(2 * self.top / RINGS / 2, 1e-9)
-        top, pivots, width = self.top, self.pivots, self.width
+        sample = vectors.orderBy(F.xxhash64("row")).limit(SAMPLE).select("v").collect()
+        x = np.array([r[0] for r in sample], np.int64).astype(np.float64)
+        most = int(np.clip(np.sqrt(vectors.count()) / 4, LEAST_PIVOTS, MOST_PIVOTS))
+        self.pivots = choose_pivots(lift(x, bands_of(x)[1]), most)
+        own = distances(lift(x, bands_of(x)[1]), self.pivots).min(axis=1)
+        self.edges = np.unique(np.quantile(own, np.arange(1, RINGS) / RINGS))
+        pivots, edges = self.pivots, self.edges
 
         def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                gap = lengths(lift(matrix(batch.column("v"), dim), top), pivots)
+                x = matrix(batch.column("v"), dim).astype(np.float64)
+                band, top = bands_of(x)
+                gap = distances(lift(x, top), pivots)
                 pivot = gap.argmin(axis=1)
-                own = gap[np.arange(len(gap)), pivot]
-                ring = np.minimum((own / width).astype(np.int64), 2 * RINGS)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(pivot.astype(np.int32)), pa.array(ring.astype(np.int32)), pa.array(own)], names=["id", "v", "pivot", "ring", "gap"])
+                ring = np.searchsorted(edges, gap[np.arange(len(gap)), pivot])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "id", "v")), pa.array(band), pa.array(pivot.astype(np.int32)), pa.array(ring.astype(np.int32))], names=["row", "id", "v", *CELL])
 
-        self.rows = materialize(vectors.mapInArrow(key, "id long, v array<long>, pivot int, ring int, gap double"), "annuli")
-        stats = self.rows.groupBy("pivot", "ring").agg(F.count("*"), F.min("gap"), F.max("gap")).collect()
-        found = np.array([tuple(r) for r in stats], np.float64).reshape(-1, 5)
-        self.cell, self.count, self.lo, self.hi = found[:, :2].astype(np.int64), found[:, 2], found[:, 3], found[:, 4]
-        self.blocks = np.maximum(np.ceil(self.count / BLOCK), 1).astype(np.int64)
+        self.rows = materialize(vectors.mapInArrow(key, "row long, id long, v array<long>, band int, pivot int, ring int"), "annuli")
+        self.blocks = self.stored()
+        self.load()
 
     def stored(self) -> DataFrame:
-        """One row a block: its ids and vectors."""
-        many = {(int(p), int(r)): int(b) for (p, r), b in zip(self.cell, self.blocks)}
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                cells = zip(batch.column("pivot").to_pylist(), batch.column("ring").to_pylist(), batch.column("salt").to_pylist())
-                block = [s % many[p, r] for p, r, s in cells]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "pivot", "ring")), pa.array(block, pa.int32())], names=["id", "v", "pivot", "ring", "block"])
+        """One row a block: its rows, ids and vectors, and its distances to the pivots."""
+        dim, pivots = self.dim, self.pivots
 
         def pack(table: pa.Table) -> pa.Table:
-            out = {c: pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("pivot", "ring", "block")}
-            v = np.array(table.column("v").combine_chunks().flatten().to_numpy(), np.int64)
-            return pa.table(out | {"ids": pa.array([table.column("id").to_numpy().tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary())})
-
-        salted = self.rows.select("id", "v", "pivot", "ring", F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)).cast("int").alias("salt"))
-        dealt = salted.mapInArrow(cut, "id long, v array<long>, pivot int, ring int, block int")
-        blocks = dealt.groupBy("pivot", "ring", "block").applyInArrow(pack, "pivot int, ring int, block int, ids binary, vectors binary")
-        return materialize(blocks, "blocks")
-
-    def visits(self, queries: DataFrame, k: int) -> DataFrame:
-        """Rows (pivot, ring, block, asks...) for the annuli each query must see.
-
-        queries: id, v, floor. A null floor asks for the nearest annuli that hold k
-        vectors besides the query, else for all whose bound reaches the floor.
-        """
-        dim, top, pivots, cell, count, lo, hi, blocks = self.dim, self.top, self.pivots, self.cell, self.count, self.lo, self.hi, self.blocks
+            v = np.array(table.column("v").combine_chunks().flatten().to_numpy(), np.int64).reshape(-1, dim)
+            x = v.astype(np.float64)
+            gap = distances(lift(x, bands_of(x)[1]), pivots)
+            out = {c: pa.array([table.column(c)[0].as_py()], pa.int32()) for c in [*CELL, "block"]}
+            raw = {"rows": table.column("row").to_numpy(), "ids": table.column("id").to_numpy(), "vectors": v, "lo": gap.min(axis=0), "hi": gap.max(axis=0)}
+            return pa.table(out | {"n": pa.array([len(v)], pa.int64())} | {c: pa.array([a.tobytes()], pa.binary()) for c, a in raw.items()})
+
+        sizes = self.rows.groupBy(*CELL).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # RINGS rows a pivot and band
+        dealt = self.rows.join(F.broadcast(sizes), CELL).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+        blocks = dealt.drop("blocks").groupBy(*CELL, "block").applyInArrow(pack, f"band int, pivot int, ring int, block int, {STATS}, rows binary, ids binary, vectors binary")
+        return materialize(blocks.select(*CELL, "block", "n", "rows", "ids", "vectors", "lo", "hi"), "blocks")
+
+    def load(self) -> None:
+        """The annuli's bounds, from those of their blocks."""
+
+        def join(table: pa.Table) -> pa.Table:
+            at = lambda c: np.stack([np.frombuffer(b, np.float64) for b in table.column(c).to_pylist()])
+            out = {c: pa.array([table.column(c)[0].as_py()], pa.int32()) for c in CELL}
+            return pa.table(out | {"n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "lo": pa.array([at("lo").min(axis=0).tobytes()], pa.binary()), "hi": pa.array([at("hi").max(axis=0).tobytes()], pa.binary()), "blocks": pa.array([table.num_rows], pa.int32())})
+
+        found = self.blocks.select(*CELL, "n", "lo", "hi").groupBy(*CELL).applyInArrow(join, f"band int, pivot int, ring int, {STATS}, blocks int").collect()
+        self.cell = np.array([[r[c] for c in CELL] for r in found], np.int64).reshape(-1, 3)
+        self.count, self.blocks_of = np.array([r["n"] for r in found]), [r["blocks"] for r in found]
+        self.top = 2.0 ** (self.cell[:, 0] / BANDS) * (1 + 1e-6)
+        bounds = lambda c: np.stack([np.frombuffer(r[c], np.float64) for r in found])
+        self.lo, self.hi = bounds("lo"), bounds("hi")
+
+    def visits(self, queries: DataFrame, k: int, first: bool) -> DataFrame:
+        """Rows (band, pivot, ring, block, asks...) for the annuli each query (row, v, floor) must see: at first
+        the nearest ones that hold k vectors besides the query, and then all others whose bound reaches the floor."""
+        dim, pivots, cell, count, top, lo, hi, blocks = self.dim, self.pivots, self.cell, self.count, self.top, self.lo, self.hi, self.blocks_of
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, PACK):
                     part = batch.slice(at, PACK)
                     v = np.ascontiguousarray(matrix(part.column("v"), dim))
-                    ids = part.column("id").to_numpy(zero_copy_only=False)
-                    floor = part.column("floor").fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
-                    known = part.column("floor").is_valid().to_numpy(zero_copy_only=False)
+                    rows, floor = (part.column(c).to_numpy(zero_copy_only=False) for c in ("row", "floor"))
                     x = np.concatenate((v.astype(np.float64), np.zeros((len(v), 1))), axis=1)
-                    gap = lengths(x, pivots)[:, cell[:, 0]]
-                    bound = np.maximum(np.maximum(gap - hi, lo - gap), 0)
-                    order = np.argsort(bound, axis=1, kind="stable")
+                    bound, square = reach(distances(x, pivots), lo, hi), (x * x).sum(axis=1)
+                    most = most_score(square, top, bound)
+                    order = np.argsort(-most, axis=1, kind="stable")
                     held = np.cumsum(count[order], axis=1)
-                    need = np.concatenate((np.zeros((len(v), 1)), held[:, :-1]), axis=1) < k + 1
-                    near = np.zeros_like(need)
-                    np.put_along_axis(near, order, need, axis=1)
-                    most = ((x * x).sum(axis=1)[:, None] + top * top - np.maximum(bound - 1e-6 * (1 + top), 0) ** 2) / 2
-                    wanted = np.where(known[:, None], most + 1 >= floor[:, None], near)
+                    near = np.zeros(most.shape, bool)
+                    np.put_along_axis(near, order, np.concatenate((np.zeros((len(v), 1)), held[:, :-1]), axis=1) < k + 1, axis=1)
+                    wanted = near if first else ~near & (most >= floor[:, None])
                     for c in np.flatnonzero(wanted.any(axis=0)):
                         who = np.flatnonzero(wanted[:, c])
                         n = int(blocks[c])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, cell[c, 0], np.int32)), pa.array(np.full(n, cell[c, 1], np.int32)), pa.array(np.arange(n, dtype=np.int32)),
-                             *(pa.array([x.tobytes()] * n, pa.binary()) for x in (ids[who], v[who], floor[who]))],
-                            names=["pivot", "ring", "block", "q_ids", "q_vectors", "q_floor"],
-                        )
+                            [*(pa.array(np.full(n, i, np.int32)) for i in cell[c]), pa.array(np.arange(n, dtype=np.int32)), *(pa.array([x.tobytes()] * n, pa.binary()) for x in (rows[who], v[who], floor[who]))],
+                            names=[*CELL, "block", "q_rows", "q_vectors", "q_floor"],
+                        )
 
-        return queries.mapInArrow(ask, "pivot int, ring int, block int, q_ids binary, q_vectors binary, q_floor binary")
+        return queries.select("row", "v", "floor").mapInArrow(ask, "band int, pivot int, ring int, block int, q_rows binary, q_vectors binary, q_floor binary")
 
-    def scores(self, blocks: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+    def scores(self, visits: DataFrame, k: int) -> DataFrame:
         """The k best of each query in each block that it visits, from its floor on."""
-        dim = self.dim
+        dim, pivots = self.dim, self.pivots
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.int64).reshape(-1, dim)
-                    asks, v = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.int64).reshape(-1, dim)
-                    floor, all_scores = np.frombuffer(row["q_floor"], np.int64), products(v, x)
-                    out = []
-                    for i in range(len(asks)):
-                        own = np.flatnonzero((all_scores[i] >= floor[i]) & (ids != asks[i]))
+                for r in batch.to_pylist():
+                    read = lambda c, t=np.int64: np.frombuffer(r[c], t)  # noqa: B023, E731
+                    rows, ids, x = read("rows"), read("ids"), read("vectors").reshape(-1, dim)
+                    asks, v, floor = read("q_rows"), read("q_vectors").reshape(-1, dim), read("q_floor")
+                    q = np.concatenate((v.astype(np.float64), np.zeros((len(v), 1))), axis=1)
+                    top = np.array([2.0 ** (r["band"] / BANDS) * (1 + 1e-6)])
+                    bound = reach(distances(q, pivots), read("lo", np.float64)[None], read("hi", np.float64)[None])
+                    use = np.flatnonzero(most_score((q * q).sum(axis=1), top, bound)[:, 0] >= floor)
+                    all_scores = products(v[use], x)
+                    out = [(np.zeros(0, np.int64),) * 4]
+                    for i, n in enumerate(use):
+                        own = np.flatnonzero((all_scores[i] >= floor[n]) & (rows != asks[n]))
                         own = own[best(all_scores[i][own], ids[own], k)]
-                        out.append((np.full(len(own), asks[i]), ids[own], all_scores[i][own]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]), pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+                        out.append((np.full(len(own), asks[n]), ids[own], all_scores[i][own], rows[own]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out]), pa.int64()) for c in range(4)], names=["row", "vec_id", "score", "vec_row"])
 
-        joined = visits.join(blocks, ["pivot", "ring", "block"]).select("ids", "vectors", "q_ids", "q_vectors", "q_floor")
-        return joined.mapInArrow(score, "query_id long, vec_id long, score long")
+        joined = visits.join(self.blocks, [*CELL, "block"]).select("band", "rows", "ids", "vectors", "lo", "hi", "q_rows", "q_vectors", "q_floor")
+        return joined.mapInArrow(score, "row long, vec_id long, score long, vec_row long")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest products of each query.
+def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest products of each row that is_query holds for.
 
-    vectors and queries: id, v (see scaled). Vectors of each length have an index of
-    their own; lengths are few in number.
+    vectors: id, v (see scaled). Vectors of each length have an index of their own; lengths are few in number.
     """
-    vectors = materialize(vectors, "vectors")
+    vectors = materialize(vectors.select("id", "v", F.monotonically_increasing_id().alias("row")), "vectors")
+    ranked = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "vec_row")
     out = None
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for (dim,) in vectors.select(F.size("v")).distinct().collect():
-        index = Annuli(vectors.where(F.size("v") == dim), dim)
-        blocks = index.stored()
-        own = queries.where(F.size("v") == dim).withColumn("floor", F.lit(None).cast("long"))
-        first = index.scores(blocks, index.visits(own, k), k)
-        kth = first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-        again = own.drop("floor").join(kth, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-(1 << 62))))
-        found = index.scores(blocks, index.visits(again, k), k)
+        own = vectors.where(F.size("v") == dim)
+        index, queries = Annuli(own, dim), own.where(is_query)
+        first = materialize(index.scores(index.visits(queries.withColumn("floor", F.lit(NONE)), k, True), k), "nearest")
+        kth = first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select("row", F.col("score").alias("floor"))
+        again = queries.join(kth, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(NONE)))
+        found = first.unionByName(index.scores(index.visits(again, k, False), k))
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = vectors.sparkSession.createDataFrame([], "row long, vec_id long, score long, vec_row long")
+    top = out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return top.join(vectors.select("row", F.col("id").alias("query_id")), "row").select("query_id", "rank", "vec_id", "score")
