@@ -13,14 +13,16 @@ the anchor's context, the units within reach of a run that holds the anchor.
    document with a smaller doc_id.
 3. The chunk turns the answers into removed runs.
 
-Shards are as many as the session's shuffle partitions, chunks twice as many. A passage that
-any number of documents share sends one row of each chunk, so no hot passage,
+Chunks and shards are as many as the measured bytes of text need, whatever the session's
+number of shuffle partitions. A document is in one chunk, so a chunk is at most that and the longest
+document. A passage that any number of documents share sends one row of each chunk, so no hot passage,
 source or group of copies gathers in one place. Every stage follows from the
 input alone and can run again after a lost executor.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -37,8 +39,9 @@ U = np.uint64
 STEP = 1 << 16
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
-#: Chunks for each shuffle partition: a task holds one chunk's text and contexts.
-CHUNKS = 2
+#: Text bytes of a chunk. Beyond some terabytes chunks grow with the root of the corpus, up to the most,
+#: which keeps the rows between chunks and shards in proportion to the text.
+CHUNK_BYTES, MOST_BYTES, ROOT_BYTES = 12 << 20, 64 << 20, 6
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -307,15 +310,19 @@ def apply_answers(table: pa.Table, answers: pa.Table, frame: Frame, shards: int)
 
 def remove_repeats(docs: DataFrame, frame: Frame, limit: int) -> DataFrame:
     """The operator's report of each document. limit: contexts solved at once."""
-    shards = parallelism(docs.sparkSession)
-    chunks = docs.withColumn("ck", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS * shards)).cast("int")).groupBy("ck")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = min(max(CHUNK_BYTES, ROOT_BYTES * math.isqrt(total)), MOST_BYTES)
+    shards = max(2 * parallelism(docs.sparkSession), -(-total // size))
+    # rows without an id are dealt by their text as well
+    key = F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 200))
+    chunks = docs.withColumn("ck", F.pmod(key, F.lit(shards)).cast("int")).repartition(shards, "ck").groupBy("ck")
     anchors = chunks.applyInArrow(lambda t: send_anchors(t, frame, shards), "shard int, ck int, hashes binary, several binary")
-    shared = anchors.groupBy("shard").applyInArrow(answer_anchors, "ck int, shard int, shared binary")
+    shared = anchors.repartition(shards, "shard").groupBy("shard").applyInArrow(answer_anchors, "ck int, shard int, shared binary")
     contexts = chunks.cogroup(shared.groupBy("ck")).applyInArrow(
         lambda t, a: send_contexts(t, a, frame, shards) if t.num_rows else EMPTY_CONTEXTS,
         "shard int, ck int, hashes binary, owners binary, sizes binary, keys binary",
     )
-    solved = contexts.groupBy("shard").applyInArrow(lambda t: answer_contexts(t, frame, limit), "ck int, shard int, bits binary, shared binary")
+    solved = contexts.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: answer_contexts(t, frame, limit), "ck int, shard int, bits binary, shared binary")
     answers = solved.unionByName(shared.withColumn("bits", F.lit(None).cast("binary")))
     return chunks.cogroup(answers.groupBy("ck")).applyInArrow(lambda t, a: apply_answers(t, a, frame, shards), frame.schema)
 
