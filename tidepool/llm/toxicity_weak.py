@@ -1,17 +1,16 @@
 """Toxicity scores by weak supervision.
 
-Voters are lexicon entries (whole words) and patterns (word beginnings) that are
-tied to the toxic label in a bounded sample of labelled training rows. A
-generative label model takes the true class of a document as hidden: each voter
-has a chance to fire in either class, fitted by expectation maximisation over
-labelled and unlabelled sample rows from the voters' counts among labelled ones,
-and voters whose votes are correlated within a class (an entry and its own
-beginning, say) share one weight. Its posterior labels, not the given ones, train
-a sparse linear classifier over words and word beginnings, and that
-classifier scores every whole text.
-
-Only the text enters a score. Labelled rows of the held-out third are neither
-training rows nor in the sample of unlabelled ones.
+Voters are lexicon entries (whole words) and patterns (word beginnings) that a bounded
+sample of labelled training rows ties to the toxic label. The labels choose the voters
+and give their first accuracies; they don't vote. A generative label model takes the true
+class of a document as hidden and sees the voters' votes alone. A voter fires or abstains.
+Voters whose votes are correlated within the toxic class form a clique, and a clique has a table of
+parameters for each class: the chance that none, one, two or more of its voters fire. So a
+word and its own beginning count once, not twice. Expectation maximisation fits the
+tables, and the posterior labels, not the given ones, train a sparse linear classifier
+over words and word beginnings, which scores every whole text.
+
+Only the text enters a score. Rows of the held-out third are no training rows.
 
 Defined results: null, empty or wordless text gets the score of no features; a
 document with several labels counts with the highest; without training rows of both
@@ -23,33 +22,38 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from copy import copy
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted
 
-#: Labelled training rows, and other rows, of the sample at most.
+#: Labelled training rows of the sample at most.
 LABELLED = 6000
-UNLABELLED = 2000
-#: Toxic rows of the sample that a feature needs, and features at most (the most frequent).
-MIN_ROWS = 4
-FEATURES = 60_000
-VOTERS = 400
-#: A voter's share of toxic rows among its labelled rows.
-PRECISION = 0.8
-CORRELATED = 0.3
-LABEL_ACCURACY = 0.97
+#: Toxic rows of the sample that a voter needs, and that a feature of the classifier needs as a
+#: share of all toxic rows, between two bounds.
+MIN_ROWS = 3
+LEAN_SHARE, LEAN_LEAST, LEAN_MOST = 0.015, 3, 8
+#: Least lower confidence bound (about 95 %) of a voter's share of toxic rows, strictest first, and the
+#: share of toxic rows that some voter should reach.
+PRECISION = (0.7, 0.6, 0.5)
+COVER = 0.9
+Z = 1.645
+CORRELATED = 0.7
+#: Firing voters of a clique that its tables tell apart.
+FIRED = 3
+#: Rows added to each table entry of the toxic class, and share of the clean rows added to the clean
+#: one's: a voter is taken to have fired in that many more clean rows than were seen.
+SMOOTH = 0.05
+DOUBT_SHARE = 7.5e-4
 ROUNDS = 20
-STEPS = 300
-#: Least share of toxic rows among a feature's labelled rows, to be looked at.
+STEPS = 1000
+#: Least share of toxic rows among a feature's rows, to be looked at.
 MIN_SHARE = 0.3
 #: A feature's share of toxic posterior among its rows, to enter the classifier.
 LEAN = 0.7
-LEAN_ROWS = 8
 PENALTY = 5e-5
 THRESHOLD = 0.7
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -70,126 +74,157 @@ def features(text: str | None) -> set[str]:
 
 
 class Sample:
-    """Rows of distinct features as one index array; label is 1, 0 or -1 (none)."""
+    """Rows of distinct features as one index array; label is 1 or 0."""
 
     def __init__(self, rows: list[tuple[list[str], int]]):
-        counts: dict[str, int] = {}
-        for own, _ in rows:
-            for f in own:
-                counts[f] = counts.get(f, 0) + 1
-        often = sorted((f for f, n in counts.items() if n >= MIN_ROWS), key=lambda f: (-counts[f], f))[:FEATURES]
-        self.names = often
-        number = {f: i for i, f in enumerate(often)}
-        own = [[number[f] for f in r if f in number] for r, _ in rows]
+        self.names = sorted({f for own, _ in rows for f in own})
+        number = {f: i for i, f in enumerate(self.names)}
+        own = [[number[f] for f in r] for r, _ in rows]
         self.label = np.array([y for _, y in rows], np.int64)
         self.row = np.repeat(np.arange(len(own)), [len(o) for o in own])
         self.feature = np.array([i for o in own for i in o], np.int64)
 
-    def only(self, used: np.ndarray) -> Sample:
-        """The same rows with some of the features."""
-        other, kept = copy(self), used[self.feature]
-        other.row, other.feature = self.row[kept], self.feature[kept]
-        return other
-
     def totals(self, weight: np.ndarray) -> np.ndarray:
         """Sum over rows of each feature's row weights."""
         return np.bincount(self.feature, weight[self.row], len(self.names))
 
-    def sums(self, weight: np.ndarray) -> np.ndarray:
-        """Sum over features of each row's feature weights."""
-        return np.bincount(self.row, weight[self.feature], len(self.label))
-
 
-def choose_voters(sample: Sample) -> np.ndarray:
-    toxic, clean = sample.totals((sample.label == 1) * 1.0), sample.totals((sample.label == 0) * 1.0)
-    share = toxic / np.maximum(toxic + clean, 1)
-    usable = np.flatnonzero((share >= PRECISION) & (toxic >= MIN_ROWS))
-    return usable[np.argsort(-toxic[usable], kind="stable")][:VOTERS]
+def lower_bound(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Lower confidence bound of a share (Wilson)."""
+    n = np.maximum(n, 1)
+    share = hits / n
+    spread = Z * np.sqrt(share * (1 - share) / n + (Z / (2 * n)) ** 2)
+    return (share + Z * Z / (2 * n) - spread) / (1 + Z * Z / n)
+
+
+def vote_table(sample: Sample) -> np.ndarray:
+    """Rows x voters, 1 where a voter fires. Features that fire alike are one voter. The strictest bound
+    of PRECISION whose voters reach COVER of the toxic rows chooses them, else the loosest."""
+    truth = sample.label == 1
+    toxic, clean = sample.totals(truth * 1.0), sample.totals(~truth * 1.0)
+    sure = np.where(toxic >= MIN_ROWS, lower_bound(toxic, toxic + clean), 0)
+    for least in PRECISION:
+        chosen = sure >= least
+        reached = np.zeros(len(truth), bool)
+        reached[sample.row[chosen[sample.feature]]] = True
+        if reached[truth].mean() >= COVER:
+            break
+    column = np.full(len(sample.names), -1)
+    column[chosen] = np.arange(chosen.sum())
+    hit = column[sample.feature] >= 0
+    votes = np.zeros((chosen.sum(), len(sample.label)), np.uint8)
+    votes[column[sample.feature[hit]], sample.row[hit]] = 1
+    return np.unique(votes, axis=0).T if len(votes) else votes.T
 
 
-def correlation_shares(votes: np.ndarray, posterior: np.ndarray, fires: np.ndarray) -> np.ndarray:
-    """Weight of each voter: 1 / (1 + its correlations with others within the toxic class)."""
-    mean = fires[1]
-    centred = votes - mean
-    scatter = (centred * posterior[:, None]).T @ centred / max(posterior.sum(), 1e-9)
+def cliques(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Clique number of each voter: voters correlated within the toxic class are in one."""
+    own = votes[toxic].astype(np.float32)
+    own -= own.mean(axis=0)
+    scatter = own.T @ own
     spread = np.sqrt(np.maximum(np.diag(scatter), 1e-9))
-    tied = np.maximum(scatter / spread[:, None] / spread[None, :], 0)
-    tied[tied < CORRELATED] = 0
-    np.fill_diagonal(tied, 0)
-    return 1 / (1 + tied.sum(axis=1))
+    tied = scatter >= CORRELATED * spread[:, None] * spread[None, :]
+    np.fill_diagonal(tied, True)
+    label = np.arange(len(tied))
+    while True:
+        low = np.where(tied, label[None, :], len(tied)).min(axis=1)
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            return np.unique(label, return_inverse=True)[1]
+        label = low
 
 
 def label_model(votes: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Posterior of the toxic class for each row of 0/1 votes.
-
-    A voter that doesn't fire abstains; that none fires is a vote of its own. The given
-    label votes with a fixed accuracy and is silent on unlabelled rows.
-    """
-    votes = np.concatenate((votes, ~votes.any(axis=1, keepdims=True)), axis=1).astype(np.float64)
-    known = label >= 0
-    given = np.where(label == 1, 1.0, -1.0) * known * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    prior = float(np.clip((label == 1).sum() / max(known.sum(), 1), 1e-3, 1 - 1e-3))
-    posterior = 1 / (1 + np.exp(-np.log(prior / (1 - prior)) - given))
+    """Posterior of the toxic class for each row of 0/1 votes (rows x voters).
+
+    The labels give the prior and the first estimate of the tables; from then on they are not seen."""
+    clique = cliques(votes, label == 1)
+    n = int(clique.max(initial=-1)) + 1
+    member = np.zeros((votes.shape[1], n), np.float32)
+    member[np.arange(votes.shape[1]), clique] = 1
+    fired = np.minimum(votes.astype(np.float32) @ member, FIRED).astype(np.int64)
+    # that no voter at all fires is a vote of its own
+    fired = np.concatenate((fired, (fired.sum(axis=1, keepdims=True) == 0)), axis=1)
+    cell = fired + np.arange(n + 1) * (FIRED + 1)
+    posterior = (label == 1) * 1.0
+    prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
     for _ in range(ROUNDS):
-        fires = np.stack([((1 - posterior) @ votes + 0.05) / ((1 - posterior).sum() + 1), (posterior @ votes + 0.05) / (posterior.sum() + 1)])
-        shares = correlation_shares(votes, posterior, fires)
-        odds = np.log(prior / (1 - prior)) + given + votes @ (shares * np.log(fires[1] / fires[0]))
+        total = np.stack([(1 - posterior).sum(), posterior.sum()])
+        table = np.stack([sum(np.bincount(cell[:, c], w, (n + 1) * (FIRED + 1)) for c in range(n + 1)) for w in (1 - posterior, posterior)])
+        extra = np.array([[DOUBT_SHARE * total[0]], [SMOOTH]])
+        chance = (table + extra) / (total[:, None] + extra)
+        weight = np.log(chance[1] / chance[0])
+        weight[:: FIRED + 1] = 0  # a clique that abstains says nothing
+        odds = np.log(prior / (1 - prior)) + weight[cell].sum(axis=1)
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         moved = np.abs(new - posterior).max()
-        posterior, prior = new, float(np.clip(new.mean(), 1e-3, 1 - 1e-3))
+        posterior = new
         if moved < 1e-6:
             break
     return posterior
 
 
+def alike(sample: Sample, used: np.ndarray) -> np.ndarray:
+    """Number of the group of each used feature, -1 for others; features of the same rows are one group."""
+    rng = np.random.default_rng(0)
+    mark = rng.integers(0, 1 << 63, len(sample.label), np.uint64)
+    total = np.zeros(len(sample.names), np.uint64)
+    np.add.at(total, sample.feature, mark[sample.row])
+    group = np.full(len(used), -1)
+    group[used] = np.unique(total[used], return_inverse=True)[1]
+    return group
+
+
 def train_linear(sample: Sample, target: np.ndarray) -> tuple[float, np.ndarray]:
     """Logistic regression with an L1 penalty by accelerated proximal steps, over the
-    features that lean to the toxic posterior."""
+    features that lean to the toxic posterior. Features of the same rows share one weight evenly."""
     n = max(len(target), 1)
     toxic, rows = sample.totals(target), sample.totals(np.ones(n))
-    used = (toxic >= LEAN * rows) & (toxic >= LEAN_ROWS)
-    sample = sample.only(used)
-    size = sample.sums(np.ones(len(used))) + 1
+    least = min(max(LEAN_SHARE * target.sum(), LEAN_LEAST), LEAN_MOST) - 0.5
+    group = alike(sample, (toxic >= LEAN * rows) & (toxic >= least))
+    many = int(group.max(initial=-1)) + 1
+    cells = np.unique(sample.row[group[sample.feature] >= 0] * max(many, 1) + group[sample.feature][group[sample.feature] >= 0])
+    row, column = cells // max(many, 1), cells % max(many, 1)
+    totals = lambda w: np.bincount(column, w[row], many)
+    sums = lambda w: np.bincount(row, w[column], n)
+    size = sums(np.ones(many)) + 1
     # a diagonal that bounds the curvature, as all features are 0 or 1
-    rate = 4 * n / np.maximum(sample.totals(size), 1.0)
+    rate = 4 * n / np.maximum(totals(size), 1.0)
     bias_rate = 4 * n / size.sum()
-    weight = np.zeros(len(used))
+    weight = np.zeros(many)
     ahead, bias, bias_ahead, pace = weight.copy(), 0.0, 0.0, 1.0
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(sample.sums(ahead) + bias_ahead, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(sums(ahead) + bias_ahead, -30, 30)))
         gap = (p - target) / n
-        new = ahead - rate * sample.totals(gap)
+        new = ahead - rate * totals(gap)
         new = np.sign(new) * np.maximum(np.abs(new) - rate * PENALTY, 0)
         new_bias = bias_ahead - bias_rate * gap.sum()
         quick = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead = new + (pace - 1) / quick * (new - weight)
         bias_ahead = new_bias + (pace - 1) / quick * (new_bias - bias)
         weight, bias, pace = new, new_bias, quick
-    return float(bias), weight
+    members = np.bincount(group[group >= 0], minlength=many)
+    return float(bias), np.where(group >= 0, np.append(weight / np.maximum(members, 1), 0.0)[group], 0.0)
 
 
 def fit(rows: list[tuple[list[str], int]]) -> tuple[float, dict[str, float]]:
     """Bias and weights by feature from sample rows (features, label)."""
     sample = Sample(rows)
-    voters = choose_voters(sample)
-    if not len(voters) or not (sample.label == 0).any():
+    if not (sample.label == 1).any() or not (sample.label == 0).any():
+        return -60.0, {}
+    votes = vote_table(sample)
+    if not votes.size:
         return -60.0, {}
-    votes = np.zeros((len(sample.label), len(voters)))
-    column = np.full(len(sample.names), -1)
-    column[voters] = np.arange(len(voters))
-    hit = column[sample.feature] >= 0
-    votes[sample.row[hit], column[sample.feature[hit]]] = 1
     bias, weight = train_linear(sample, label_model(votes, sample.label))
     return bias, {sample.names[i]: float(weight[i]) for i in np.flatnonzero(weight)}
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[list[str], int]]:
-    """The bounded sample: the first rows in hash order of the ids."""
+    """The bounded sample of labelled rows: the first in hash order of the ids. Only features that lean to
+    the toxic rows of the sample are kept."""
     named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = named.where(~held_out()).orderBy(F.xxhash64("doc_id")).limit(LABELLED)
-    others = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out()).join(named, "doc_id", "left_anti").distinct()
-    others = others.orderBy(F.xxhash64("doc_id")).limit(UNLABELLED).withColumn("toxic", F.lit(-1))
-    wanted = F.broadcast(picked.withColumn("toxic", F.col("toxic").cast("int")).unionByName(others))  # LABELLED + UNLABELLED rows at most
+    wanted = F.broadcast(picked.withColumn("toxic", F.col("toxic").cast("int")))  # LABELLED rows at most
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,19 +234,16 @@ def sample_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[list[str], int
     one = docs.join(wanted, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     found = one.select("doc_id", "toxic", "text").mapInArrow(extract, "doc_id long, toxic int, own array<string>")
     found = materialize(found, "toxic-sample")
-    counts = found.select("toxic", F.explode("own").alias("f")).groupBy("f").agg(
-        F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") >= 0).alias("labelled")
-    )
-    leaning = counts.where((F.col("toxic") >= MIN_ROWS) & (F.col("toxic") >= MIN_SHARE * F.col("labelled"))).orderBy(F.desc("n"), "f").limit(FEATURES)
-    names = {r.f for r in leaning.select("f").collect()}
+    counts = found.select("toxic", F.explode("own").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+    names = {r.f for r in counts.where((F.col("toxic") >= MIN_ROWS) & (F.col("toxic") >= MIN_SHARE * F.col("n"))).select("f").collect()}  # features of the sample
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [[f for f in r if f in names] for r in batch.column("own").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "toxic", "own"])
 
-    rows = found.mapInArrow(narrow, found.schema).collect()  # LABELLED + UNLABELLED rows at most
-    return [(r.own, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)]
+    rows = found.mapInArrow(narrow, found.schema).collect()  # LABELLED rows at most
+    return [(r.own, int(r.toxic == 1)) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def with_score(docs: DataFrame, bias: float, weights: dict[str, float]) -> DataFrame:
@@ -235,8 +267,8 @@ def with_score(docs: DataFrame, bias: float, weights: dict[str, float]) -> DataF
                 p = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
                 yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(p)], names=["doc", "tox_score"])
 
-    schema = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("tox_score", F.lit(0.0)).schema
-    return docs.select(F.struct(*docs.columns).alias("doc"), "text").mapInArrow(run, schema)
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("doc"), "text")
+    return rows.mapInArrow(run, rows.select("doc").withColumn("tox_score", F.lit(0.0)).schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
