@@ -1,6 +1,7 @@
 """Operators for training data against brute force, on small rows with hard cases."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -62,6 +63,27 @@ def test_suffix_repeats_rewrites_texts(docs):
     assert got[0].text is None and got[6].text == "" and got[5].text == hard_texts()[5] and got[9].n_chars == 0 and got[3].ck == "c"
 
 
+@pytest.mark.parametrize("least", [1, 3, 5])
+def test_longest_previous_factors(least):
+    """Suffix order, common prefixes and factors against all pairs of suffixes."""
+    rnd = random.Random(least)
+    for _ in range(15):
+        rows = [bytes(rnd.choice(b"ab\x00") for _ in range(rnd.randint(1, 30))) for _ in range(20)]
+        docs, width = np.array(sorted(rnd.randint(0, 8) for _ in rows)), max(map(len, rows))
+        text = np.zeros((len(rows), width), np.uint16)
+        for i, r in enumerate(rows):
+            text[i, : len(r)] = np.frombuffer(r, np.uint8).astype(np.uint16) + 1
+        found = suffix_repeats.Suffixes(text, np.array([len(r) for r in rows]), least)
+        row, column = found.order // width, found.order % width
+        own = [rows[r][c:] for r, c in zip(row, column)]
+        shared = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        assert own == sorted(r[c:] for r in rows for c in range(len(r) - least + 1))
+        assert found.lcp.tolist() == [0] + [shared(a, b) for a, b in zip(own, own[1:])]
+        want = [max([shared(own[i], own[j]) for j in range(len(own)) if docs[row[j]] < docs[row[i]]], default=0) for i in range(len(own))]
+        got = suffix_repeats.longest_previous_factors(docs[row], found.lcp, least)
+        assert got.tolist() == [n if n >= least else 0 for n in want]
+
+
 def test_repeats_of_one_id_do_not_match(spark):
     rows = spark.createDataFrame([(1, "q" * 20 + "0123456789" * 6), (1, "0123456789" * 6), (None, "0123456789" * 6)], "doc_id long, text string")
     got = suffix_repeats.repeat_digests(rows).collect()
@@ -111,20 +133,60 @@ def test_simhash(docs):
     assert kept == set(label.values())
 
 
+def linked(x):
+    """Smallest index of each component of fingerprints within 3 bits."""
+    close, label = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3, np.arange(len(x))
+    while True:
+        new = np.where(close, label[None, :], len(x)).min(axis=1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def near_fingerprints(rng, n):
+    base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+    flip = lambda: np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64) for _ in range(3)])
+    return np.unique(np.concatenate([base, base ^ flip(), base ^ flip()]))
+
+
 def test_dense_fingerprints_link_exactly():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
     x = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << int(b)) ^ np.uint64(1 << int(c)) for b, c in rng.integers(0, 63, (60, 2))]]))
     links = simhash_vp.Links(len(x))
     simhash_vp.link_group(x, links, np.arange(len(x)))
-    label = np.arange(len(x))
-    close = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
-    while True:
-        new = np.where(close, label[None, :], len(x)).min(axis=1)
-        if (new == label).all():
-            break
-        label = new
-    assert (links.label == label).all()
+    assert (links.label == linked(x)).all()
+
+
+def test_balls_cross_boundaries_of_the_trees(monkeypatch):
+    """Fingerprints visit every leaf that their ball overlaps, and shards split on; no link is lost."""
+    monkeypatch.setattr(simhash_vp, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    x = near_fingerprints(rng, 700)
+    whole = simhash_vp.Links(len(x))
+    for band in range(2):
+        value = simhash_vp.half(x, band)
+        tree = simhash_vp.build_tree(value[::4], 16)
+        who, leaf, lives = simhash_vp.find_leaves(tree, value)
+        assert len(tree) >= 8 and lives.sum() == len(x) < len(who)
+        home = dict(zip(who[lives], leaf[lives]))
+        seen = set(zip(who.tolist(), leaf.tolist()))
+        near = np.argwhere(np.bitwise_count(value[:, None] ^ value[None, :]) <= 1)
+        assert all((a, home[b]) in seen for a, b in near.tolist())
+        for n in np.unique(leaf):
+            at = who[leaf == n]
+            links = simhash_vp.Links(len(at))
+            simhash_vp.link_leaf(x[at], value[at], links, np.flatnonzero(lives[leaf == n]), np.flatnonzero(~lives[leaf == n]))
+            whole.join(at, at[links.label])
+    assert (whole.label == linked(x)).all()
+
+
+def test_near_links_over_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(simhash_vp, "LEAF_ROWS", 64)
+    x = near_fingerprints(np.random.default_rng(4), 300)
+    classes = spark.createDataFrame([(int(f), i) for i, f in enumerate(x.view(np.int64))], "fp long, rep long")
+    got = {r.node: r.component for r in components.connected_components(simhash_vp.near_links(classes)).collect()}
+    assert {i: got.get(i, i) for i in range(len(x))} == dict(enumerate(linked(x).tolist()))
 
 
 def test_components(spark):
@@ -136,18 +198,20 @@ def test_components(spark):
 def test_top_k_ties_nulls_and_lengths(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(250)]
-    rows += [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan")] * 4), (303, [float("inf"), 0.0, 0.0, 0.0]), (304, []), (200, rows[200][1]), (400, [1.0, 2.0]), (500, [0.5, 0.5])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    v = pivot_topk.scaled(frame, "vec_id", "embedding")
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in pivot_topk.top_k(v, v.where("id % 100 = 0"), 10).collect()}
-    good = [(i, np.floor(1024 * np.array(x)).astype(int)) for i, x in rows if x and all(y is not None and np.isfinite(y) for y in x)]
-    want = {}
-    for i in {i for i, _ in good if i % 100 == 0}:
-        own = [x for j, x in good if j == i]
-        scores = sorted({(-int(o @ x), j, n) for o in own[:1] for n, (j, x) in enumerate(good) if j != i and len(x) == len(o)})[:10]
-        want |= {(i, r + 1): (j, -s) for r, (s, j, _) in enumerate(scores)}
-    unique = {k: x for k, x in want.items() if k[0] != 200}
-    assert {k: x for k, x in got.items() if k[0] != 200} == unique
+    rows += [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-3, 3)).tolist()) for i in range(1000, 1300)]
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan")] * 4), (303, [float("inf"), 0.0, 0.0, 0.0]), (304, [])]
+    # repeated ids, with the same vector and with another, and a null id
+    rows += [(200, rows[200][1]), (100, [2.0, 1.0, 0.0, -3.0]), (None, [9.0] * 4), (400, [1.0, 2.0]), (500, [0.5, 0.5]), (600, [3e9, -2e9]), (600, [3e15, 1e15])]
+    frame = spark.createDataFrame([(*r, "x", 7) for r in rows], "vec_id long, embedding array<float>, row string, id int").repartition(3)
+    v = pivot_topk.scaled(frame.drop("id"), "vec_id", "embedding")
+    got = sorted(tuple(r) for r in pivot_topk.top_k(v, F.col("id") % 100 == 0, 10).collect())
+    good = [(i, [math.floor(1024 * float(np.float32(y))) for y in x]) for i, x in rows if i is not None and x and all(y is not None and np.isfinite(y) for y in x)]
+    want, most = [], (1 << 63) - 1
+    for n, (i, own) in enumerate(good):
+        if i % 100 == 0:
+            scores = sorted((-min(max(sum(a * b for a, b in zip(own, x)), -most - 1), most), j, m) for m, (j, x) in enumerate(good) if m != n and len(x) == len(own))
+            want += [(i, r + 1, j, -s) for r, (s, j, _) in enumerate(scores[:10])]
+    assert got == sorted(want)
 
 
 @pytest.mark.parametrize("name", ["op1_pivot_topk", "op2_quality_mcd", "op7_license_scan"])
@@ -277,7 +341,7 @@ def test_empty_tables(spark, empty):
         toxicity_weak.scores(empty, labels), toxicity_weak.keep_clean(empty, labels),
     ]
     none = pivot_topk.scaled(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
-    assert [f.count() for f in [*found, pivot_topk.top_k(none, none, 10)]] == [0] * (len(found) + 1)
+    assert [f.count() for f in [*found, pivot_topk.top_k(none, F.lit(True), 10)]] == [0] * (len(found) + 1)
 
 
 def test_pipeline_runs_and_keeps_columns(spark, sf_dir):

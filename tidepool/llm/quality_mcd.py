@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted
 
 BLANKS = r"[ \t\n\x0B\f\r]+"
 SYMBOLS = "#*$%&|<>"
@@ -175,7 +175,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = ["g_lang", "g_source"]
     all_rows = estimates(rows, keys, 1.0)
     means = all_rows.select(*keys, *[F.col(f"m{i}").alias(f"mean{i}") for i in range(1, 4)])
-    low = rows.join(F.broadcast(means) if small else means, keys).where("y2 <= mean1 and y3 <= mean2 and y4 <= mean3")
+    low = rows.join(F.broadcast(means) if means.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else means, keys).where("y2 <= mean1 and y3 <= mean2 and y4 <= mean3")
     low_rows = estimates(low, keys, CONSISTENCY)
     now = materialize(all_rows.withColumn("start", F.lit(0)).unionByName(low_rows.withColumn("start", F.lit(1))), "mcd-start")
     both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -207,7 +207,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
     stats = docs.select(
-        F.struct(*docs.columns).alias("doc"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), base_counts(F.col("text")).alias("s")
+        F.struct(*quoted(docs.columns)).alias("doc"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), base_counts(F.col("text")).alias("s")
     ).select("doc", "lang", "source", "s.*")
     return judged(materialize(stats, "quality"), ["doc"]).where("kept").select("doc.*")
 

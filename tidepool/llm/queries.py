@@ -14,7 +14,7 @@ from .common import table
 
 def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = pivot_topk.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return pivot_topk.top_k(vectors, vectors.where("id % 100 = 0"), 10)
+    return pivot_topk.top_k(vectors, F.col("id") % 100 == 0, 10)
 
 
 def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,18 +72,18 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_scan": license_scan.oracle_sql(),
     "op1_pivot_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+            SELECT q.r AS r, c.r AS vec_r, q.vec_id AS query_id, c.vec_id AS vec_id,
                    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v)
             WHERE q.vec_id % 100 = 0)
         SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
         FROM scored
-        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        WINDOW w AS (PARTITION BY r ORDER BY score DESC, vec_id, vec_r)
         QUALIFY row_number() OVER w <= 10
     """,
 }
