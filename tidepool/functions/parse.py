@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from tidepool import params as P
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def present(value: Column) -> Column:
     """value, or NULL for the markers of an absent tag."""
     return F.when(~value.isin(*P.ABSENT), value)
@@ -228,9 +233,12 @@ HEAD_BYTES = 64
 def sniff(content: Column) -> Column:
     """File type from the first bytes, NULL if they tell none. A media box is named by its major
     brand; one that is not known still counts as HEIC if its compatible brands hold one of HEIF."""
+    return let(F.hex(F.substring(content, 1, HEAD_BYTES)), _sniffed)
+
+
+def _sniffed(head: Column) -> Column:
     code = lambda s: s.encode().hex().upper()
     codes = lambda names: [code(n) for n in names]
-    head = F.hex(F.substring(content, 1, HEAD_BYTES))
     word = lambda i: F.substring(head, 8 * i + 1, 8)
     size = F.conv(word(0), 16, 10).cast("long")
     ends = F.least(F.floor(F.least(size, F.floor(F.length(head) / 2)) / 4), F.lit(HEAD_BYTES // 4)).cast("int")
@@ -248,3 +256,44 @@ def sniff(content: Column) -> Column:
         .when((word(1) == code("ftyp")) & (F.length(head) >= 24), box)
         .when(word(1).isin(codes(QUICKTIME_ATOMS)), "MOV")
     )
+
+
+def real_type(file_type: Column, sniffed: Column) -> Column:
+    """A still by its tag that is a movie by its bytes is a movie."""
+    return let(sniffed, lambda x: F.when(file_type.isin("HEIC", "HEIF") & x.isin("MOV", "MP4"), x).otherwise(file_type))
+
+
+def copy_name(name: Column, file_type: Column) -> Column:
+    """The name of a copy: another extension if the type doesn't allow the one it has."""
+    return let(file_type, lambda kind: _copy_name(name, kind))
+
+
+def _copy_name(name: Column, file_type: Column) -> Column:
+    out = F.when(F.lit(False), name)
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    for kind, (canonical, allowed) in P.EXTENSIONS.items():
+        wrong = ~F.upper(F.regexp_extract(name, r"(?<=.)\.([^.]*)$", 1)).isin(*allowed)
+        out = out.when((file_type == kind) & wrong, F.concat(stem, F.lit("." + canonical)))
+    return out.otherwise(name)
+
+
+def dump_month(name: Column, first: Column, last: Column) -> Column:
+    """YYYYMM from the digits of a folder name, else the year or years of its first and last day."""
+    digits = F.regexp_replace(name, r"\D", "")
+    fits = (F.length(digits) >= 6) & F.substring(digits, 5, 2).try_cast("int").between(1, 12)
+    a, b = F.date_format(first, "yyyy"), F.date_format(last, "yyyy")
+    return F.when(fits, F.substring(digits, 1, 6)).when(a == b, a).otherwise(F.concat_ws("-", a, b))
+
+
+def duration_text(seconds: Column) -> Column:
+    """Hours and minutes, to the nearest minute (halves to even)."""
+    m = F.bround(seconds / 60, 0).cast("long")
+    hours, rest = F.floor(m / 60), m % 60
+    minutes = F.concat(rest.cast("string"), F.lit(" min"))
+    return F.when(m < 1, "under 1 min").when(hours > 0, F.concat_ws(" ", hours.cast("string"), F.lit("h"), minutes)).otherwise(minutes)
+
+
+def bucket_path(root: Column, name: Column) -> Column:
+    """Path of a bucket: monthly and yearly ones lie in the folder of their year."""
+    head = F.get(F.split(name, "_"), F.lit(0))
+    return F.when(head.rlike(r"^(\d{6}00|\d{4}00)$"), F.concat_ws("/", root, F.substring(head, 1, 4), name)).otherwise(F.concat_ws("/", root, name))

@@ -21,3 +21,44 @@ IMAGE_TYPES = ("JPEG", "HEIC", "HEIF", "PNG", "GIF", "WEBP", "TIFF", "DNG")
 VIDEO_TYPES = ("MOV", "MP4", "M4V", "AVI", "3GP")
 JUNK_NAMES = (".ds_store", "thumbs.db", "desktop.ini")
 ABSENT = ("-", "", "0000:00:00 00:00:00")
+#: Extension that a copy of a file type gets, and those it may keep.
+EXTENSIONS = {
+    "JPEG": ("JPG", ("JPG", "JPEG")),
+    "HEIC": ("HEIC", ("HEIC",)),
+    "HEIF": ("HEIF", ("HEIF",)),
+    "PNG": ("PNG", ("PNG",)),
+    "TIFF": ("TIF", ("TIF", "TIFF")),
+    "WEBP": ("WEBP", ("WEBP",)),
+    "GIF": ("GIF", ("GIF",)),
+    "BMP": ("BMP", ("BMP",)),
+    "DNG": ("DNG", ("DNG",)),
+    "MOV": ("MOV", ("MOV",)),
+    "MP4": ("MP4", ("MP4",)),
+    "M4V": ("M4V", ("M4V",)),
+    "AVI": ("AVI", ("AVI",)),
+    "3GP": ("3GP", ("3GP",)),
+}
+#: Words that tell what a place name of a map stands for.
+ADDRESS_SUFFIXES = ("巷", "弄", "號")
+TRAIL_SUFFIXES = ("登山路線", "登山步道", "越嶺步道", "岩稜路線", "山腰線", "步道", "路線")
+ROUTE_DESCRIPTIONS = ("拉繩", "陡上", "陡下", "艱難", "溼滑", "濕滑", "替代", "高繞", "腰繞", "捷徑", "溯溪", "溪階", "溪邊", "上稜線", "斜岩", "岩壁", "新路", "舊路", "路段")
+STRUCTURE_SUFFIXES = ("橋", "隧道", "海堤", "堤防", "涼亭", "停車場", "登山口", "地下道", "陸橋", "天橋", "人行道", "月台", "出入口")
+VIEW_PREFIXES = ("遠眺", "遠觀", "眺望", "可見")
+LEG_JOINERS = ("往", "至", "經")
+KEY_TAILS = ("路", "線", "稜", "道", "坡", "點")
+#: Map tags of sights and of stays; None stands for any value.
+SIGHT_TAGS = {
+    "tourism": ("attraction", "museum", "gallery", "viewpoint", "zoo", "theme_park", "aquarium"),
+    "leisure": ("park", "nature_reserve", "garden", "beach_resort", "marina"),
+    "natural": ("beach", "peak", "bay", "cape", "volcano", "waterfall", "spring", "cave_entrance", "glacier"),
+    "historic": None,
+    "amenity": ("place_of_worship",),
+    "waterway": ("waterfall",),
+}
+STAY_TAGS = {
+    "tourism": ("hotel", "guest_house", "hostel", "motel", "chalet", "camp_site"),
+    "amenity": ("restaurant", "cafe"),
+}
+COUNTRY_RANK, PEAK_KEEP_M = 4, 350
+PROVENANCES = ("viewed-image:", "clip-matched:", "clip-propagated:")
+SWEEP_TAU, TILES, SECOND_SHARE = 0.85, 12, 1 / 3
