@@ -141,3 +141,11 @@ def outermost(paths: DataFrame) -> DataFrame:
     above = up.select("root", F.array_join(F.slice(F.split("root", "/"), F.lit(1), F.col("n")), "/").alias("above"))
     nested = above.join(own.select(F.col("root").alias("above")), "above", "left_semi").select("root")
     return own.join(nested, "root", "left_anti")
+
+
+def blocked(rows: DataFrame, target: str, pending: DataFrame, dest: str) -> DataFrame:
+    """rows whose target is, or holds, a destination that is still pending. A destination's own
+    prefixes are the keys, so it is an equi-join."""
+    steps = pending.select(F.col(dest).alias("d")).distinct().select("d", F.explode(F.sequence(F.lit(1), F.size(F.split("d", "/")))).alias("n"))
+    keys = steps.select(F.array_join(F.slice(F.split("d", "/"), F.lit(1), F.col("n")), "/").alias(target)).distinct()
+    return rows.join(keys, target, "left_semi")

@@ -125,3 +125,17 @@ def junk_reason(names: DataFrame) -> DataFrame:
         .otherwise("twin_here")
     )
     return joined.select("folder", "file_name", why.alias("why"))
+
+
+def apply_twins(plan: DataFrame, twins: DataFrame) -> DataFrame:
+    """Copies (path, action, dest) that have a twin (path, twin) become skips; where they would have gone is kept
+    as their fallback."""
+    met = plan.join(twins, "path", "left")
+    skip = (F.col("action") == "copy") & F.col("twin").isNotNull()
+    return met.select("path", F.when(skip, "skip_dupe").otherwise(F.col("action")).alias("action"), F.when(skip, F.col("twin")).otherwise(F.col("dest")).alias("dest"), F.when(skip, F.col("dest")).otherwise("").alias("fallback"))
+
+
+def copy_verdicts(wanted: DataFrame, there: DataFrame) -> DataFrame:
+    """wanted (file_no, want) with verdict: copied, wrong (other bytes are there) or absent."""
+    met = wanted.join(there, "file_no", "left")
+    return met.withColumn("verdict", F.when(F.col("sha").isNull(), "absent").when(F.col("sha") == F.col("want"), "copied").otherwise("wrong"))

@@ -183,8 +183,8 @@ def human_sizes(s, d):
 
 HAV = "2 * 6371e0 * asin(sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)))"
 KM = HAV.format(a="lat", b="lon", c="hlat", d="hlon")
-VALID = """(CASE WHEN regexp_full_match(since, '[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?') THEN substr(CAST(day AS VARCHAR), 1, length(since)) >= since ELSE true END
-    AND CASE WHEN regexp_full_match(until, '[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?') THEN substr(CAST(day AS VARCHAR), 1, length(until)) <= until ELSE true END)"""
+VALID = """(CASE WHEN regexp_full_match(since, '[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?') THEN substr(coalesce(CAST(day AS VARCHAR), ''), 1, length(since)) >= since ELSE true END
+    AND CASE WHEN regexp_full_match(until, '[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?') THEN substr(coalesce(CAST(day AS VARCHAR), ''), 1, length(until)) <= until ELSE true END)"""
 
 
 def with_homes(s, rows):
@@ -195,8 +195,8 @@ def with_homes(s, rows):
 
 
 def homes_of(day):
-    """The homes as literals, each with its condition on the day."""
-    return [(lat, lon, parse.within_bounds(day.cast("string"), F.lit(since), F.lit(until)), {"id": name, "label": label}) for name, lat, lon, since, until, label in A.HOMES]
+    """The homes as literals, each with its condition on the day; a row without a day is before every bound."""
+    return [(lat, lon, parse.within_bounds(F.coalesce(day.cast("string"), F.lit("")), F.lit(since), F.lit(until)), {"id": name, "label": label}) for name, lat, lon, since, until, label in A.HOMES]
 
 
 def placed(s, d):
