@@ -22,6 +22,7 @@ lose nothing; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ from .anchors import Chunk, Frame, U, bytes_of, doc_ids, remove_repeats
 from .common import quoted
 
 SPAN = 50
-#: Bytes an anchor covers.
+#: Bytes an anchor covers, and half of the rest of a span.
 GRAM = 16
+SIDE = (SPAN - GRAM) // 2
 #: Contexts whose suffixes are sorted at once.
 LIMIT = 1 << 14
 
@@ -142,11 +144,27 @@ def longest_previous_factors(doc: np.ndarray, lcp: np.ndarray, least: int) -> np
     return np.maximum(previous_factors(doc, lcp, least), previous_factors(doc[::-1], after, least)[::-1])
 
 
+def may_match(contexts: list[bytes]) -> np.ndarray:
+    """Numbers of the contexts that may share 50 bytes with another one. These hold the anchor at the same
+    place, so half of what is beside the anchor lies on one side of it: the contexts agree in the anchor
+    with the SIDE bytes before it or with the SIDE bytes after it. The first byte of a context
+    tells how many bytes lie before its anchor."""
+    before = [c[1 + c[0] - SIDE : 1 + c[0] + GRAM] if c[0] >= SIDE else i for i, c in enumerate(contexts)]
+    after = [c[1 + c[0] : 1 + c[0] + GRAM + SIDE] for c in contexts]
+    left, right = Counter(before), Counter(after)
+    return np.flatnonzero([left[a] > 1 or right[b] > 1 for a, b in zip(before, after)])
+
+
 def earlier_matches(contexts: list[bytes], owner: np.ndarray) -> np.ndarray:
-    """Bit s of each: its 50 bytes from s on also occur in a context of a smaller owner.
+    """Bit s of each: its 50 bytes from s on also occur in a context of a smaller owner."""
+    bits = np.zeros(len(contexts), U)
+    some = may_match(contexts)
+    bits[some] = matches_in_order([contexts[i] for i in some], owner[some])
+    return bits
 
-    The first byte of a context tells where its anchor lies, which the suffix order has no need of.
-    """
+
+def matches_in_order(contexts: list[bytes], owner: np.ndarray) -> np.ndarray:
+    """earlier_matches by the suffix order of the contexts."""
     n = len(contexts)
     by_doc = np.argsort(owner, kind="stable")
     size = np.fromiter((len(contexts[i]) - 1 for i in by_doc), np.int64, n)
