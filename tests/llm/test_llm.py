@@ -364,3 +364,113 @@ def test_null_ids(spark, sf_dir):
         best_fit.pack_documents(rows, WORD), separator_scan.document_counts(rows, path, public_tokenizers.PATTERN, 50256),
     ]
     assert [f.count() for f in every] == [4] * len(every)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, doc int, tox_score string, kept int, fp int, component_id int, ck string, part int, number int, length int, row int"
+
+
+def odd_docs(spark):
+    """Repeated rows, null ids and columns whose names hold dots or clash with those of the operators."""
+    base = [(i, t, ["en", None][i % 2], "s", len(t or "")) for i, t in enumerate(hard_texts())]
+    base += [base[5], base[5], base[1], (None, base[5][1], "en", "s", 1), (None, None, None, None, None)]
+    return spark.createDataFrame([(*r, 1, 2, "x", 3, 4, 5, "c", 6, 7, 8, 9) for r in base], ODD).repartition(3)
+
+
+def test_filters_keep_odd_columns_and_repeated_rows(spark):
+    rows = odd_docs(spark)
+    labels = spark.createDataFrame([(5, 0, 0), (5, 1, None), (None, 1, 1), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    for kept in (quality_mcd.keep_good(rows), toxicity_weak.keep_clean(rows, labels), simhash_vp.keep_first(rows), suffix_repeats.without_repeats(rows)):
+        assert kept.columns == rows.columns and {r["a.b"] for r in kept.collect()} <= {1}
+    assert toxicity_weak.keep_clean(rows, labels).count() == rows.count() == suffix_repeats.without_repeats(rows).count()
+
+
+def test_repeated_rows_give_repeated_results(spark):
+    rows, path = odd_docs(spark), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    labels = spark.createDataFrame([(5, 0, 1), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    n = rows.count()
+    for found in (bpe_prefix.encode_digests(rows, BYTE), simhash_vp.near_duplicates(rows), toxicity_weak.scores(rows, labels), quality_mcd.verdicts(rows), separator_scan.document_counts(rows, path, public_tokenizers.PATTERN, 50256)):
+        own = [tuple(r)[1:] for r in found.where("doc_id = 5").collect() if "stream" not in r.asDict()]
+        assert found.count() == n and len(set(map(str, own))) <= 1
+    packed = best_fit.pack_documents(rows, WORD)
+    assert packed.where("doc_id = 5 and piece = 0").count() == 3 and packed.where("doc_id is null and piece = 0").count() == 2
+    licensed = spark.createDataFrame([(None, license_scan.TEMPLATES[3][1], 1), (3, license_scan.TEMPLATES[3][1], 2), (3, license_scan.TEMPLATES[3][1], 2)], "doc_id long, text string, size int")
+    got = license_scan.scan(licensed, license_scan.default_templates(spark)).where("license = 'mit-grant'").collect()
+    assert sorted(str(r.doc_id) for r in got) == ["3", "3", "None"]
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(8)
+    long = " ".join(f"w{rnd.randrange(5000)}" for _ in range(180_000))
+    rows = spark.createDataFrame([(1, long, "en", "s"), (2, long[600_000:], "en", "s"), (3, f"{long[:500_000]} {license_scan.TEMPLATES[3][1]} {long[:9000]}", "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_mcd.verdicts(rows).collect()}
+    assert got[1].n_words == 180_000 and got[3].n_repeat_words > 1000
+    assert [r.doc_id for r in license_scan.scan(rows, license_scan.default_templates(spark)).where("license = 'mit-grant'").collect()] == [3]
+    assert suffix_repeats.repeat_digests(rows).where("doc_id = 2").first().n_removed == len(long) - 600_000
+    labels = spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity_weak.scores(rows, labels).count() == 3
+    found = bpe_prefix.encode_digests(rows, BYTE).where("doc_id = 1").first()
+    assert found.n_tokens == len(Tokenizer.from_file(BYTE).encode(long, add_special_tokens=False).ids)
+
+
+def test_packed_checksums(spark, docs):
+    import zlib
+
+    t = Tokenizer.from_file(WORD)
+    want = {}
+    for i, x in enumerate(hard_texts()):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            want[i, k // 2048] = zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in best_fit.pack_documents(docs, WORD).collect()} == want
+
+
+def test_encoded_ids(spark, docs):
+    t = Tokenizer.from_file(BYTE)
+    got = {r.doc_id: r.ids for r in bpe_prefix.encode_ids(docs, BYTE).collect()}
+    assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(hard_texts())}
+
+
+def test_label_model_against_enumeration():
+    """Posteriors of the last round follow from the tables by Bayes' rule, clique by clique, and labels don't vote."""
+    rng = np.random.default_rng(6)
+    truth = (rng.random(1500) < 0.3).astype(int)
+    fire = lambda a, b: (rng.random(1500) < np.where(truth == 1, a, b)).astype(np.uint8)
+    first = fire(0.6, 0.02)
+    votes = np.stack([first, first & fire(0.97, 0.97), fire(0.5, 0.05), fire(0.4, 0.01)], axis=1)
+    clique = toxicity_weak.cliques(votes, truth == 1)
+    assert clique[0] == clique[1] and len(set(clique.tolist())) == 3
+    posterior = toxicity_weak.label_model(votes, truth)
+    for pattern in np.unique(votes, axis=0):
+        same = posterior[(votes == pattern).all(axis=1)]
+        assert np.ptp(same) < 1e-12  # rows of the same votes have one posterior, whatever their labels
+    assert np.mean((posterior > 0.5) == truth) > 0.9 and abs(posterior.mean() - truth.mean()) < 0.1
+
+
+def test_linear_classifier_reaches_the_minimum():
+    """The proximal steps end where no single weight can lower the penalised loss."""
+    rng = np.random.default_rng(7)
+    rows = [([f for f in "abcd" if rng.random() < 0.4], 0) for _ in range(400)]
+    target = np.array([0.9 if "a" in r else 0.8 if "b" in r and "c" in r else 0.05 for r, _ in rows])
+    sample = toxicity_weak.Sample(rows)
+    bias, weight = toxicity_weak.train_linear(sample, target)
+
+    def loss(b, w):
+        odds = np.array([b + sum(w[sample.names.index(f)] for f in r) for r, _ in rows])
+        return np.mean(np.logaddexp(0, odds) - target * odds) + toxicity_weak.PENALTY * np.abs(w).sum()
+
+    best = loss(bias, weight)
+    assert weight[sample.names.index("a")] > 1
+    for i in np.flatnonzero(weight):
+        for step in (-0.05, 0.05):
+            other = weight.copy()
+            other[i] += step
+            assert loss(bias, other) >= best - 1e-6
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    where = f"file://{tmp_path}"
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    assert corpus_pipeline.run(spark, where).count() == 0

@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Fixed value: the pre-token pattern of the byte-level tokenizer.
+#: Fixed value: the pre-token pattern of byte-level tokenizers, which their files name but do not hold.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Units and pre-tokens a worker remembers before it starts afresh.
 CACHE_ENTRIES = 300_000
@@ -219,7 +219,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the array of ids of each whole text."""
 
     def run(batches):
-        encoder = PrefixEncoder(path)
+        encoder = worker_units(path)[0].encoder
         for batch in batches:
             ids = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])

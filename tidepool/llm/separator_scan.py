@@ -29,7 +29,13 @@ BLOCK = 1 << 16
 GROUP = 1 << 10
 
 
-def write_stream(docs: DataFrame, path: str, pattern: str, separator: int) -> DataFrame:
+def id_type(path: str, separator: int) -> type:
+    """Smallest unsigned type that holds every id of a vocabulary file (one entry a line) and the separator."""
+    with open(path, "rb") as lines:
+        return np.uint16 if max(separator, max((int(line.split()[1]) for line in lines if line.strip()), default=0)) < 1 << 16 else np.uint32
+
+
+def write_stream(docs: DataFrame, path: str, pattern: str, separator: int, kind: type = np.uint16) -> DataFrame:
     """Token streams of docs, one a task: (stream, block, ids, names). names holds the
     doc_id of each separator of the block, to tell results apart; no scan reads it."""
 
@@ -40,7 +46,7 @@ def write_stream(docs: DataFrame, path: str, pattern: str, separator: int) -> Da
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
         encoding = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        stream, block, waiting, names = TaskContext.get().partitionId(), 0, np.zeros(0, np.uint16), []
+        stream, block, waiting, names = TaskContext.get().partitionId(), 0, np.zeros(0, kind), []
         schema = pa.schema([("stream", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("names", pa.list_(pa.int64()))])
 
         def cut(ids: np.ndarray) -> pa.RecordBatch:
@@ -55,7 +61,7 @@ def write_stream(docs: DataFrame, path: str, pattern: str, separator: int) -> Da
                 part = batch.slice(lo, 64)
                 found = encoding.encode_ordinary_batch([t or "" for t in part.column("text").to_pylist()], num_threads=1)
                 names += part.column("doc_id").to_pylist()
-                waiting = np.concatenate([waiting, *(np.array([*f, separator], np.uint16) for f in found)])
+                waiting = np.concatenate([waiting, *(np.array([*f, separator], kind) for f in found)])
                 while len(waiting) >= BLOCK:
                     yield cut(waiting[:BLOCK])
                     waiting = waiting[BLOCK:]
@@ -65,7 +71,7 @@ def write_stream(docs: DataFrame, path: str, pattern: str, separator: int) -> Da
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "stream long, block long, ids binary, names array<bigint>")
 
 
-def summarise(blocks: DataFrame, separator: int) -> DataFrame:
+def summarise(blocks: DataFrame, separator: int, kind: type = np.uint16) -> DataFrame:
     """(stream, block, n, seps, last, lengths): ids, separators, ids up to the last
     separator, and ids between separators (the first from the block's start)."""
 
@@ -73,7 +79,7 @@ def summarise(blocks: DataFrame, separator: int) -> DataFrame:
         for batch in batches:
             size, seps, last, lengths = [], [], [], []
             for raw in batch.column("ids").to_pylist():
-                ids = np.frombuffer(raw, np.uint16)
+                ids = np.frombuffer(raw, kind)
                 at = np.flatnonzero(ids == separator)
                 size.append(len(ids))
                 seps.append(len(at))
@@ -106,10 +112,10 @@ def prefix(summary: DataFrame) -> DataFrame:
     )
 
 
-def count_tokens(blocks: DataFrame, separator: int) -> DataFrame:
+def count_tokens(blocks: DataFrame, separator: int, kind: type = np.uint16) -> DataFrame:
     """(stream, block, ordinal, start, n_tokens, open) of each document; start is
     the place of its first id in the stream."""
-    summary = materialize(summarise(blocks, separator), "separators")
+    summary = materialize(summarise(blocks, separator, kind), "separators")
     known = summary.join(prefix(summary), ["stream", "block"])
     ended = known.select("stream", "block", "start", "docs", "carry", F.posexplode("lengths").alias("i", "length"))
     end = Window.partitionBy("stream", "block").orderBy("i")
@@ -125,8 +131,9 @@ def count_tokens(blocks: DataFrame, separator: int) -> DataFrame:
 
 def document_counts(docs: DataFrame, path: str, pattern: str, separator: int) -> DataFrame:
     """Writes docs as token streams, scans them, and names the documents again."""
-    blocks = materialize(write_stream(docs, path, pattern, separator), "streams")
-    counts = count_tokens(blocks, separator)
+    kind = id_type(path, separator)
+    blocks = materialize(write_stream(docs, path, pattern, separator, kind), "streams")
+    counts = count_tokens(blocks, separator, kind)
     firsts = blocks.select("stream", "block", F.posexplode("names").alias("i", "doc_id"))
     base = Window.partitionBy("stream", "block")
     placed = counts.where("not open").withColumn("i", (F.col("ordinal") - F.min("ordinal").over(base)).cast("int"))
