@@ -113,12 +113,13 @@ def test_bpe_matches_the_library(spark):
         assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_simhash(docs):
-    def fingerprint(text):
-        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))] if w else []
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+def fingerprint(text):
+    w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]), 42) for k in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
 
+def test_simhash(docs):
     found = simhash_vp.near_duplicates(docs).collect()
     fp = {r.doc_id: r.fp & (1 << 64) - 1 for r in found}
     assert fp == {i: fingerprint(t) for i, t in enumerate(hard_texts())}
@@ -474,3 +475,43 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
     assert corpus_pipeline.run(spark, where).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, sf_dir, duck):
+    """Every stage by its definition, on whole texts: SQL for the quality rules, all pairs of fingerprints, every
+    50-byte string, the tokenizer. Only the fitted classifier is the operator's own; its parts are tested above."""
+    import zlib
+
+    import corpus_pipeline
+    from tidepool.llm.common import table
+
+    verdict = dict(duck.execute(f"SELECT doc_id, kept FROM ({queries.ORACLE_SQL['op2_quality_mcd']})").fetchall())
+    good = table(spark, sf_dir, "documents").where(F.col("doc_id").isin([int(i) for i, kept in verdict.items() if kept]))
+    scored = toxicity_weak.scores(good, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").collect()
+    texts = dict(duck.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall())
+    clean = sorted(r.doc_id for r in scored)
+    label = linked(np.array([fingerprint(texts[i]) for i in clean], np.uint64))
+    left = [i for k, i in enumerate(clean) if label[k] == k]
+    assert 0 < len(left) < len(clean) < sum(verdict.values()) < len(verdict)
+    raw, first, want = {i: (texts[i] or "").encode() for i in left}, {}, {}
+    for i in left:
+        for j in range(len(raw[i]) - 49):
+            first.setdefault(raw[i][j : j + 50], i)
+    t, removed = Tokenizer.from_file(WORD), 0
+    for i in left:
+        gone = np.zeros(len(raw[i]), bool)
+        for j in range(len(raw[i]) - 49):
+            if first[raw[i][j : j + 50]] < i:
+                gone[j : j + 50] = True
+        removed += int(gone.sum())
+        kept = np.frombuffer(raw[i], np.uint8)[~gone].tobytes().decode(errors="replace")
+        ids = [*t.encode(kept, add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            want[i, k // 2048] = (k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes()))
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert removed > 0 and {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by.values():
+        assert sum(n for _, n in own) <= 2048 and [o for o, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1].tolist()]
