@@ -272,3 +272,35 @@ def test_areas_match_the_ordered_pass(spark):
     frame = spark.createDataFrame(rows, "lat double, lon double, day long, month long, night boolean")
     got = {r.seed: (r.files, r.days, r.months, r.night_share, r.residence) for r in census.areas(frame).collect()}
     assert got == {f"{k[0]}:{k[1]}": (*stat(m), flags[k]) for k, m in want.items()}
+
+
+def test_near_pairs_match_all_pairs(spark):
+    import math
+    import random
+
+    rnd = random.Random(2)
+    at = lambda lat, lon: (lat + rnd.uniform(-0.03, 0.03), lon + rnd.uniform(-0.03, 0.03))
+    centres = [(25.0, 121.5), (-33.9, 18.4), (69.6, 18.9), (0.0, 0.0)]
+    points = [(i, *at(*centres[i % 4])) for i in range(240)]
+    features = [(i, *at(*centres[i % 4])) for i in range(160)]
+
+    def km(a, b, x, y):
+        h = math.sin(math.radians(x - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(x)) * math.sin(math.radians(y - b) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(h))
+
+    got = geo.near_pairs(spark.createDataFrame(points, "p long, lat double, lon double"), spark.createDataFrame(features, "f long, flat double, flon double"), 0.7)
+    want = {(p, f) for p, a, b in points for f, x, y in features if km(a, b, x, y) <= 0.7}
+    assert len(want) > 100 and sorted((r.p, r.f) for r in got.collect()) == sorted(want)
+
+
+def test_guards_raise(spark):
+    from tidepool.operators import rules
+    from tidepool.sources import media
+
+    files = spark.createDataFrame([("f", "a"), ("f", "a"), ("f", "b")], "folder string, file_name string")
+    assert media.whole_scan(files, files).count() == 3
+    with pytest.raises(ValueError, match="missed 1 files"):
+        media.whole_scan(files, files.dropDuplicates())
+    rules.refuse(files.limit(0), "names")
+    with pytest.raises(ValueError, match="names: 3 problems"):
+        rules.refuse(files, "names")

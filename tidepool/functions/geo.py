@@ -105,3 +105,18 @@ def country_of(points: DataFrame, edges: DataFrame, key: list[str], near_km: flo
     outside = points.join(held, key, "left_anti")
     near = edge_km(outside, edges, key, near_km).where(F.col("km") <= near_km).groupBy(*key).agg(F.min_by("shape", F.struct("km", "shape")).alias("near"))
     return points.select(*key).join(held, key, "left").join(near, key, "left").select(*key, F.coalesce("held", "near").alias("shape"))
+
+
+def near_pairs(points: DataFrame, features: DataFrame, km: float, width: float = 0.01) -> DataFrame:
+    """points (lat, lon, ...) with each of features (flat, flon, ...) within km, and their distance km.
+
+    A feature goes to every cell, `width` degrees wide, that its circle can touch, so the join is an
+    equi-join on cells. Holds up to 85 degrees of latitude and off the date line. Bring points
+    of one place together first: a hot place is then one row.
+    """
+    reach, shrink = km * 1.01, F.cos(F.radians(F.least(F.abs("flat"), F.lit(85.0))))
+    up, side = F.ceil(F.lit(reach / (LAT_KM * width))), F.ceil(reach / (LON_KM * width * shrink))
+    cy, cx = cell_floor(F.col("flat"), width), cell_floor(F.col("flon"), width)
+    spread = features.withColumn("cy", F.explode(F.sequence(cy - up, cy + up))).withColumn("cx", F.explode(F.sequence(cx - side, cx + side)))
+    met = points.withColumn("cy", cell_floor(F.col("lat"), width)).withColumn("cx", cell_floor(F.col("lon"), width)).join(spread, ["cy", "cx"]).drop("cy", "cx")
+    return met.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("flat"), F.col("flon"))).where(F.col("km") <= km)

@@ -139,3 +139,10 @@ def copy_verdicts(wanted: DataFrame, there: DataFrame) -> DataFrame:
     """wanted (file_no, want) with verdict: copied, wrong (other bytes are there) or absent."""
     met = wanted.join(there, "file_no", "left")
     return met.withColumn("verdict", F.when(F.col("sha").isNull(), "absent").when(F.col("sha") == F.col("want"), "copied").otherwise("wrong"))
+
+
+def refuse(problems: DataFrame, what: str) -> None:
+    """An error that counts the problems and shows one, if there are any."""
+    first = problems.limit(1).collect()
+    if first:
+        raise ValueError(f"{what}: {problems.count()} problems, among others {first[0].asDict()}")

@@ -59,6 +59,6 @@ STAY_TAGS = {
     "tourism": ("hotel", "guest_house", "hostel", "motel", "chalet", "camp_site"),
     "amenity": ("restaurant", "cafe"),
 }
-COUNTRY_RANK, PEAK_KEEP_M = 4, 350
+COUNTRY_RANK, PEAK_KEEP_M, RANK_KM, WORD_KM = 4, 350, 0.4, 0.3
 PROVENANCES = ("viewed-image:", "clip-matched:", "clip-propagated:")
 SWEEP_TAU, TILES, SECOND_SHARE = 0.85, 12, 1 / 3

@@ -45,3 +45,13 @@ def round_trip(rows: DataFrame, schema: str) -> DataFrame:
     path = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
     write_manifest(rows, path)
     return read_manifest(spark, path, schema)
+
+
+def whole_scan(expected: DataFrame, manifest: DataFrame) -> DataFrame:
+    """manifest, if it holds every expected (folder, file_name), copies counted; else an error, so
+    that nothing is planned over a scan that missed files."""
+    keys = ["folder", "file_name"]
+    missed = expected.select(*keys).exceptAll(manifest.select(*keys)).count()
+    if missed:
+        raise ValueError(f"the scan missed {missed} files")
+    return manifest
