@@ -6,6 +6,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -50,7 +51,7 @@ def duck():
 
 def plain(value):
     """A value that Spark and the oracle write alike."""
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     if isinstance(value, float) and value == int(value):
         return str(int(value))
