@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_prefix, license_scan, pivot_topk, quality_mcd, separator_scan, simhash_vp, substring_automaton, suffix_repeats, toxicity_weak
+from . import (
+    best_fit,
+    bpe_prefix,
+    fuse_dedup,
+    laesa_codes,
+    license_scan,
+    pivot_topk,
+    quality_mcd,
+    separator_scan,
+    simhash_vp,
+    spelling_variants,
+    substring_automaton,
+    suffix_repeats,
+    toxicity_weak,
+)
 from .common import table
 
 
@@ -54,6 +68,18 @@ def op10_toxicity_weak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_weak.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fuse_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse_dedup.copies(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_laesa_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_topk": op1_pivot_topk,
     "op2_quality_mcd": op2_quality_mcd,
@@ -65,11 +91,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_vp": op8_simhash_vp,
     "op9_best_fit": op9_best_fit,
     "op10_toxicity_weak": op10_toxicity_weak,
+    "op11_fuse_dedup": op11_fuse_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_laesa_codes": op13_laesa_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_mcd": quality_mcd.oracle_sql(),
     "op7_license_scan": license_scan.oracle_sql(),
+    "op11_fuse_dedup": fuse_dedup.ORACLE_SQL,
+    "op12_spelling_variants": spelling_variants.ORACLE_SQL,
+    "op13_laesa_codes": laesa_codes.oracle_sql(),
     "op1_pivot_topk": """
         WITH v AS (
             SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
