@@ -61,4 +61,7 @@ STAY_TAGS = {
 }
 COUNTRY_RANK, PEAK_KEEP_M, RANK_KM, WORD_KM = 4, 350, 0.4, 0.3
 PROVENANCES = ("viewed-image:", "clip-matched:", "clip-propagated:")
+LANDMARK_AT_KM, SIGHT_REACH_KM, NODE_AT_KM, LANDMARKS, BATCH_PLACES = 0.05, 0.15, 0.025, 2, 4
+#: Endings of place names that say less than a district.
+TOO_FINE = ("里", "鄰", "村")
 SWEEP_TAU, TILES, SECOND_SHARE = 0.85, 12, 1 / 3

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import basics, edges, looks, more, naming, planning, registry, relations, tracks
+from . import basics, edges, looks, more, naming, planning, registry, relations, spots, tracks
 
 flagship = basics.day_rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (basics, relations, looks, edges, more, naming, planning, registry, tracks):
+for _part in (basics, relations, looks, edges, more, naming, planning, registry, tracks, spots):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.SQL

@@ -245,13 +245,3 @@ def home_stops(s, d):
     pairs = with_homes(s, points.join(mid, ["folder", "day"]))
     near = pairs.groupBy("folder", "day").agg(F.min(geo.haversine_km(c("clat"), c("clon"), c("hlat"), c("hlon"))).alias("centre"), F.min("km").alias("point"))
     return near.where((c("centre") < 3) | (c("point") < 3)).select("folder", c("day").cast("string").alias("day"), F.when(c("centre") < 3, "centre").otherwise("point").alias("via"))
-
-
-@add("landmark_pick", A.CTE + """, v AS (SELECT folder, file_type AS name, CASE WHEN file_type IN ('JPEG', 'HEIC') THEN 0 ELSE 1 END AS rank, count(*) AS photos, sum(count(*)) OVER (PARTITION BY folder) AS total FROM manifest GROUP BY folder, file_type),
-    o AS (SELECT *, row_number() OVER w AS r, first_value(rank) OVER w AS first FROM v WINDOW w AS (PARTITION BY folder ORDER BY rank, photos DESC, name))
-    SELECT folder, name FROM o WHERE r = 1 OR (r = 2 AND rank = first AND 3 * photos >= total)""")
-def landmark_pick(s, d):
-    w = Window.partitionBy("folder").orderBy("rank", F.desc("photos"), "name")
-    votes = A.manifest(s, d).groupBy("folder", c("file_type").alias("name")).agg(F.count("*").alias("photos")).withColumn("rank", F.when(c("name").isin("JPEG", "HEIC"), 0).otherwise(1))
-    ordered = votes.withColumn("total", F.sum("photos").over(Window.partitionBy("folder"))).withColumn("r", F.row_number().over(w)).withColumn("first", F.first("rank").over(w))
-    return ordered.where("r = 1 or (r = 2 and rank = first and 3 * photos >= total)").select("folder", "name")
