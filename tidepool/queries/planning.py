@@ -183,25 +183,6 @@ def day_claims(s, d):
     return days.groupBy("folder").agg(F.count("*").alias("days"), F.min("day").cast("string").alias("first"), F.max("day").cast("string").alias("last"), (F.datediff(F.max("day"), F.min("day")) + 1 == F.count("*")).alias("whole"))
 
 
-@add("into_existing_trips", """WITH t AS (SELECT o_custkey AS owner, o_orderkey AS trip, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 40 AS z FROM orders WHERE o_orderkey % 2 = 0), q AS (SELECT o_custkey AS owner, o_orderkey AS folder, CAST(o_orderdate AS DATE) AS first, CAST(o_orderdate AS DATE) + 3 AS last FROM orders WHERE o_orderkey % 2 = 1)
-    SELECT folder, min(trip) AS trip FROM q JOIN t USING (owner) WHERE a <= first AND last <= z GROUP BY folder""")
-def into_existing_trips(s, d):
-    day = F.to_date("o_orderdate")
-    rows = A.table(s, d, "orders")
-    trips = rows.where("o_orderkey % 2 = 0").select(c("o_custkey").alias("owner"), c("o_orderkey").alias("trip"), day.alias("a"), F.date_add(day, 40).alias("z"))
-    folders = rows.where("o_orderkey % 2 = 1").select(c("o_custkey").alias("owner"), c("o_orderkey").alias("folder"), day.alias("first"), F.date_add(day, 3).alias("last"))
-    inside = (c("a") <= c("first")) & (c("last") <= c("z"))
-    return folders.join(trips, "owner").where(inside).groupBy("folder").agg(F.min("trip").alias("trip"))
-
-
-@add("days_into_folders", """SELECT q.o_orderkey AS folder, min(t.o_orderkey) AS holder, count(*) AS holders FROM orders q JOIN orders t ON t.o_custkey = q.o_custkey AND CAST(t.o_orderdate AS DATE) = CAST(q.o_orderdate AS DATE) + 1 AND t.o_orderkey % 2 = 0 WHERE q.o_orderkey % 2 = 1 GROUP BY q.o_orderkey""")
-def days_into_folders(s, d):
-    rows = A.table(s, d, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"))
-    tree = rows.where("o_orderkey % 2 = 0").select("o_custkey", c("o_orderkey").alias("holder"), "day")
-    days = rows.where("o_orderkey % 2 = 1").select("o_custkey", c("o_orderkey").alias("folder"), F.date_add("day", 1).alias("day"))
-    return days.join(tree, ["o_custkey", "day"]).groupBy("folder").agg(F.min("holder").alias("holder"), F.count("*").alias("holders"))
-
-
 @add("frequent_unknown_places", PLACES + f""" SELECT days, months, files, lat, lon FROM places WHERE days >= 3 AND months >= 3 AND NOT EXISTS (SELECT 1 FROM {A.HOMES_SQL} WHERE {HOME_KM} <= 1.0) AND NOT EXISTS (SELECT 1 FROM {A.NAMED_SQL} WHERE {HAV.format(a='lat', b='lon', c='nlat', d='nlon')} <= 1.0)""")
 def frequent_unknown_places(s, d):
     known = [(y, x) for _, y, x, *_ in A.HOMES] + [(y, x) for _, y, x, _ in A.NAMED]
