@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tidepool.llm import fuse_dedup, laesa_codes, queries, spelling_variants
+from tidepool.llm import fuse_dedup, laesa_codes, license_scan, queries, spelling_variants
 
 DOCS = "doc_id long, text string, lang string, keep_id long, key string, `n.x` int, word string"
 VECTORS = "vec_id long, embedding array<double>, label int, code string, v string"
@@ -201,3 +201,37 @@ def test_filters_of_snapshots_screen(spark, rows):
     fresh = spark.range(2500, 27_500).select(F.lit(0).cast("long").alias("bucket"), F.xxhash64("id").alias("key"))
     hits = fuse_dedup.screen(fresh, filters)
     assert hits.join(exact, "key").count() == 2500 and 2500 <= hits.count() < 2500 + 22_500 // 100
+
+
+def altered(rnd, words, share):
+    """words with a share of them replaced, spread evenly from a random start."""
+    out, step = list(words), round(1 / share) if share else len(words) + 1
+    for k in range(rnd.randrange(step), len(out), step):
+        out[k] = f"x{rnd.randrange(10**6)}"
+    return out
+
+
+def test_whole_license_texts_are_retrieved_by_bands(spark):
+    """Texts with up to a few percent of their words altered keep 80 % of most pieces' shingles. The bands alone
+    (pieces of the largest size) are held against exact containment of every window."""
+    rnd, texts = random.Random(5), []
+    long = [t for _, t in license_scan.TEMPLATES if len(t.split()) > 90]
+    own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    for share in (0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.1, 0.2):
+        texts += [" ".join(own(rnd.randint(0, 200)) + altered(rnd, t.split(), share) + own(rnd.randint(0, 200))) for t in long for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    templates = license_scan.default_templates(spark)
+    known = license_scan.pieces(templates).where(f"size = {max(license_scan.SIZES)}")
+    banded = known.where(license_scan.miss(F.size("hashes")) <= license_scan.MISS)
+    got = {(r.id, r.license, r.piece, r.start) for r in license_scan.retrieved(docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("mark"), "text"), banded).collect()}
+    cut = lambda t: re.findall("[a-z0-9]+", t.lower())
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    windows = {i: [(s, grams(cut(t)[s : s + 128])) for s in range(0, len(cut(t)), 64)] for i, t in enumerate(texts)}
+    want, pieces = set(), {(r.license, r.piece): {tuple(x.split(" ")) for x in r.need} for r in banded.collect()}
+    for (name, piece), need in pieces.items():
+        want |= {(i, name, piece, s) for i, w in windows.items() for s, have in w if len(need & have) >= 0.8 * len(need)}
+    assert len(want) > 200 and len(want - got) <= 0.005 * len(want)
+    found = {(r.doc_id, r.license) for r in license_scan.scan(docs, templates).collect()}
+    names = [n for n, t in license_scan.TEMPLATES if len(t.split()) > 90]
+    plain = [(i, names[i // 10]) for i in range(10 * len(names))]
+    assert set(plain) <= found
