@@ -53,14 +53,6 @@ def forms_folder(s, d):
     return R.subjects(s, d).select("subject_id", F.coalesce("forms", c("name").isNotNull() & c("has_start")).alias("forms"))
 
 
-@add("display_files", R.CTE + """ SELECT s.subject_id, s.files + coalesce(sum(o.files), 0) AS shown, s.ungated + coalesce(sum(o.ungated), 0) AS ungated FROM subjects s LEFT JOIN subjects o ON o.merged_into = s.no AND o.status = 'merged-into' GROUP BY s.subject_id, s.files, s.ungated""")
-def display_files(s, d):
-    subjects = R.subjects(s, d)
-    more = subjects.where("status = 'merged-into'").groupBy(c("merged_into").alias("no")).agg(F.sum("files").alias("f"), F.sum("ungated").alias("u"))
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    return subjects.join(more, "no", "left").select("subject_id", (c("files") + zero("f")).alias("shown"), (c("ungated") + zero("u")).alias("ungated"))
-
-
 @add("subject_labels", R.CTE + """ SELECT file_no, subject_no, coalesce(kind, 'unknown') AS kind, CASE WHEN name IS NOT NULL AND status NOT IN ('draft') THEN name ELSE coalesce(kind, 'unknown') END AS shown, NOT (name IS NOT NULL AND status NOT IN ('draft')) OR status IS NULL AS is_draft
     FROM looks LEFT JOIN subjects ON no = subject_no""")
 def subject_labels(s, d):
