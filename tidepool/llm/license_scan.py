@@ -106,7 +106,8 @@ def banded(h: Column, family: int) -> Column:
 def text_keys(h: Column) -> Column:
     """(at, key) of all windows of a text's hashes (a bound value): single shingles and bands."""
     single = F.transform(h, lambda x, i: F.struct(i.alias("at"), x.alias("key")))
-    return F.concat(single, *[let(rotated(h, f), lambda r, f=f: banded(r, f)) for f in range(FAMILIES)])
+    family = lambda f: let(rotated(h, f), lambda r: banded(r, f))
+    return F.concat(single, *[family(f) for f in range(FAMILIES)])
 
 
 def miss(n: Column) -> Column:
@@ -122,7 +123,8 @@ def piece_keys(own: Column, size: Column) -> Column:
     """(single, key) by which a piece is retrieved; own: its distinct shingles' hashes (a bound value)."""
     lacks = F.floor(F.size(own) * (1 - CONTAINMENT) + 1e-9).cast("int")
     sure = F.transform(F.slice(own, 1, lacks + 1), lambda k: F.struct(F.lit(True).alias("single"), k.alias("key")))
-    whole = F.flatten(F.array(*[F.transform(let(rotated(own, f), lambda r, f=f: bands(r, f)), lambda k: F.struct(F.lit(False).alias("single"), k.alias("key"))) for f in range(FAMILIES)]))
+    family = lambda f: F.transform(let(rotated(own, f), lambda r: bands(r, f)), lambda k: F.struct(F.lit(False).alias("single"), k.alias("key")))
+    whole = F.flatten(F.array(*[family(f) for f in range(FAMILIES)]))
     return F.when((size < max(SIZES)) | (miss(F.size(own)) > MISS), sure).otherwise(whole)
 
 

@@ -11,8 +11,8 @@ the cut-off is rejected.
 
 All of it is DataFrame expressions. Distances are ranked through a histogram of
 their logarithms, so a group of any size is only counted and summed, never
-gathered, and equal distances stay together. Scatter has a floor, so constant
-statistics are no obstacle.
+gathered, and equal distances stay together. Scatter has a floor that widens as
+rows get fewer, so constant statistics and small groups are no obstacle.
 
 Defined results: null text has no words and fails the base rules; a null language
 or source counts as an empty one; documents that fail the base rules don't take
@@ -40,8 +40,10 @@ PRIOR_WORDS = 50
 PRIOR_LENGTH = 5
 #: Least standard deviation of each statistic.
 FLOORS = (0.05, 0.4, 0.4, 0.4)
-#: Rows a language and source (or a language's rest) needs for its own estimate.
-MIN_GROUP = 100
+#: Rows a language and source (or a language's rest) needs for its own estimate: its subset then holds twice as many
+#: rows as there are statistics. The floor counts as RIDGE_ROWS rows, so estimates from few rows are wide.
+MIN_GROUP = 11
+RIDGE_ROWS = 15
 SUBSET = 0.75
 #: Makes the scatter of the central 75 % of a normal sample in 4 dimensions consistent.
 CONSISTENCY = 1.4866
@@ -113,11 +115,14 @@ def vector() -> list[Column]:
 def estimates(rows: DataFrame, keys: list[str], widen: float) -> DataFrame:
     """Mean, Cholesky factor of the scatter and its log-determinant of each group."""
     moments = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"),
         *[F.avg(y).alias(f"m{i}") for i, y in enumerate(STATS)],
         *[F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i, j in PAIRS],
     )
     for i, j in PAIRS:
-        c = F.col(f"c{i}{j}") * widen + (FLOORS[i] ** 2 if i == j else 0.0)
+        c = F.col(f"c{i}{j}") * widen
+        if i == j:
+            c = c + FLOORS[i] ** 2 * (1 + RIDGE_ROWS / F.col("n"))
         for k in range(j):
             c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         moments = moments.withColumn(f"l{i}{j}", F.sqrt(c) if i == j else c / F.col(f"l{j}{j}"))
@@ -218,10 +223,10 @@ def oracle_sql() -> str:
     def chol(rows: str, keys: str, widen: float) -> str:
         parts = []
         for i, j in PAIRS:
-            c = f"c{i}{j} * {widen!r}::DOUBLE" + (f" + {FLOORS[i] ** 2!r}::DOUBLE" if i == j else "")
+            c = f"c{i}{j} * {widen!r}::DOUBLE" + (f" + {FLOORS[i] ** 2!r}::DOUBLE * (1 + {RIDGE_ROWS}::DOUBLE / n)" if i == j else "")
             c += "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
             parts.append((f"sqrt({c})" if i == j else f"({c}) / l{j}{j}") + f" AS l{i}{j}")
-        moments = ", ".join([f"avg({y}) AS m{i}" for i, y in enumerate(STATS)] + [f"covar_pop({STATS[i]}, {STATS[j]}) AS c{i}{j}" for i, j in PAIRS])
+        moments = ", ".join(["count(*) AS n"] + [f"avg({y}) AS m{i}" for i, y in enumerate(STATS)] + [f"covar_pop({STATS[i]}, {STATS[j]}) AS c{i}{j}" for i, j in PAIRS])
         return f"SELECT *, {', '.join(parts)}, ln(l00) + ln(l11) + ln(l22) + ln(l33) AS logdet FROM (SELECT {keys}, {moments} FROM {rows} GROUP BY {keys})"
 
     def dist(rows: str, est: str, on: str) -> str:
