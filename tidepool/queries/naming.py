@@ -219,15 +219,16 @@ def trip_countries(s, d):
     return A.table(s, d, "orders").where(F.size(slots) > 2).select("o_orderkey", F.get(slots, F.lit(1)).alias("country"))
 
 
-@add("names_in_folders", """WITH f AS (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') || '_lake_' || o_orderstatus || '+' || o_orderpriority AS folder FROM orders), known AS (SELECT unnest(['f', '5-LOW', 'Lake', 'o']) AS k)
+@add("folder_pieces", """WITH f AS (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') || '_lake_' || o_orderstatus || '+' || o_orderpriority AS folder FROM orders), known AS (SELECT unnest(['f', '5-LOW', 'Lake', 'o']) AS k)
     SELECT DISTINCT o_orderkey, piece FROM (SELECT o_orderkey, trim(unnest(string_split(replace(folder, '_', '+'), '+'))) AS piece FROM f) JOIN known ON lower(k) = lower(piece)""")
-def names_in_folders(s, d):
+def folder_pieces(s, d):
     folder = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_lake_"), "o_orderstatus", F.lit("+"), "o_orderpriority")
     known = s.createDataFrame([("f",), ("5-low",), ("lake",), ("o",)], "k string")
     pieces = A.table(s, d, "orders").select("o_orderkey", F.explode(F.array_distinct(F.transform(F.split(folder, "[_+]"), lambda x: F.trim(x)))).alias("piece"))
     return pieces.join(F.broadcast(known), F.lower("piece") == c("k")).select("o_orderkey", "piece")
 
 
+
 @add("subject_lists", """SELECT conv_id, turn, coalesce(len(list_filter(l, lambda x: x <> '')), 0) AS n FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN [role, ''] WHEN turn % 3 = 1 THEN [role] ELSE [] END AS l FROM conversations)""")
 def subject_lists(s, d):
     several = F.when(c("turn") % 3 == 0, F.array("role", F.lit("")))
