@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool import params as P
+from tidepool.functions.parse import let
 from tidepool.plans.stored import small
 
 
@@ -62,8 +63,10 @@ def nearest_of(lat: Column, lon: Column, places: list[tuple[float, float, Column
     if not places:
         return F.lit(None).cast("struct<km:double>")
     text = lambda v: F.lit(v).cast("string")
-    found = [F.when(counts & lat.isNotNull(), F.struct(haversine_km(lat, lon, F.lit(y), F.lit(x)).alias("km"), *[text(v).alias(k) for k, v in own.items()])) for y, x, counts, own in places]
-    return F.array_min(F.array(*found))
+    one = lambda p, y, x, own: F.struct(haversine_km(p["lat"], p["lon"], F.lit(y), F.lit(x)).alias("km"), *[text(v).alias(k) for k, v in own.items()])
+    # the point and the conditions may be long expressions, so each is named once
+    point = F.struct(lat.alias("lat"), lon.alias("lon"), *[counts.alias(f"c{i}") for i, (_, _, counts, _) in enumerate(places)])
+    return let(point, lambda p: F.array_min(F.array(*[F.when(p[f"c{i}"] & p["lat"].isNotNull(), one(p, y, x, own)) for i, (y, x, _, own) in enumerate(places)])))
 
 
 #: Kilometres a degree of latitude, and of longitude at the equator.

@@ -78,23 +78,19 @@ def undated_bucket(by_file_date: bool, dump_month: str) -> Column:
     return F.when(F.col("file_type").isin(*P.VIDEO_TYPES) & year.isNotNull(), F.concat(year, F.lit("00_check"))).otherwise("_check/import")
 
 
-def route(rows: DataFrame, dupes: DataFrame, documents: DataFrame, overrides: DataFrame, legs: DataFrame, dest: str) -> DataFrame:
+def route(rows: DataFrame, dupes: DataFrame | Column, documents: DataFrame | Column, overrides: DataFrame, legs: DataFrame, dest: str) -> DataFrame:
     """action, destination and tag of each dated row; the first rule that fires wins.
 
-    rows: manifest columns with day. dupes(file_no, existing), documents(file_no),
-    overrides(day, path), legs(ord, first, last, name) are joined as they are; of
-    several legs that hold a day the first by ord counts.
+    rows: manifest columns with day. dupes(file_no, existing) and documents(file_no) are joined, or are
+    columns (the existing path or NULL; whether it is a document) where the caller knows them from the rows.
+    overrides(day, path), legs(ord, first, last, name): of several legs that hold a day the first by ord
+    counts; legs are few, so they are spread over their days, one row a day.
     """
-    day_legs = (
-        rows.select("day").distinct().join(small(legs), F.col("day").between(F.col("first"), F.col("last"))).groupBy("day").agg(F.min_by("name", "ord").alias("leg"))
-    )
-    joined = (
-        rows.withColumn("cls", preclass())
-        .join(dupes, "file_no", "left")
-        .join(documents.withColumn("is_document", F.lit(True)), "file_no", "left")
-        .join(small(overrides.withColumnRenamed("path", "override")), "day", "left")
-        .join(day_legs, "day", "left")
-    )
+    days = legs.withColumn("day", F.explode(F.sequence("first", "last"))).groupBy("day").agg(F.min_by("name", "ord").alias("leg"))
+    joined = rows.withColumn("cls", preclass())
+    joined = joined.withColumn("existing", dupes) if isinstance(dupes, Column) else joined.join(dupes, "file_no", "left")
+    joined = joined.withColumn("is_document", documents) if isinstance(documents, Column) else joined.join(documents.withColumn("is_document", F.lit(True)), "file_no", "left")
+    joined = joined.join(small(overrides.withColumnRenamed("path", "override")), "day", "left").join(small(days, 100_000), "day", "left")
     month = F.date_format("day", "yyyyMM")
     known = F.col("file_type").isin(*P.IMAGE_TYPES, *P.VIDEO_TYPES)
     out = lambda action, path, tag: F.struct(F.lit(action).alias("action"), path.alias("destination"), F.lit(tag).alias("tag"))

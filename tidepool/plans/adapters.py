@@ -82,8 +82,9 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = manifest(spark, sf_dir)
-    point = parse.gps(F.col("gps_position"))
-    taken = parse.first_date(F.col("date_time_original"), F.col("create_date"))
+    # the view's texts are long, and the parsers name them often: each is bound once
+    point = parse.let(F.col("gps_position"), parse.gps)
+    taken = F.coalesce(*[parse.let(F.col(n), parse.stamp) for n in ("date_time_original", "create_date")])
     return rows.withColumn("taken", taken).select(
         *rows.columns,
         "taken",

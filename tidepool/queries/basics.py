@@ -207,8 +207,9 @@ def placed(s, d):
     SELECT file_no, id, label, {KM} AS km FROM typed, {A.HOMES_SQL} WHERE lat IS NOT NULL AND day IS NOT NULL AND {VALID}) GROUP BY file_no""")
 def nearest_home(s, d):
     near = geo.nearest_of(c("lat"), c("lon"), homes_of(c("day")))
-    rows = placed(s, d).select("file_no", near.alias("near")).where("near is not null")
-    return rows.select("file_no", c("near.id").alias("home"), F.coalesce("near.label", F.lit("none")).alias("label"), F.round("near.km", 6).alias("km"))
+    # inlined, so that the nearest is found once a row and not once a field
+    rows = placed(s, d).select("file_no", F.inline(F.array(near))).where("km is not null")
+    return rows.select("file_no", c("id").alias("home"), F.coalesce("label", F.lit("none")).alias("label"), F.round("km", 6).alias("km"))
 
 
 @add("within_home_range", A.CTE + f"""SELECT DISTINCT file_no FROM typed, {A.HOMES_SQL} WHERE lat IS NOT NULL AND day IS NOT NULL AND {VALID} AND {KM} <= 3.0""")
@@ -316,8 +317,8 @@ DAYS = [("2024-01-07", "elsewhere"), ("2024-01-15", "party")]
           FROM typed t LEFT JOIN {A.values(DAYS, "oday, path")} o ON CAST(oday AS DATE) = day WHERE day IS NOT NULL)""")
 def route_rows(s, d):
     rows = A.typed(s, d).where("day is not null")
-    dupes = rows.where("file_no % 31 = 0").select("file_no", F.concat(F.lit("tree/"), c("file_no").cast("string")).alias("existing"))
-    documents = rows.where("file_no % 37 = 0").select("file_no")
+    dupes = F.when(c("file_no") % 31 == 0, F.concat(F.lit("tree/"), c("file_no").cast("string")))
+    documents = c("file_no") % 37 == 0
     overrides = s.createDataFrame(DAYS, "day string, path string").withColumn("day", F.to_date("day"))
     legs = s.createDataFrame(LEGS, "ord int, first string, last string, name string").withColumns({"first": F.to_date("first"), "last": F.to_date("last")})
     return rules.route(rows, dupes, documents, overrides, legs, "out")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidepool.operators import joins, lifecycle
 from tidepool.plans import adapters as A
 from tidepool.plans import archive as R
+from tidepool.streaming import rounds
 
 c = F.col
 QUERIES, SQL = {}, {}
@@ -75,3 +76,35 @@ def display_files(s, d):
     ends = joins.resolve_aliases(links).withColumnRenamed("id", "no")
     summed = rows.join(ends, "no", "left").withColumn("root", F.coalesce("root", "no")).groupBy("root").agg(F.sum("files").alias("shown"), F.sum("ungated").alias("ungated"), F.count("*").alias("records"))
     return rows.select(c("no").alias("root"), "subject_id").join(summed, "root").select("subject_id", "shown", "ungated", "records")
+
+
+#: A checkpoint a dump and day: the subjects of its events, those that were reopened, and the end of the dump.
+CHECKPOINTS = """SELECT user_id AS dump, CAST(dayofmonth(ts) AS BIGINT) AS checkpoint, {set}(CAST(round(value * 100) AS BIGINT) % 37) AS tiles,
+  {set}(CASE WHEN value < 15 THEN CAST(round(value * 100) AS BIGINT) % 37 END) AS reopened, max(dayofmonth(ts)) >= 29 OR (max(dayofmonth(ts)) = 17 AND user_id % 5 = 0) AS final FROM {events} GROUP BY user_id, dayofmonth(ts)"""
+
+
+def checkpoints(s, d):
+    return s.sql(CHECKPOINTS.replace("{set}", "collect_set"), events=A.table(s, d, "events"))
+
+
+ROUNDS = f"""WITH RECURSIVE k AS ({CHECKPOINTS.replace("{events}", "events").replace("{set}(CASE", "list(DISTINCT CASE").replace("{set}(", "list(DISTINCT ")}),
+    o AS MATERIALIZED (SELECT dump, checkpoint, tiles, list_filter(reopened, lambda x: x IS NOT NULL) AS reopened, final, row_number() OVER (PARTITION BY dump ORDER BY checkpoint) AS n FROM k),
+    w(dump, n, fired, seen, ended, checkpoint, fire, why, round, new, waiting) AS (
+      SELECT DISTINCT dump, 0::BIGINT, 0, []::BIGINT[], false, NULL::BIGINT, NULL::BOOLEAN, NULL::VARCHAR, 0, 0::BIGINT, 0::BIGINT FROM o
+      UNION ALL SELECT dump, n, fired + CASE WHEN fire AND NOT last THEN 1 ELSE 0 END, CASE WHEN fire THEN list_distinct(list_concat(seen, tiles)) ELSE seen END, ended OR last, checkpoint, fire,
+        CASE WHEN last THEN 'final' WHEN new >= 3 AND fired >= 2 THEN 'cap' ELSE 'floor' END, fired + 1, new, len(tiles)
+      FROM (SELECT *, last OR (new >= 3 AND fired < 2) AS fire FROM (SELECT o.dump, o.n, w.fired, w.seen, w.ended, o.checkpoint, o.tiles, o.final AND NOT w.ended AS last,
+        len(list_filter(o.tiles, lambda x: NOT list_contains(w.seen, x) OR list_contains(o.reopened, x))) AS new FROM w JOIN o ON o.dump = w.dump AND o.n = w.n + 1)))
+    SELECT dump, checkpoint, fire, why, round, new, waiting FROM w WHERE n > 0"""
+
+
+@add("question_rounds", ROUNDS)
+def question_rounds(s, d):
+    """Which checkpoints of each dump ask, and why the others don't."""
+    return rounds.gate(checkpoints(s, d))
+
+
+@add("stream_question_rounds", ROUNDS)
+def stream_question_rounds(s, d):
+    """The same as a stream, taken up again twice from its stored state."""
+    return rounds.streamed(checkpoints(s, d))
