@@ -165,6 +165,28 @@ def most_alike(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
     return pairs.mapInPandas(highest, f"id {dict(rows.dtypes)['id']}, cos double").groupBy("id").agg(F.max("cos").alias("cos"))
 
 
+def most_alike_label(rows: DataFrame, others: DataFrame, key: str, label: str) -> DataFrame:
+    """(id, label, cos): the label of the other row (id, v, label) of its key that each row is most alike, by cosines
+    of nine digits; of equal ones the smallest label. Blocks carry the labels, so there is one pass for all of them."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x, y in zip(pdf["x"], pdf["y"]):
+                y = sorted(y, key=lambda r: r[label])
+                cos = np.round(np.stack([r["v"] for r in x]) @ np.stack([r["v"] for r in y]).T, 9)
+                at = cos.argmax(axis=1)
+                yield pd.DataFrame({"id": [r["id"] for r in x], label: [y[k][label] for k in at], "cos": cos[np.arange(len(x)), at]})
+
+    others = others.where(F.col(label).isNotNull())
+    sizes = others.groupBy(F.col(key).alias("of")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = others.join(small(sizes), F.col(key).eqNullSafe(F.col("of"))).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    labelled = dealt.groupBy(key, "blk").agg(F.collect_list(F.struct("id", "v", label)).alias("x"))
+    types = dict(others.dtypes)
+    pairs = block_pairs(key_blocks(rows.select(key, "id", "v"), key), labelled, key, F.lit(True))
+    found = pairs.mapInPandas(best, f"id {dict(rows.dtypes)['id']}, {label} {types[label]}, cos double")
+    return found.groupBy("id").agg(F.min_by(label, F.struct(-F.col("cos"), F.col(label))).alias(label), F.max("cos").alias("cos"))
+
+
 def ordered_leaders(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, leader): rows in the order of rank lead and claim what is left beside them.
 

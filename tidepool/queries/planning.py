@@ -230,13 +230,13 @@ def first_batch_of_place(s, d):
     return A.typed(s, d).where("lat is not null").groupBy(cell("lat").alias("py"), cell("lon").alias("px")).agg(F.min("folder").alias("first_batch"), F.count_distinct("folder").alias("batches"))
 
 
-@add("blocked_renames", """WITH r AS (SELECT page_id, '/' || split_part(url, '/', 4) AS target FROM pages WHERE page_id % 3 = 0), p AS (SELECT '/' || split_part(url, '/', 4) || CASE WHEN page_id % 2 = 0 THEN '/x' ELSE 'x' END AS dest FROM pages WHERE page_id % 3 = 1)
+@add("blocked_renames", """WITH r AS (SELECT page_id, '/' || split_part(url, '/', 4) AS target FROM pages WHERE page_id % 2 = 0), p AS (SELECT '/' || split_part(url, '/', 4) || CASE WHEN page_id % 4 = 1 THEN '/x' ELSE 'x' END AS dest FROM pages WHERE page_id % 2 = 1)
     SELECT page_id FROM r WHERE EXISTS (SELECT 1 FROM p WHERE dest = target OR starts_with(dest, target || '/'))""")
 def blocked_renames(s, d):
     top = F.concat(F.lit("/"), F.coalesce(F.get(F.split("url", "/"), F.lit(3)), F.lit("")))
     pages = A.table(s, d, "pages").select("page_id", top.alias("target"))
-    pending = pages.where("page_id % 3 = 1").select(F.concat("target", F.when(c("page_id") % 2 == 0, "/x").otherwise("x")).alias("dest"))
-    return joins.blocked(pages.where("page_id % 3 = 0"), "target", pending, "dest").select("page_id")
+    pending = pages.where("page_id % 2 = 1").select(F.concat("target", F.when(c("page_id") % 4 == 1, "/x").otherwise("x")).alias("dest"))
+    return joins.blocked(pages.where("page_id % 2 = 0"), "target", pending, "dest").select("page_id")
 
 
 @add("engine_names", "SELECT DISTINCT name FROM (SELECT split_part(url, '/', 4) AS name FROM pages UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT p_name FROM part)")

@@ -191,9 +191,12 @@ def folder_bound(s, d):
     return t.where(good).join(forming, "best", "left_semi").groupBy(c("label").alias("cluster")).agg(F.count("*").alias("members"), F.min("id").alias("first"))
 
 
-@add("guaranteed_picks", UNIT + """, g AS (SELECT * FROM u WHERE id % 3 = 0) SELECT label, id FROM (SELECT a.label, a.id, row_number() OVER (PARTITION BY a.label ORDER BY round(sum(list_dot_product(a.v, b.v)), 9) DESC, sha256(CAST(a.id AS VARCHAR))) AS r FROM g a JOIN g b ON a.label = b.label GROUP BY a.label, a.id) WHERE r = 1""")
+@add("guaranteed_picks", UNIT + ", " + R.CTE.removeprefix("WITH ") + """, g AS (SELECT * FROM u WHERE label IN (SELECT label FROM subjects WHERE coalesce(forms, name IS NOT NULL AND has_start)))
+    SELECT label, id FROM (SELECT a.label, a.id, row_number() OVER (PARTITION BY a.label ORDER BY round(sum(list_dot_product(a.v, b.v)), 9) DESC, sha256(CAST(a.id AS VARCHAR))) AS r FROM g a JOIN g b ON a.label = b.label GROUP BY a.label, a.id) WHERE r = 1""")
 def guaranteed_picks(s, d):
-    return vectors.medoids(unit(s, d).where("id % 3 = 0"), "label").select("label", "id")
+    """The representative of each cluster whose subject forms a folder of its own."""
+    forming = R.subjects(s, d).where(F.coalesce("forms", c("name").isNotNull() & c("has_start"))).select("label").distinct()
+    return vectors.medoids(unit(s, d).join(forming, "label", "left_semi"), "label").select("label", "id")
 
 
 @add("provisional_labels", TOP + """, med AS (SELECT label, id AS rep FROM (SELECT a.label, a.id, row_number() OVER (PARTITION BY a.label ORDER BY round(sum(list_dot_product(a.v, b.v)), 9) DESC, sha256(CAST(a.id AS VARCHAR))) AS r FROM u a JOIN u b ON a.label = b.label GROUP BY a.label, a.id) WHERE r = 1)
@@ -216,21 +219,29 @@ def identity_suppression(s, d):
     return t.where((c("best_score") >= 0.25) & (c("best_score") - c("second_score") >= P.IDENTITY_MARGIN)).select("id", c("best").alias("subject"))
 
 
-ABSORB = UNIT + """, w AS (SELECT a.id, b.label AS into_label, max(list_dot_product(a.v, b.v)) AS s FROM u a JOIN u b ON a.id % 5 = 1 AND b.id % 5 = 0 AND a.label % 2 = b.label % 2 GROUP BY a.id, b.label)"""
+#: The given vectors drawn towards their label's centre, by three degrees, so that the real bars part them.
+PULL = "CASE id % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.5 ELSE 0.3 END"
+TIGHT = UNIT + f""", pulled AS (SELECT u.id, u.label, list_transform(list_zip(u.v, m.c), lambda z: z[1] + CAST({PULL} AS DOUBLE) * z[2]) AS v FROM u JOIN m USING (label)),
+    tight AS (SELECT id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM pulled)"""
 
 
-@add("sweep_absorb", ABSORB + " SELECT id, arg_max(into_label, (round(s, 9), -into_label)) AS into_label, round(max(s), 4) AS score FROM w WHERE id % 11 <> 0 GROUP BY id HAVING max(s) >= 0.3")
+def tight(s, d):
+    rows = unit(s, d)
+    centres = vectors.mean_vectors(rows, "label").select("label", c("c").alias("centre"))
+    pull = F.expr(PULL).cast("double")
+    pulled = rows.join(small(centres), "label").withColumn("pull", pull)
+    sums = pulled.select("id", "label", F.zip_with("v", "centre", lambda x, y: x + c("pull") * y).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+    return sums.withColumn("norm", norm).select("id", "label", F.transform("v", lambda x: x / c("norm")).alias("v"))
+
+
+@add("sweep_absorb", TIGHT + """, w AS (SELECT a.id, b.label AS into_label, max(list_dot_product(a.v, b.v)) AS s FROM tight a JOIN tight b ON a.id % 2 = 1 AND b.id % 2 = 0 AND a.label % 2 = b.label % 2 GROUP BY a.id, b.label)
+    SELECT id, arg_max(into_label, (round(s, 9), -into_label)) AS into_label, round(max(s), 4) AS score FROM w GROUP BY id HAVING max(s) >= 0.85""")
 def sweep_absorb(s, d):
-    rows = unit(s, d).withColumn("kind", c("label") % 2)
-    drafts, winners = rows.where("id % 5 = 1 and id % 11 <> 0").select("id", "kind", "v"), rows.where("id % 5 = 0")
-    best = None
-    # the winners' labels are few; blocks of drafts meet blocks of each label's exemplars
-    for label in [r[0] for r in winners.select("label").distinct().limit(1000).collect()]:
-        own = winners.where(c("label") == label)
-        met = vectors.most_alike(drafts, own, "kind").withColumn("into_label", F.lit(label))
-        best = met if best is None else best.unionByName(met)
-    top = best.groupBy("id").agg(F.max_by("into_label", F.struct(F.round("cos", 9), -c("into_label"))).alias("into_label"), F.max("cos").alias("cos"))
-    return top.where("cos >= 0.3").select("id", "into_label", F.round("cos", 4).alias("score"))
+    """Drafts that are as alike as SWEEP_TAU to an exemplar of a confirmed subject of their kind, and that subject."""
+    rows = tight(s, d).withColumn("kind", c("label") % 2)
+    met = vectors.most_alike_label(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"), "kind", "label")
+    return met.where(c("cos") >= P.SWEEP_TAU).select("id", c("label").alias("into_label"), F.round("cos", 4).alias("score"))
 
 
 @add("worst_frames", UNIT + """, q AS (SELECT a.label, a.id, max(list_dot_product(a.v, b.v)) AS s FROM u a JOIN u b ON a.label = b.label AND b.id % 4 = 0 WHERE a.id % 4 <> 0 GROUP BY a.label, a.id)
@@ -242,9 +253,13 @@ def worst_frames(s, d):
     return placed_rows.where("r <= 3").select("label", "id", "r")
 
 
-@add("frames_centroid", UNIT + ", k AS (SELECT label, i, avg(v[i]) AS x FROM u, generate_series(1, 64) t(i) WHERE id % 7 = 0 GROUP BY label, i) SELECT label, CAST(i - 1 AS INTEGER) AS i, round(x, 6) AS x FROM k")
+@add("frames_centroid", UNIT + """, f AS (SELECT u.id, u.label, u.v FROM u JOIN m USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(list_dot_product(v, c), 9) DESC, id) <= 5),
+    k AS (SELECT label, i, avg(v[i]) AS x FROM f, generate_series(1, 64) t(i) GROUP BY label, i) SELECT label, CAST(i - 1 AS INTEGER) AS i, round(x, 6) AS x FROM k""")
 def frames_centroid(s, d):
-    return vectors.mean_vectors(unit(s, d).where("id % 7 = 0"), "label", renormalise=False).select("label", F.posexplode("c").alias("i", "x")).withColumn("x", F.round("x", 6))
+    """The centre of the frames picked for each cluster: its five members nearest to its centre."""
+    rows = unit(s, d)
+    frames = vectors.nearest_members(rows, "label", P.EXEMPLARS).select("id")
+    return vectors.mean_vectors(rows.join(frames, "id", "left_semi"), "label", renormalise=False).select("label", F.posexplode("c").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 @add("tile_ceiling", R.CTE + """, n AS (SELECT subject_no, count(*) AS reach FROM looks JOIN subjects ON no = subject_no WHERE status = 'draft' GROUP BY subject_no), k AS (SELECT *, row_number() OVER (ORDER BY reach DESC, subject_no) AS r FROM n)

@@ -125,16 +125,16 @@ def twin_holds(s, d):
     return skips.join(now, "dest", "left").select("path", F.coalesce((c("size") == c("now_size")) & (c("sha") == c("now_sha")), F.lit(False)).alias("holds"))
 
 
-@add("op_validity", """WITH e AS (SELECT DISTINCT strftime(o_orderdate, '%Y%m%d') || '_' || o_orderstatus AS name FROM orders WHERE o_orderkey % 5 = 0),
-    ops AS (SELECT o_orderkey AS op, CASE WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate + INTERVAL 1 DAY, '%Y%m') ELSE strftime(o_orderdate + INTERVAL 1 DAY, '%Y%m%d') END || '_' || o_orderstatus AS new FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT new, count(*) AS n FROM ops GROUP BY new)
+@add("op_validity", """WITH e AS (SELECT DISTINCT strftime(o_orderdate, '%Y%m%d') || '_' || o_orderstatus AS name FROM orders WHERE o_orderkey % 2 = 1),
+    ops AS (SELECT o_orderkey AS op, CASE WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate + INTERVAL 1 DAY, '%Y%m') ELSE strftime(o_orderdate + INTERVAL 1 DAY, '%Y%m%d') END || '_' || o_orderstatus AS new FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT new, count(*) AS n FROM ops GROUP BY new)
     SELECT op, problem FROM (SELECT op, CASE WHEN NOT regexp_full_match(new, '[0-9]{8}_.+') THEN 'grammar' WHEN e.name IS NOT NULL THEN 'taken' WHEN n > 1 THEN 'collides' END AS problem FROM ops JOIN n USING (new) LEFT JOIN e ON e.name = new) WHERE problem IS NOT NULL""")
 def op_validity(s, d):
     """Renames that can't be done: ungrammatical, to a folder that is there, or to the same name as another.
     Names are counted before they meet the renames."""
     rows, next_day = A.table(s, d, "orders"), F.date_add(F.to_date("o_orderdate"), 1)
-    there = rows.where("o_orderkey % 5 = 0").select(F.concat_ws("_", F.date_format("o_orderdate", "yyyyMMdd"), "o_orderstatus").alias("new")).distinct().withColumn("taken", F.lit(True))
+    there = rows.where("o_orderkey % 2 = 1").select(F.concat_ws("_", F.date_format("o_orderdate", "yyyyMMdd"), "o_orderstatus").alias("new")).distinct().withColumn("taken", F.lit(True))
     stamp = F.when(c("o_orderkey") % 7 == 0, F.date_format(next_day, "yyyyMM")).otherwise(F.date_format(next_day, "yyyyMMdd"))
-    ops = rows.where("o_orderkey % 3 = 0").select(c("o_orderkey").alias("op"), F.concat_ws("_", stamp, "o_orderstatus").alias("new"))
+    ops = rows.where("o_orderkey % 2 = 0").select(c("o_orderkey").alias("op"), F.concat_ws("_", stamp, "o_orderstatus").alias("new"))
     met = ops.join(ops.groupBy("new").agg(F.count("*").alias("n")), "new").join(there, "new", "left")
     problem = F.when(~c("new").rlike("^[0-9]{8}_.+$"), "grammar").when(c("taken"), "taken").when(c("n") > 1, "collides")
     return met.select("op", problem.alias("problem")).where("problem is not null")
