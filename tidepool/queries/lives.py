@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidepool.operators import joins, lifecycle
+from tidepool.operators.memory import Memory
 from tidepool.plans import adapters as A
 from tidepool.plans import archive as R
+from tidepool.plans.stored import shared_dir
 from tidepool.streaming import rounds
 
 c = F.col
@@ -108,3 +112,35 @@ def question_rounds(s, d):
 def stream_question_rounds(s, d):
     """The same as a stream, taken up again twice from its stored state."""
     return rounds.streamed(checkpoints(s, d))
+
+
+#: Looks at the vectors: their subject is their label's, some were not viewed, can't be shown, or have no length.
+SEEN = """SELECT vec_id AS seq, CAST(label AS BIGINT) AS subject, vec_id AS ref, transform(embedding, x -> CAST(CASE WHEN vec_id % 29 = 3 THEN 0 ELSE x END AS DOUBLE)) AS v,
+  CASE WHEN vec_id % 6 = 5 THEN 'clip-matched:' ELSE 'viewed-image:' END AS provenance, concat('s', vec_id % 50) AS sample FROM {t}"""
+STATUS = "SELECT CAST(no AS BIGINT) AS subject, CASE WHEN no % 10 = 7 THEN 'merged-into' WHEN no % 10 = 8 THEN 'draft' ELSE 'confirmed' END AS status FROM (SELECT s_suppkey AS no FROM supplier) s WHERE no < 10 AND no <> 6"
+
+
+def memorised(s, d):
+    """The memory after two runs, of the even and the odd looks, the first of which is repeated."""
+    seen = s.sql(SEEN, t=A.table(s, d, "embeddings"))
+    subjects = s.sql(STATUS.replace("FROM supplier", "FROM {t}"), t=A.table(s, d, "supplier"))
+    proofs = seen.where("seq % 11 <> 4").select("sample", "ref")
+    taken_out = seen.where("seq % 13 = 6").select("subject", "ref")
+    memory = Memory(s, f"{shared_dir(s)}/memory-{uuid.uuid4().hex}", cap=6)
+    for run, half in (("even", 0), ("odd", 1), ("even", 0)):
+        memory.remember(run, seen.where(f"seq % 2 = {half}"), subjects, proofs, taken_out)
+    return memory
+
+
+@add("memorise_audit", f"""WITH n AS (SELECT vec_id AS seq, CAST(label AS BIGINT) AS subject, status FROM embeddings LEFT JOIN ({STATUS}) t ON t.subject = label)
+    SELECT CASE WHEN seq % 2 = 0 THEN 'even' ELSE 'odd' END AS run, seq, subject, CASE WHEN gate IS NULL THEN 'memorized' ELSE 'refused' END AS decision, gate FROM (SELECT *, CASE WHEN seq % 6 = 5 THEN 'provenance' WHEN seq % 11 = 4 THEN 'evidence' WHEN status IS NULL THEN 'subject'
+      WHEN status = 'merged-into' THEN 'merged-into' WHEN status <> 'confirmed' THEN 'unconfirmed' WHEN seq % 13 = 6 THEN 'not-this' WHEN seq % 29 = 3 THEN 'vector' END AS gate FROM n)""")
+def memorise_audit(s, d):
+    """Every attempt to add an exemplar, with the gate that refused it."""
+    return memorised(s, d).audit().select("run", "seq", "subject", "decision", "gate")
+
+
+@add("memorised_exemplars")
+def memorised_exemplars(s, d):
+    """The exemplars that each subject keeps."""
+    return memorised(s, d).exemplars().select("subject", "ref")
