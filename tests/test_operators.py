@@ -90,6 +90,26 @@ def test_split_runs_first_largest_jump(spark):
     assert [r.part for r in got.orderBy("day").collect()] == [1, 1, 2, 2, 3]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_collision_suffix_fills_gaps(spark, seed):
+    """The next free number beside names that already end as a renamed one, in any case."""
+    rnd = random.Random(seed)
+    stems = ["a", "A", "b", "a_dup2", "A_DUP2", "a_dup3", "a_dup2_dup2", "a_dup02", "a_dup1", "b_dup4", ".hid", "_dup2"]
+    data = [(rnd.choice("xy"), rnd.choice(stems) + rnd.choice([".jpg", ".JPG", ".jpg", "", ".png"]), i) for i in range(rnd.choice([12, 60, 300]))]
+    data += [("hot", "img.jpg", 1000 + i) for i in range(200)] + [("hot", f"img_dup{n}.jpg", 2000 + n) for n in (2, 3, 7, 50, 51, 300)] + [("hot", "IMG_dup9.jpg", 3000), ("hot", "IMG.jpg", 3001)]
+    taken, want = set(), {}
+    for dest, name, i in sorted(data, key=lambda r: (r[0], r[1].encode(), r[2])):
+        stem, ext = joins.split_name(name)
+        final, n = name, 2
+        while (dest, final.lower()) in taken:
+            final, n = f"{stem}_dup{n}{ext}", n + 1
+        taken.add((dest, final.lower()))
+        want[i] = final
+    rows = spark.createDataFrame(data, "dest string, name string, id long").repartition(4)
+    assert {r.id: r.final for r in joins.collision_suffix(rows).collect()} == want
+    assert len({(r.dest, r.final.lower()) for r in joins.collision_suffix(rows).collect()}) == len(data)
+
+
 def test_collision_suffix(spark):
     rows = spark.createDataFrame([("d", "A.jpg", 1), ("d", "a.JPG", 2), ("d", "b.jpg", 3), ("e", "a.jpg", 4), ("d", "noext", 5), ("d", "NOEXT", 6)], "dest string, name string, id long")
     assert {r.id: r.final for r in joins.collision_suffix(rows).collect()} == {1: "A.jpg", 2: "a_dup2.JPG", 3: "b.jpg", 4: "a.jpg", 6: "NOEXT", 5: "noext_dup2"}

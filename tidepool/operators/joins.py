@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,13 +108,81 @@ def staleness(rows: DataFrame, present: DataFrame) -> DataFrame:
     return met.select("path", out.alias("verdict"), F.when(out.isin("moved", "ambiguous"), best).alias("candidate"))
 
 
-def collision_suffix(rows: DataFrame) -> DataFrame:
-    """Names made unique within a folder regardless of case: the second and later get
-    _dup2, _dup3 and so on by name order. rows: dest, name, id."""
-    w = Window.partitionBy("dest", F.lower("name")).orderBy("name", "id")
-    stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
-    n = F.row_number().over(w)
-    return rows.select("dest", "id", F.when(n == 1, F.col("name")).otherwise(F.concat(stem, F.lit("_dup"), n.cast("string"), ext)).alias("final"))
+STEM, DUPED = r"^(.+?)(\.[^.]+)?$", r"^(.+)_dup([2-9]|[1-9]\d+)$"
+
+
+def split_name(name: str) -> tuple[str, str]:
+    """(stem, extension) of a name."""
+    stem, ext = re.match(STEM, name, re.S).groups() if name else ("", None)
+    return stem, ext or ""
+
+
+def number_runs(runs: list[tuple[str, int]]) -> list[list[tuple[int, int]]]:
+    """For each (name, count) of one family in order: spans (first rank, number) of its rows. Number 1 keeps the name, and
+    number n means _dupn; ranks after the first of a span go on counting. A number is skipped if the name that it would
+    make is taken by then, and a name that is taken by then is numbered like any other."""
+    taken, given, out = set(), {}, []
+    for name, count in runs:
+        stem, ext = split_name(name.lower())
+        spans, rank = [], 1
+        duped = re.match(DUPED, stem, re.S)
+        made = duped and any(low <= int(duped[2]) < high for low, high in given.get((duped[1], ext), []))
+        if (stem, ext) not in taken and not made:
+            taken.add((stem, ext))
+            spans.append((1, 1))
+            rank = 2
+        own = given.setdefault((stem, ext), [])
+        skip = sorted({int(m[2]) for s, e in taken if e == ext and (m := re.match(DUPED, s, re.S)) and m[1] == stem})
+        n = own[-1][1] if own else 2
+        while rank <= count:
+            while n in skip:
+                n += 1
+            end = min([x for x in skip if x > n], default=n + count)
+            end = min(end, n + count - rank + 1)
+            spans.append((rank, n))
+            own.append((n, end))
+            rank, n = rank + end - n, end
+        out.append(spans)
+    return out
+
+
+def collision_suffix(rows: DataFrame, parts: int = 64) -> DataFrame:
+    """dest, id and final: names made unique within a folder regardless of case, by name order and then id. The second and
+    later of a name get the next free of _dup2, _dup3 and so on. rows: dest, name, id, all distinct.
+
+    Rows are counted by name and by ranges of the id, so a hot name is ranked in `parts` tasks. Only families in
+    which a name that already ends in _dupN meets a repeated one are numbered one after the other, by their distinct
+    names and counts.
+    """
+    cuts = rows.selectExpr(f"percentile_approx(id, array({', '.join(f'{k / parts}D' for k in range(1, parts))}), 1000) AS c").first().c or []
+    part = F.size(F.filter(F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<long>"), lambda x: x < F.col("id")))
+    placed = rows.withColumn("part", part)
+    counted = placed.groupBy("dest", "name", "part").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("dest", "name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = stored(counted.withColumn("before", F.coalesce(F.sum("n").over(own), F.lit(0))), "names")
+    ext = F.lower(F.coalesce(F.regexp_extract("name", STEM, 2), F.lit("")))
+    stem = F.lower(F.regexp_extract("name", STEM, 1))
+    root = F.regexp_replace(stem, r"(_dup([2-9]|[1-9]\d+))+$", "")
+    runs = counted.groupBy("dest", "name").agg(F.sum("n").alias("count")).withColumn("key", F.lower("name")).withColumn("family", F.struct(root.alias("root"), ext.alias("ext")))
+    whole, same = Window.partitionBy("dest", "family"), Window.partitionBy("dest", "key")
+    told = runs.withColumn("of_key", F.sum("count").over(same))
+    told = told.withColumn("mixed", (F.max("of_key").over(whole) > 1) & F.max(stem.rlike(DUPED)).over(whole))
+    told = stored(told.withColumn("earlier", F.coalesce(F.sum("count").over(same.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "families")
+    plain = told.where("not mixed").select("dest", "name", F.array(F.struct(F.lit(1).cast("long").alias("rank"), (F.col("earlier") + 1).alias("number"))).alias("spans"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(order=pdf["name"].str.encode("utf-8")).sort_values("order")
+        found = number_runs(list(zip(pdf["name"], pdf["count"])))
+        return pd.DataFrame({"dest": pdf["dest"], "name": pdf["name"], "spans": [[{"rank": a, "number": b} for a, b in s] for s in found]})
+
+    mixed = told.where("mixed").groupBy("dest", "family").applyInPandas(walk, f"dest {dict(rows.dtypes)['dest']}, name string, spans array<struct<rank:long,number:long>>")
+    ruled = counted.join(plain.unionByName(mixed), ["dest", "name"]).select("dest", "name", "part", "before", "spans")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("dest", "name", "part").orderBy("id"))
+    ranked = placed.join(ruled, ["dest", "name", "part"]).withColumn("rank", rank)
+    span = F.element_at(F.filter("spans", lambda x: x["rank"] <= F.col("rank")), -1)
+    numbered = ranked.select("dest", "id", "name", (span["number"] + F.col("rank") - span["rank"]).alias("number"))
+    final = F.concat(F.regexp_extract("name", STEM, 1), F.lit("_dup"), F.col("number").cast("string"), F.regexp_extract("name", STEM, 2))
+    return numbered.select("dest", "id", F.when(F.col("number") == 1, F.col("name")).otherwise(final).alias("final"))
 
 
 def resolve_aliases(links: DataFrame) -> DataFrame:

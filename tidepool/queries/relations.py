@@ -93,12 +93,20 @@ def stale_verdict(s, d):
     return joins.staleness(files.where("doc_id % 2 = 0").select("path", "name", "size"), files.where("doc_id % 3 = 0").select("path", "name", "size")).select("path", "verdict")
 
 
-@add("collision_suffix", A.CTE + """SELECT folder AS dest, file_no AS id, CASE WHEN n = 1 THEN name ELSE regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 1) || '_dup' || n || regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 2) END AS final
-    FROM (SELECT *, row_number() OVER (PARTITION BY folder, lower(name) ORDER BY name, file_no) AS n FROM (SELECT folder, file_no, CASE WHEN file_no % 2 = 0 THEN upper(regexp_replace(file_name, '[0-9]', '', 'g')) ELSE regexp_replace(file_name, '[0-9]', '', 'g') END AS name FROM manifest))""")
+#: Names without their digits, so that many collide; some end as a renamed one would.
+COLLIDING = """SELECT folder AS dest, file_no AS id, CASE WHEN file_no % 2 = 0 THEN upper(bare) ELSE bare END AS name FROM (SELECT folder, file_no,
+    regexp_replace(replace(file_name, '.', CASE WHEN file_no % 40 = 1 THEN '_dup3.' WHEN file_no % 40 = 22 THEN '_dup2.' ELSE '.' END), '(^|[^p0-9])[0-9]+', '$1'{flag}) AS bare FROM {rows}) x"""
+
+
+@add("collision_suffix", A.CTE.replace("WITH", "WITH RECURSIVE", 1) + f""", n AS ({COLLIDING.format(flag=", 'g'", rows="manifest").replace("$1", chr(92) + "1")}),
+    o AS MATERIALIZED (SELECT *, regexp_extract(lower(name), '^(.+?)([.][^.]+)?$', 1) AS stem, regexp_extract(lower(name), '^(.+?)([.][^.]+)?$', 2) AS ext, row_number() OVER (PARTITION BY dest ORDER BY name, id) AS k FROM n),
+    w(dest, k, id, final, taken) AS (SELECT DISTINCT dest, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, []::VARCHAR[] FROM o
+      UNION ALL SELECT dest, k, id, CASE WHEN n = 1 THEN name ELSE regexp_extract(name, '^(.+?)([.][^.]+)?$', 1) || '_dup' || n || regexp_extract(name, '^(.+?)([.][^.]+)?$', 2) END, list_append(taken, CASE WHEN n = 1 THEN lower(name) ELSE stem || '_dup' || n || ext END)
+      FROM (SELECT o.*, taken, CASE WHEN NOT list_contains(taken, lower(o.name)) THEN 1 ELSE list_filter(range(2, len(taken) + 3), lambda x: NOT list_contains(taken, o.stem || '_dup' || x || o.ext))[1] END AS n FROM w JOIN o ON o.dest = w.dest AND o.k = w.k + 1))
+    SELECT dest, id, final FROM w WHERE k > 0""")
 def collision_suffix(s, d):
-    bare = F.regexp_replace("file_name", "[0-9]", "")
-    rows = A.manifest(s, d).select(c("folder").alias("dest"), c("file_no").alias("id"), F.when(c("file_no") % 2 == 0, F.upper(bare)).otherwise(bare).alias("name"))
-    return joins.collision_suffix(rows)
+    """Names made unique in each folder, around those that already end as a renamed one."""
+    return joins.collision_suffix(s.sql(COLLIDING.format(flag="", rows="{rows}"), rows=A.manifest(s, d)))
 
 
 @add("alias_resolve", """WITH RECURSIVE l AS (SELECT p_partkey AS id, p_partkey // 2 AS target FROM part WHERE p_partkey % 3 <> 0 AND p_partkey > 1),
