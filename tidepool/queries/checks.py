@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import dictionary, digests
+from tidepool.functions import places
+from tidepool.operators import constraints, dictionary, digests
 from tidepool.plans import adapters as A
 
 c = F.col
@@ -81,3 +82,79 @@ def freeze_validity(s, d):
     rows = orders(s, d)
     later = s.sql(LATER, rows=rows)
     return digests.freeze_problems(digests.part_digests(rows, "part"), digests.part_digests(later, "part"), "part")
+
+
+#: The files and folders of an index: routes that are settled or not, folders that are live or not, names of every kind.
+INDEX_FILES = """SELECT event_id AS file_no, user_id % 90 AS folder, CASE event_id % 5 WHEN 0 THEN 'skip_dupe' WHEN 1 THEN 'merge' ELSE 'copy' END AS route,
+  CASE WHEN event_id % 41 = 0 THEN 'open' WHEN event_id % 37 = 1 THEN 'settled:no-plan' WHEN event_id % 53 = 2 THEN NULL ELSE 'settled:plan' END AS route_source, CASE WHEN event_id % 13 = 7 THEN 'gone' ELSE 'present' END AS status, CASE WHEN event_id % 3 > 0 THEN user_id % 12 END AS batch FROM events"""
+INDEX_FOLDERS = """SELECT c_custkey AS folder, CASE c_custkey % 12 WHEN 0 THEN NULL WHEN 1 THEN '20240105_a/b' WHEN 2 THEN '20240106_walk .' WHEN 3 THEN '20240107_25.1234,121.5' WHEN 4 THEN '20240108_lake 12巷+x' WHEN 5 THEN '2024-01_lake' WHEN 6 THEN '20240110-12_lake' WHEN 7 THEN '20240111' WHEN 8 THEN '202401_check'
+    ELSE '202401' || lpad(CAST(10 + c_custkey % 19 AS STRING), 2, '0') || '_' || c_mktsegment END AS name, CASE WHEN c_custkey % 17 = 5 THEN 'empty' WHEN c_custkey % 19 = 3 THEN 'merged' ELSE 'live' END AS status, c_custkey % 5 <> 3 AS place_known, c_custkey % 24 = 4 AS own_label FROM customer"""
+
+
+def address(name):
+    return f"list_bool_or([regexp_matches(p, '[0-9０-９]+\\s*[巷弄號段]') OR p LIKE '%巷' OR p LIKE '%弄' OR p LIKE '%號' FOR p IN string_split_regex(substr({name}, position('_' IN {name}) + 1), '[_+]')])"
+
+
+FOLDER_RULES = {
+    "no-name": ("problem", "name IS NULL"),
+    "unusable": ("problem", "contains(name, '/') OR trim(name, ' .') <> name"),
+    "coordinate": ("problem", "regexp_matches(name, '[0-9]{1,3}[.][0-9]{3,}')"),
+    "address": ("problem", f"{address('name')} AND NOT own_label"),
+    "own-address": ("warning", f"{address('name')} AND own_label"),
+    "grammar": ("problem", "NOT regexp_matches(name, '^[0-9]{6}([0-9]{2}(-[0-9]{2}([0-9]{2})?)?)?(_|$)')"),
+    "old-date-form": ("warning", "regexp_matches(name, '^[0-9]{8}-[0-9]{2}(_|$)') OR regexp_matches(name, '^[0-9]{6}_')"),
+    "no-where": ("problem", "place_known AND regexp_matches(name, '^[0-9]{8}(-[0-9]{4})?$')"),
+}
+FILE_RULES = {
+    "unsettled": ("problem", "NOT starts_with(coalesce(route_source, ''), 'settled:')"),
+    "homeless": ("problem", "route IN ('copy', 'merge') AND NOT live"),
+    "not-reached": ("problem", "route_source = 'settled:no-plan' AND batch IS NOT NULL"),
+    "planless": ("warning", "route_source = 'settled:no-plan' AND batch IS NULL"),
+}
+RULES_SQL = " UNION ALL ".join(
+    [f"SELECT 'folder' AS what, CAST(folder AS VARCHAR) AS key, '{n}' AS rule, '{s}' AS severity FROM d WHERE {w}" for n, (s, w) in FOLDER_RULES.items()]
+    + [f"SELECT 'file', CAST(file_no AS VARCHAR), '{n}', '{s}' FROM f WHERE {w}" for n, (s, w) in FILE_RULES.items()]
+)
+INDEX_SQL = f"WITH d0 AS ({INDEX_FOLDERS}), d AS (SELECT * FROM d0 WHERE status = 'live'), f AS (SELECT f.*, d.folder IS NOT NULL AS live FROM ({INDEX_FILES}) f LEFT JOIN d ON d.folder = f.folder WHERE f.status = 'present')"
+
+
+def index_problems(s, d):
+    """what, key, rule and severity of everything that keeps an index from being copied: one pass over the files and one over
+    the folders, whose numbers alone meet the files."""
+    folders = tables(s, d, INDEX_FOLDERS, customer=1).where("status = 'live'")
+    alive = folders.select("folder", F.lit(True).alias("live"))
+    files = tables(s, d, INDEX_FILES, events=1).where("status = 'present'").join(alive, "folder", "left").withColumn("live", F.coalesce("live", F.lit(False)))
+    n, rule = c("name"), constraints.Rule
+    pieces = F.split(F.substring(n, F.locate("_", n) + 1, F.length(n)), "[_+]")
+    addressed = F.exists(pieces, places.is_address)
+    of_folders = [
+        rule("no-name", constraints.PROBLEM, n.isNull()),
+        rule("unusable", constraints.PROBLEM, n.contains("/") | (F.trim(n, F.lit(" .")) != n)),
+        rule("coordinate", constraints.PROBLEM, n.rlike("[0-9]{1,3}[.][0-9]{3,}")),
+        rule("address", constraints.PROBLEM, addressed & ~c("own_label")),
+        rule("own-address", constraints.WARNING, addressed & c("own_label")),
+        rule("grammar", constraints.PROBLEM, ~n.rlike("^[0-9]{6}([0-9]{2}(-[0-9]{2}([0-9]{2})?)?)?(_|$)")),
+        rule("old-date-form", constraints.WARNING, n.rlike("^[0-9]{8}-[0-9]{2}(_|$)|^[0-9]{6}_")),
+        rule("no-where", constraints.PROBLEM, c("place_known") & n.rlike("^[0-9]{8}(-[0-9]{4})?$")),
+    ]
+    planless = c("route_source") == "settled:no-plan"
+    of_files = [
+        rule("unsettled", constraints.PROBLEM, ~F.coalesce("route_source", F.lit("")).startswith("settled:")),
+        rule("homeless", constraints.PROBLEM, c("route").isin("copy", "merge") & ~c("live")),
+        rule("not-reached", constraints.PROBLEM, planless & c("batch").isNotNull()),
+        rule("planless", constraints.WARNING, planless & c("batch").isNull()),
+    ]
+    found = constraints.broken(folders, c("folder"), of_folders).withColumn("what", F.lit("folder"))
+    return found.unionByName(constraints.broken(files, c("file_no"), of_files).withColumn("what", F.lit("file"))).select("what", "key", "rule", "severity")
+
+
+@add("index_check", f"{INDEX_SQL} {RULES_SQL}")
+def index_check(s, d):
+    return index_problems(s, d)
+
+
+@add("plan_name_summary", f"{INDEX_SQL}, r AS ({RULES_SQL}) SELECT CAST(d.folder AS VARCHAR) AS key, count(r.key) FILTER (severity = 'problem') AS problems, count(r.key) FILTER (severity = 'warning') AS warnings, count(r.key) FILTER (severity = 'problem') = 0 AS passes FROM d LEFT JOIN r ON r.what = 'folder' AND r.key = CAST(d.folder AS VARCHAR) GROUP BY d.folder")
+def plan_name_summary(s, d):
+    """How many problems and warnings each live folder's name has, and whether it passes."""
+    folders = tables(s, d, INDEX_FOLDERS, customer=1).where("status = 'live'").select(c("folder").alias("key"))
+    return constraints.verdict(index_problems(s, d).where("what = 'folder'"), folders)
