@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool import params as P
@@ -147,25 +148,33 @@ def padded_boxes(s, d):
     return boxes.select("file", "id", *padded, places.box_share(*box, *frame).alias("share"))
 
 
-@add("exemplar_quality", f"""WITH b AS ({BOX}), k AS (SELECT b.*, count(*) OVER (PARTITION BY file) AS found, CASE WHEN file % 3 = 0 THEN 1 END AS stated, round_even(20 * 10 / (60.0 * 160.0), 4) AS share FROM b WHERE score > 0.02)
-    SELECT file, id, CASE WHEN greatest(coalesce(stated, 0), found) > 1 THEN 'several' WHEN share < 0.02 THEN 'too_small' ELSE 'ok' END AS verdict FROM k""")
-def exemplar_quality(s, d):
-    from pyspark.sql import Window
+#: Detections of files: boxes of many sizes in frames of many sizes, with scores, classes and states.
+DETECTED = """SELECT l_orderkey AS file, l_linenumber AS id, CAST(l_partkey * 37 % 100 AS DOUBLE) / 100 AS score, CASE l_partkey % 5 WHEN 0 THEN 'cat' WHEN 1 THEN 'dog' WHEN 2 THEN 'cat' WHEN 3 THEN 'person' ELSE 'car' END AS class,
+  CAST(2 + l_quantity AS DOUBLE) AS w, CAST(3 + l_partkey % 40 AS DOUBLE) AS h, CAST(120 + l_orderkey % 5 * 60 AS DOUBLE) AS width, CAST(160 + l_orderkey % 3 * 80 AS DOUBLE) AS height, CASE WHEN l_orderkey % 23 = 4 THEN 'error' ELSE 'ok' END AS status FROM lineitem"""
+KEPT_CLASSES = ("cat", "dog")
+KEPT = f"SELECT * FROM ({DETECTED}) d WHERE score >= {P.MIN_BOX_SCORE} AND class IN ('cat', 'dog')"
+
+
+def detected(s, d):
+    """Detections of kept classes that reach the least score."""
+    rows = s.sql(DETECTED.replace("FROM lineitem", "FROM {t}"), t=A.table(s, d, "lineitem"))
+    return rows.where((c("score") >= P.MIN_BOX_SCORE) & c("class").isin(*KEPT_CLASSES))
 
-    boxes = s.sql(BOX.replace("FROM lineitem", "FROM {t}"), t=A.table(s, d, "lineitem")).where("score > 0.02")
+
+@add("exemplar_quality", f"""WITH k AS (SELECT *, count(*) OVER (PARTITION BY file) AS found, CASE WHEN file % 7 = 0 THEN 2 END AS stated, round_even(w * h / (width * height), 4) AS share FROM ({KEPT}))
+    SELECT file, id, CASE WHEN status <> 'ok' THEN 'no_vector' WHEN greatest(coalesce(stated, 0), found) > 1 THEN 'several' WHEN share < 0.02 THEN 'too_small' ELSE 'ok' END AS verdict FROM k""")
+def exemplar_quality(s, d):
+    """Whether a detection may become an exemplar: it has a vector, is alone in its frame, and fills enough of it."""
     found = F.count("*").over(Window.partitionBy("file"))
-    stated = F.when(c("file") % 3 == 0, 1)
-    share = places.box_share(*[c(x) for x in ("x0", "y0", "x1", "y1")], F.lit(60.0), F.lit(160.0))
-    verdict = F.when(F.greatest(F.coalesce(stated, F.lit(0)), found) > 1, "several").when(share < P.MIN_BOX_SHARE, "too_small").otherwise("ok")
-    return boxes.select("file", "id", verdict.alias("verdict"))
+    stated = F.when(c("file") % 7 == 0, 2)
+    share = places.box_share(F.lit(0.0), F.lit(0.0), c("w"), c("h"), c("width"), c("height"))
+    verdict = F.when(c("status") != "ok", "no_vector").when(F.greatest(F.coalesce(stated, F.lit(0)), found) > 1, "several").when(share < P.MIN_BOX_SHARE, "too_small").otherwise("ok")
+    return detected(s, d).select("file", "id", verdict.alias("verdict"))
 
 
-@add("detector_filter", f"WITH b AS ({BOX}) SELECT file, id, CAST(row_number() OVER (PARTITION BY file ORDER BY score DESC, id) AS INTEGER) AS place FROM b WHERE score >= 0.05")
+@add("detector_filter", f"SELECT file, id, class, CAST(row_number() OVER (PARTITION BY file ORDER BY score DESC, id) AS INTEGER) AS place FROM ({KEPT})")
 def detector_filter(s, d):
-    from pyspark.sql import Window
-
-    boxes = s.sql(BOX.replace("FROM lineitem", "FROM {t}"), t=A.table(s, d, "lineitem")).where("score >= 0.05")
-    return boxes.select("file", "id", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("score"), "id")).alias("place"))
+    return detected(s, d).select("file", "id", "class", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("score"), "id")).alias("place"))
 
 
 @add("durations", """SELECT o_orderkey, CASE WHEN m < 1 THEN 'under 1 min' WHEN m >= 60 THEN m // 60 || ' h ' || m % 60 || ' min' ELSE m || ' min' END AS text FROM (SELECT o_orderkey, CAST(round_even(o_totalprice / 60, 0) AS BIGINT) AS m FROM orders)""")

@@ -153,10 +153,29 @@ def verified_union(s, d):
     return o.groupBy(c("o_custkey").alias("source")).agg(F.max_by("o_orderstatus", "at").alias("status"))
 
 
-@add("majority_owner_word", """SELECT source, lang FROM (SELECT source, lang, n, sum(n) OVER (PARTITION BY source) AS total FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)) WHERE 2 * n > total""")
+#: Copies that earlier dumps made, by the folder they went to, and where the owner's tree has them now: some folders were
+#: renamed, some not, some parted, and some texts are there twice.
+COPIES = """SELECT doc_id, length(text) AS size, sha, part || '_' || lang AS engine, part || '_' || CASE doc_id % 9 % 3 WHEN 0 THEN 'lake' WHEN 1 THEN lang ELSE CASE WHEN doc_id % 2 = 0 THEN 'hill' ELSE 'shore' END END AS folder
+FROM (SELECT doc_id, text, lang, {sha} AS sha, source || CAST(doc_id % 9 AS STRING) AS part FROM {docs}) d"""
+
+
+@add("majority_owner_word", f"""WITH c AS ({COPIES.format(sha="sha256(text)", docs="documents")}), tree AS (SELECT size, sha, count(DISTINCT folder) AS n, min(folder) AS folder FROM c WHERE doc_id % 7 <> 5 GROUP BY size, sha),
+    g AS (SELECT engine, count(*) AS copies, bool_or(coalesce(n > 1, false)) AS split FROM c LEFT JOIN tree USING (size, sha) GROUP BY engine), h AS (SELECT engine, tree.folder, count(*) AS held FROM c JOIN tree USING (size, sha) GROUP BY ALL)
+    SELECT engine, folder, split_part(folder, '_', 2) AS word FROM g JOIN h USING (engine) WHERE NOT split AND 2 * held > copies AND split_part(folder, '_', 2) <> split_part(engine, '_', 2) AND folder NOT IN (SELECT engine FROM c)""")
 def majority_owner_word(s, d):
-    n = A.table(s, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return n.withColumn("total", F.sum("n").over(Window.partitionBy("source"))).where("2 * n > total").select("source", "lang")
+    """The word that an owner gave to a folder of an earlier dump: its copies are found in the tree by size and hash, one
+    folder holds more than half of them, and its name differs. A copy that is in two folders gives no word."""
+    docs = A.table(s, d, "documents")
+    copies = s.sql(COPIES.format(sha="sha2(text, 256)", docs="{docs}"), docs=docs)
+    tree = copies.where("doc_id % 7 <> 5").groupBy("size", "sha").agg(F.count_distinct("folder").alias("n"), F.min("folder").alias("home"))
+    met = copies.join(tree, ["size", "sha"], "left")
+    homes = met.groupBy("engine", "home").agg(F.count("*").alias("held"), F.bool_or(F.coalesce(c("n") > 1, F.lit(False))).alias("split"))
+    own = Window.partitionBy("engine")
+    told = homes.withColumn("copies", F.sum("held").over(own)).withColumn("any_split", F.bool_or("split").over(own))
+    word = lambda x: F.get(F.split(x, "_"), F.lit(1))
+    best = told.where(c("home").isNotNull() & ~c("any_split") & (2 * c("held") > c("copies")) & (word(c("home")) != word(c("engine"))))
+    named = copies.select(c("engine").alias("home")).distinct()
+    return best.join(named, "home", "left_anti").select("engine", c("home").alias("folder"), word(c("home")).alias("word"))
 
 
 @add("device_census", A.CTE + """SELECT coalesce(CASE WHEN make NOT IN ('-', '') THEN make END, '(none)') AS make, CASE WHEN grouping(model) = 0 THEN coalesce(CASE WHEN model NOT IN ('-', '') THEN model END, '(none)') END AS model, count(*) AS files
