@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool import params as P
 from tidepool.functions import geo, parse
-from tidepool.operators import census, joins, rules
+from tidepool.operators import census, joins, rules, timeline
 from tidepool.plans import adapters as A
 from tidepool.plans.stored import small
 
@@ -68,6 +68,39 @@ def day_type_rows(s, d):
     return day_types(s, d).select("folder", c("day").cast("string").alias("day"), F.coalesce("here", F.lit("")).alias("here"), "type", "files")
 
 
+#: Day types with those of days without positions filled in from the days around them.
+TYPES = DAY_TYPES + """, t AS (SELECT folder, day, files, nullif(type, '') AS raw, lat, lon FROM day_types),
+    f AS (SELECT *, last_value(raw IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(raw IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM t WINDOW w AS (PARTITION BY folder ORDER BY day)),
+    typed_days AS (SELECT folder, day, files, lat, lon, coalesce(raw, CASE WHEN p = n THEN p WHEN (p IS NULL AND n = 'ABROAD') OR (n IS NULL AND p = 'ABROAD') THEN 'ABROAD' ELSE 'HOME' END) AS type FROM f)"""
+
+
+def typed_days(s, d):
+    days = day_types(s, d).select("folder", "day", "files", "lat", "lon", F.when(c("type") != "", c("type")).alias("type"))
+    return timeline.fill_types(days, ["folder"])
+
+
+@add("day_type_fill", TYPES + " SELECT folder, CAST(day AS VARCHAR) AS day, type FROM typed_days")
+def day_type_fill(s, d):
+    return typed_days(s, d).select("folder", c("day").cast("string").alias("day"), "type")
+
+
+RUNS = TYPES + f""", cuts AS (SELECT *, CASE WHEN lag(day) OVER w IS NULL OR lag(type) OVER w <> type OR date_diff('day', lag(day) OVER w, day) > 2
+      OR (type IN ('AWAY', 'ABROAD') AND coalesce({HAV.format(a="lag(lat) OVER w", b="lag(lon) OVER w", c="lat", d="lon")} > 10, false)) THEN 1 ELSE 0 END AS cut FROM typed_days WINDOW w AS (PARTITION BY folder ORDER BY day)),
+    runs AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY folder ORDER BY day) AS BIGINT) AS run FROM cuts)"""
+
+
+@add("run_islands", RUNS + " SELECT folder, run, any_value(type) AS type, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, count(*) AS days, CAST(sum(files) AS BIGINT) AS files FROM runs GROUP BY folder, run")
+def run_islands(s, d):
+    runs = timeline.number_runs(typed_days(s, d), ["folder"], 2, 10.0)
+    return runs.groupBy("folder", "run").agg(F.first("type").alias("type"), F.min("day").cast("string").alias("first"), F.max("day").cast("string").alias("last"), F.count("*").alias("days"), F.sum("files").alias("files"))
+
+
+@add("split_runs")
+def split_runs(s, d):
+    runs = timeline.number_runs(typed_days(s, d), ["folder"], 2, 1000.0)
+    return timeline.split_runs(runs.select("folder", "run", "day", "files", "lat", "lon"), ["folder", "run"], 8)
+
+
 @add("trip_candidates", DAY_TYPES + """, n AS (SELECT folder, day, here, files, date_diff('day', lag(day) OVER w, day) AS gap, lag(here) OVER w AS before FROM day_types WHERE type = 'ABROAD' WINDOW w AS (PARTITION BY folder ORDER BY day)),
     r AS (SELECT *, sum(CASE WHEN gap <= 2 AND before = here THEN 0 ELSE 1 END) OVER (PARTITION BY folder ORDER BY day) AS trip FROM n) SELECT folder, CAST(trip AS BIGINT) AS trip, any_value(here) AS country, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, CAST(sum(files) AS BIGINT) AS files FROM r GROUP BY folder, trip HAVING min(day) < max(day)""")
 def trip_candidates(s, d):

@@ -245,42 +245,15 @@ def pack_snapshot(s, d):
     return A.table(s, d, "nation").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("n_name", 256))), "|"), 256).alias("snapshot"))
 
 
-TYPES = """, d AS (SELECT folder, day, median(lat) AS lat, median(lon) AS lon, count(*) AS files FROM typed WHERE day IS NOT NULL GROUP BY ALL),
-    t AS (SELECT *, CASE WHEN lat IS NULL OR dayofmonth(day) % 4 = 0 THEN NULL WHEN lon > 121.35 THEN 'ABROAD' WHEN lat BETWEEN 25.15 AND 25.3 THEN 'HOME' ELSE 'AWAY' END AS raw FROM d),
-    f AS (SELECT * REPLACE (CASE WHEN raw IS NULL THEN NULL ELSE lat END AS lat), last_value(raw IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(raw IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM t WINDOW w AS (PARTITION BY folder ORDER BY day)),
-    typed_days AS (SELECT folder, day, files, lat, lon, coalesce(raw, CASE WHEN p = n THEN p WHEN (p IS NULL AND n = 'ABROAD') OR (n IS NULL AND p = 'ABROAD') THEN 'ABROAD' ELSE 'HOME' END) AS type FROM f)"""
+#: The stops of each day point by point, with the values of the current one for its medians.
+STOP_WALK = f"""ordered AS MATERIALIZED (SELECT folder, day, file_no AS id, lat, lon, row_number() OVER (PARTITION BY folder, day ORDER BY taken, file_no) AS k FROM typed WHERE lat IS NOT NULL AND taken IS NOT NULL),
+    walk(folder, day, k, id, stop, lats, lons) AS (
+      SELECT folder, day, k, id, 1::BIGINT, [lat], [lon] FROM ordered WHERE k = 1
+      UNION ALL SELECT folder, day, k, id, CASE WHEN far THEN stop + 1 ELSE stop END, CASE WHEN far THEN [lat] ELSE list_append(lats, lat) END, CASE WHEN far THEN [lon] ELSE list_append(lons, lon) END
+      FROM (SELECT o.*, stop, lats, lons, {HAV.format(a="list_aggregate(lats, 'median')", b="list_aggregate(lons, 'median')", c="o.lat", d="o.lon")} > 3 AS far FROM walk JOIN ordered o ON o.folder = walk.folder AND o.day = walk.day AND o.k = walk.k + 1))"""
 
 
-def typed_days(s, d):
-    days = A.typed(s, d).where("day is not null").groupBy("folder", "day").agg(F.median("lat").alias("lat"), F.median("lon").alias("lon"), F.count("*").alias("files"))
-    raw = F.when(c("lat").isNull() | (F.dayofmonth("day") % 4 == 0), None).when(c("lon") > 121.35, "ABROAD").when(c("lat").between(25.15, 25.3), "HOME").otherwise("AWAY")
-    days = days.withColumn("type", raw)
-    return timeline.fill_types(days.withColumn("lat", F.when(c("type").isNotNull(), c("lat"))), ["folder"])
-
-
-@add("day_type_fill", A.CTE + TYPES + " SELECT folder, CAST(day AS VARCHAR) AS day, type FROM typed_days")
-def day_type_fill(s, d):
-    return typed_days(s, d).select("folder", c("day").cast("string").alias("day"), "type")
-
-
-RUNS = TYPES + f""", cuts AS (SELECT *, CASE WHEN lag(day) OVER w IS NULL OR lag(type) OVER w <> type OR date_diff('day', lag(day) OVER w, day) > 2
-      OR (type IN ('AWAY', 'ABROAD') AND coalesce({HAV.format(a="lag(lat) OVER w", b="lag(lon) OVER w", c="lat", d="lon")} > 10, false)) THEN 1 ELSE 0 END AS cut FROM typed_days WINDOW w AS (PARTITION BY folder ORDER BY day)),
-    runs AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY folder ORDER BY day) AS BIGINT) AS run FROM cuts)"""
-
-
-@add("run_islands", A.CTE + RUNS + " SELECT folder, run, any_value(type) AS type, CAST(min(day) AS VARCHAR) AS first, CAST(max(day) AS VARCHAR) AS last, count(*) AS days, CAST(sum(files) AS BIGINT) AS files FROM runs GROUP BY folder, run")
-def run_islands(s, d):
-    runs = timeline.number_runs(typed_days(s, d), ["folder"], 2, 10.0)
-    return runs.groupBy("folder", "run").agg(F.first("type").alias("type"), F.min("day").cast("string").alias("first"), F.max("day").cast("string").alias("last"), F.count("*").alias("days"), F.sum("files").alias("files"))
-
-
-@add("split_runs")
-def split_runs(s, d):
-    runs = timeline.number_runs(typed_days(s, d), ["folder"], 2, 1000.0)
-    return timeline.split_runs(runs.select("folder", "run", "day", "files", "lat", "lon"), ["folder", "run"], 8)
-
-
-@add("stop_segments")
+@add("stop_segments", A.CTE.replace("WITH", "WITH RECURSIVE", 1) + ", " + STOP_WALK + " SELECT folder, day, id, stop FROM walk")
 def stop_segments(s, d):
     points = A.typed(s, d).where("lat is not null and taken is not null").select("folder", "day", c("file_no").alias("id"), c("taken").alias("at"), "lat", "lon")
     return timeline.stops(points, ["folder", "day"])
