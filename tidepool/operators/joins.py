@@ -26,9 +26,9 @@ def nearest_offset(rows: DataFrame, keys: list[str], window_seconds: int, bucket
     donors = rows.where("offset is not null").groupBy(*keys, "at").agg(F.min("offset").alias("offset"))
     donors = donors.select(*keys, F.lit(None).cast(dict(rows.dtypes)["id"]).alias("id"), "at", F.struct("at", "offset").alias("donor"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("b"))
     askers = rows.where("offset is null").select(*keys, "id", "at", F.lit(None).cast(donors.schema["donor"].dataType).alias("donor"), bucket.alias("b"))
-    w = Window.partitionBy(*keys, "b").orderBy("at", F.col("donor").isNull())
-    before = F.last("donor", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("donor", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    upto = lambda *order: F.last("donor", True).over(Window.partitionBy(*keys, "b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    before = upto("at", F.col("donor").isNull())
+    after = upto(F.desc("at"), F.col("donor").isNull().desc())  # a frame that ends at the last row would be read anew for each row
     met = donors.unionByName(askers).withColumn("before", before).withColumn("after", after).where("donor is null")
     gap = lambda c: F.abs(micros(F.col("at")) - micros(F.col(f"{c}.at")))
     near = met.withColumn("n", F.when(F.coalesce(gap("before") <= gap("after"), F.col("before").isNotNull()), F.col("before")).otherwise(F.col("after")))
@@ -43,9 +43,9 @@ def micros(at: Column) -> Column:
 def neighbour_days(rows: DataFrame) -> DataFrame:
     """Undated rows with the dated neighbours of their folder by name order:
     agree, disagree, no_anchor_one_side or no_anchor. rows: folder, name, id, day."""
-    w = Window.partitionBy("folder").orderBy("name", "id")
-    before = F.last("day", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("day", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    upto = lambda *order: F.last("day", True).over(Window.partitionBy("folder").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    before = upto("name", "id")
+    after = upto(F.desc("name"), F.desc("id"))  # a frame that ends at the last row would be read anew for each row
     found = rows.withColumn("before", before).withColumn("after", after)
     return found.withColumn("verdict", verdict(F.col("before"), F.col("after")))
 

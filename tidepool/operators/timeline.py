@@ -14,9 +14,9 @@ from tidepool.functions import geo
 def fill_types(days: DataFrame, keys: list[str]) -> DataFrame:
     """Days without a type take their neighbours': the same on both sides, or ABROAD at an
     edge beside ABROAD, else HOME. keys partition the days; day orders them."""
-    w = Window.partitionBy(*keys).orderBy("day")
-    before = F.last("type", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("type", True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    upto = lambda order: F.last("type", True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    before = upto("day")
+    after = upto(F.desc("day"))  # a frame that ends at the last row would be read anew for each row
     edge = (before.isNull() & (after == "ABROAD")) | (after.isNull() & (before == "ABROAD"))
     return days.withColumn("type", F.coalesce("type", F.when(before == after, before).when(edge, "ABROAD").otherwise("HOME")))
 
