@@ -30,3 +30,28 @@ def types(spark):
 def test_no_frame_is_read_anew_for_each_row(spark, step):
     found = step(spark)
     assert found.count() > 0 and "unboundedfollowing" not in plan(found)
+
+
+def test_folders_of_the_same_days_meet_trips_once(spark, sf_dir, monkeypatch):
+    from tidepool.queries import trips
+
+    seen, real = [], trips.spans.overlapping
+
+    def watched(left, right, keys):
+        seen.append((left, right))
+        return real(left, right, keys)
+
+    monkeypatch.setattr(trips.spans, "overlapping", watched)
+    assert trips.into_existing_trips(spark, sf_dir).count() > 0
+    (left, right), = seen
+    assert left.count() == left.select("archive", "a", "z").distinct().count()
+    assert right.count() == right.select("archive", "first", "last").distinct().count()
+
+
+def test_a_walk_looks_at_a_used_span_once():
+    from tidepool.operators import spans
+
+    many = 2000
+    beside, used = {2: [(f"f{i:04}", 2) for i in range(many)][::-1]}, set()
+    found = [spans.walk(beside, used, 1, 1) for _ in range(many + 5)]
+    assert found == [[f"f{i:04}"] for i in range(many)] + [[]] * 5 and beside == {2: []}
