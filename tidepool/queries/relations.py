@@ -110,7 +110,7 @@ def collision_suffix(s, d):
 
 
 @add("alias_resolve", """WITH RECURSIVE l AS (SELECT p_partkey AS id, p_partkey // 2 AS target FROM part WHERE p_partkey % 3 <> 0 AND p_partkey > 1),
-    w AS (SELECT id, target, 1 AS n FROM l UNION ALL SELECT w.id, l.target, n + 1 FROM w JOIN l ON w.target = l.id WHERE n < 17)
+    w AS (SELECT id, target, 1 AS n FROM l UNION ALL SELECT w.id, l.target, n + 1 FROM w JOIN l ON w.target = l.id)
     SELECT id, arg_max(target, n) AS root FROM w GROUP BY id""")
 def alias_resolve(s, d):
     links = A.table(s, d, "part").where("p_partkey % 3 <> 0 and p_partkey > 1").select(c("p_partkey").alias("id"), F.floor(c("p_partkey") / 2).alias("target"))
