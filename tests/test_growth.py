@@ -55,3 +55,29 @@ def test_a_walk_looks_at_a_used_span_once():
     beside, used = {2: [(f"f{i:04}", 2) for i in range(many)][::-1]}, set()
     found = [spans.walk(beside, used, 1, 1) for _ in range(many + 5)]
     assert found == [[f"f{i:04}"] for i in range(many)] + [[]] * 5 and beside == {2: []}
+
+
+def test_votes_and_shapes_meet_positions_once(spark, sf_dir, monkeypatch):
+    from tidepool.functions import geo
+    from tidepool.operators import landmarks
+    from tidepool.queries import QUERIES
+
+    seen = []
+    for module, name in ((landmarks, "near_boxes"), (geo, "near_pairs")):
+        def watched(points, other, *rest, real=getattr(module, name)):
+            seen.append((points, other))
+            return real(points, other, *rest)
+
+        monkeypatch.setattr(module, name, watched)
+    assert QUERIES["named_stops"](spark, sf_dir).count() > 0 and len(seen) == 2
+    for points, other in seen:
+        assert points.count() == points.select("lat", "lon").distinct().count()
+        assert other.count() == other.drop("name", "feature_no").distinct().count()
+
+
+def test_running_medians_insert_by_bisection(monkeypatch):
+    middle = timeline.Middle()
+    monkeypatch.setattr(timeline.np, "searchsorted", None)  # it reads the whole list for each value
+    for x in (3.0, 1.0, 2.0, 10.0):
+        middle.add(x)
+    assert middle.get() == 2.5

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool import params as P
 from tidepool.functions import geo
+from tidepool.plans.stored import small, stored
 
 c = F.col
 
@@ -47,16 +48,20 @@ def votes(points: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
 
     Each photo votes once, in the first tier that has a feature: within a tier for a sight or stay before a street,
     a notable one, one that holds the photo, the smallest, the nearest. Photos of one position vote alike, so
-    they come counted.
+    they come counted and each position votes once, for all keys; of features that differ in name and number only the
+    first by number counts.
     """
     node = (c("south") == c("north")) & (c("west") == c("east"))
-    own = features.withColumn("node", node).withColumn("extent", F.round(geo.haversine_km(c("south"), c("west"), c("north"), c("east")), 9))
-    met = near_boxes(points, own, P.LANDMARK_KM).withColumn("tier", tier_of(c("rank"), c("km")))
+    alike = ["rank", "street", "notable", "south", "west", "north", "east"]
+    kinds = features.groupBy(*alike).agg(F.min_by("name", "feature_no").alias("name"), F.min("feature_no").alias("feature_no"))
+    own = kinds.withColumn("node", node).withColumn("extent", F.round(geo.haversine_km(c("south"), c("west"), c("north"), c("east")), 9))
+    met = near_boxes(points.select("lat", "lon").distinct(), own, P.LANDMARK_KM).withColumn("tier", tier_of(c("rank"), c("km")))
     holds = F.when(c("node"), c("km") <= P.NODE_AT_KM).otherwise(c("km") == 0)
     ranked, last = c("tier") < 4, F.lit(0.0)
     first = lambda x: F.when(ranked, x.cast("double")).otherwise(last)
     order = F.struct("tier", first(c("street")), first(~c("notable")), first(~holds), F.when(ranked, c("extent")).otherwise(c("km")), F.when(ranked, c("km")).otherwise(c("rank").cast("double")), "feature_no")
-    vote = met.groupBy(*keys, "lat", "lon", "photos").agg(F.min_by(F.struct("name", "rank", "km", "tier"), order).alias("v"))
+    chosen = met.groupBy("lat", "lon").agg(F.min_by(F.struct("name", "rank", "km", "tier"), order).alias("v"))
+    vote = points.join(small(stored(chosen, "votes")), ["lat", "lon"])
     tiers = [F.sum(F.when(c("v.tier") == t, c("photos")).otherwise(0)).alias(f"t{t}") for t in (1, 2, 3, 4)]
     return vote.groupBy(*keys, c("v.name").alias("name")).agg(F.min("v.rank").alias("rank"), F.sum("photos").alias("photos"), F.min("v.km").alias("km"), *tiers)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -45,8 +48,8 @@ def sessions(rows: DataFrame, keys: list[str], at: Column, gap_seconds: int) ->
 
 
 def km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    a, b, c, d = map(np.radians, (lat1, lon1, lat2, lon2))
-    return float(2 * P.EARTH_KM * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2)))
+    a, b, c, d = map(math.radians, (lat1, lon1, lat2, lon2))
+    return 2 * P.EARTH_KM * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
 
 
 class Middle:
@@ -56,7 +59,7 @@ class Middle:
         self.values: list[float] = []
 
     def add(self, x: float) -> None:
-        self.values.insert(int(np.searchsorted(self.values, x)), x)
+        bisect.insort(self.values, x)
 
     def get(self) -> float:
         n = len(self.values)

@@ -15,7 +15,7 @@ from . import naming
 from .basics import EDGES, HAV, VALID, homes_of
 from .more import edges
 from .planning import HOLDS
-from .tracks import FEATURES, SAME, features
+from .tracks import FEATURES, SAME, best_names, features, near_shapes, shapes
 
 c = F.col
 QUERIES, SQL = {}, {}
@@ -154,17 +154,8 @@ def peak_names(s, d, points):
     """UNIT and peaks: up to four features of ways and summits on the units' points away from homes, in the order in
     which they were reached."""
     far = away(points).groupBy(*UNIT, "lat", "lon").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    met = geo.near_pairs(far, features(s, d).where("flon between 121.03 and 121.35"), P.RANK_KM)  # the map has no ways elsewhere
-    one = met.groupBy(*UNIT, "lat", "lon", "feature_no", "kind").agg(F.min("km").alias("km"), F.first("n").alias("n"), F.first("first").alias("first"))
-    seen = one.groupBy(*UNIT, "feature_no", "kind").agg(F.sum("n").alias("near"), F.bround(F.min("km") * 1000, 0).cast("long").alias("min_d"), F.min("first").alias("touch"))
-    cls = F.when(c("kind").isin("peak", "saddle"), 0).otherwise(1)
-    named = naming.named(s, d).select(c("p_partkey").alias("feature_no"), places.trail_place(c("name")).alias("name")).where("name is not null").withColumn("same", places.same_place_key(c("name")))
-    rows = seen.withColumn("cls", cls).where((c("cls") == 1) | (c("min_d") < P.PEAK_KEEP_M)).join(named, "feature_no")
-    rank = F.struct("cls", -c("near"), "min_d", "feature_no")
-    best = rows.groupBy(*UNIT, "same").agg(F.min_by("name", rank).alias("name"), F.min_by("touch", rank).alias("touch"), F.min("cls").alias("cls"))
-    whole = Window.partitionBy(*UNIT)
-    used = best.withColumn("peaks", F.count_if(c("cls") == 0).over(whole)).where("cls = 0 or peaks < 2")
-    used = used.withColumn("place", F.row_number().over(whole.orderBy("touch", "name"))).where("place <= 4")
+    shaped = stored(shapes(features(s, d).where("flon between 121.03 and 121.35")), "features")  # the map has no ways elsewhere
+    used = best_names(s, d, shaped, near_shapes(far, shaped, UNIT, P.RANK_KM), UNIT)
     return landmarks.listed(used, UNIT).withColumnRenamed("names", "peaks")
 
 

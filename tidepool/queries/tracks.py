@@ -10,6 +10,7 @@ from tidepool.functions import geo, parse, places
 from tidepool.operators import vectors
 from tidepool.plans import adapters as A
 from tidepool.plans import archive as R
+from tidepool.plans.stored import small, stored
 
 from . import naming, planning
 from .basics import HAV, VALID, homes_of, placed
@@ -45,21 +46,58 @@ TRACKS = A.CTE + f""", feat AS ({FEATURES}), pts AS (SELECT folder, day, lat, lo
     tracks AS (SELECT folder, day, feature_no, any_value(kind) AS kind, CAST(sum(n) AS BIGINT) AS near, CAST(round_even(min(km) * 1000, 0) AS BIGINT) AS min_d, min(first) AS first_touch FROM met WHERE km <= 0.4 GROUP BY folder, day, feature_no)"""
 
 
-def tracks(s, d):
-    """Features within RANK_KM of a day's points: how many points are near, the least distance in metres
-    and the first time there. Points of one position meet features once, positions are read after
-    they are counted, and of a feature's own points the nearest counts."""
+def shapes(found):
+    """(feature_no, kind, shape) of features; those of one kind and the same points are of one shape."""
+    points = F.sort_array(F.collect_set(F.struct("flat", "flon")))
+    own = found.groupBy("feature_no", "kind").agg(points.alias("points"))
+    return own.withColumn("shape", F.min("feature_no").over(Window.partitionBy("kind", "points")))
+
+
+def near_shapes(points, shaped, keys, km):
+    """keys, shape, near (sum of n), the least distance in metres (min_d) and least first of the points (keys, place, lat, lon, n,
+    first) within km of each shape. A position meets a position once, whatever days and features they have."""
+    forms = shaped.groupBy("shape").agg(F.first("points").alias("points")).select("shape", F.explode("points").alias("p"))
+    forms = stored(forms.select("shape", c("p.flat").alias("flat"), c("p.flon").alias("flon")), "shapes")
+    spots = points.select("lat", "lon").distinct()
+    met = geo.near_pairs(spots, forms.select("flat", "flon").distinct(), km)
+    near = met.join(forms, ["flat", "flon"]).groupBy("lat", "lon", "shape").agg(F.min("km").alias("km"))
+    found = points.join(small(stored(near, "near-shapes")), ["lat", "lon"])
+    return found.groupBy(*keys, "shape").agg(F.sum("n").alias("near"), F.bround(F.min("km") * 1000, 0).cast("long").alias("min_d"), F.min("first").alias("first_touch"))
+
+
+def tracks(s, d, shaped):
+    """Shapes within RANK_KM of a day's points: how many points are near, the least distance in metres
+    and the first time there. Points of one position meet shapes once, positions are read after
+    they are counted, and of a shape's own points the nearest counts."""
     counted = A.typed(s, d).where("taken is not null").groupBy("folder", "day", "gps_position").agg(F.count("*").alias("n"), F.min("taken").alias("first"))
     point = parse.let(c("gps_position"), parse.gps)  # the view's text of it is long, and gps names it often
     pts = counted.withColumn("lat", point["lat"]).withColumn("lon", point["lon"]).where("lat is not null")
-    met = geo.near_pairs(pts, features(s, d), P.RANK_KM)
-    one = met.groupBy("folder", "day", "gps_position", "feature_no", "kind").agg(F.min("km").alias("km"), F.first("n").alias("n"), F.first("first").alias("first"))
-    return one.groupBy("folder", "day", "feature_no", "kind").agg(F.sum("n").alias("near"), F.bround(F.min("km") * 1000, 0).cast("long").alias("min_d"), F.min("first").alias("first_touch"))
+    return near_shapes(pts, shaped, ["folder", "day"], P.RANK_KM)
+
+
+def best_names(s, d, shaped, seen, keys):
+    """keys, place and name of up to four names of the shapes near a key (keys, shape, near, min_d, first_touch), in the order
+    they were reached: near peaks and saddles, and trails and viewpoints only if there are fewer than two of those; of
+    equal names the best ranked counts. Features of one shape and name rank by their number, so the first stands for all."""
+    base = places.trail_place(c("name"))
+    named = naming.named(s, d).select(c("p_partkey").alias("feature_no"), base.alias("name")).where("name is not null").withColumn("same", places.same_place_key(c("name")))
+    cls = F.when(c("kind").isin("peak", "saddle"), 0).otherwise(1)
+    first = shaped.join(named, "feature_no").groupBy("shape", "same").agg(F.first("kind").alias("kind"), F.min_by("name", "feature_no").alias("name"), F.min("feature_no").alias("feature_no"))
+    first = first.withColumn("cls", cls).drop("kind")
+    rows = seen.join(first, "shape").where((c("cls") == 1) | (c("min_d") < P.PEAK_KEEP_M))
+    rank = F.struct("cls", -c("near"), "min_d", "feature_no")
+    picks = rows.groupBy(*keys, "same").agg(F.min_by("name", rank).alias("name"), F.min_by("first_touch", rank).alias("first_touch"), F.min("cls").alias("cls"))
+    whole = Window.partitionBy(*keys)
+    used = picks.withColumn("peaks", F.count_if(c("cls") == 0).over(whole)).where("cls = 0 or peaks < 2")
+    return used.withColumn("place", F.row_number().over(whole.orderBy("first_touch", "name"))).where("place <= 4").select(*keys, "place", "name")
 
 
 @add("track_features", TRACKS + " SELECT folder, CAST(day AS VARCHAR) AS day, feature_no, kind, near, min_d, CAST(first_touch AS VARCHAR) AS first_touch FROM tracks")
 def track_features(s, d):
-    return tracks(s, d).select("folder", c("day").cast("string").alias("day"), "feature_no", "kind", "near", "min_d", c("first_touch").cast("string").alias("first_touch"))
+    shaped = stored(shapes(features(s, d)), "features")
+    own = shaped.select("shape", "feature_no", "kind").hint("merge")  # as many as the map has: never sent whole
+    found = tracks(s, d, shaped).join(own, "shape")
+    return found.select("folder", c("day").cast("string").alias("day"), "feature_no", "kind", "near", "min_d", c("first_touch").cast("string").alias("first_touch"))
 
 
 SAME = "CASE " + " ".join(f"WHEN k LIKE '%{t}' AND length(k) > 2 THEN substr(k, 1, length(k) - 1)" for t in P.KEY_TAILS) + " ELSE k END"
@@ -70,17 +108,10 @@ SAME = "CASE " + " ".join(f"WHEN k LIKE '%{t}' AND length(k) > 2 THEN substr(k,
     picks AS (SELECT folder, day, same, arg_min(base, o) AS name, arg_min(first_touch, o) AS first_touch, min(cls) AS cls FROM o GROUP BY ALL), n AS (SELECT *, count(*) FILTER (cls = 0) OVER (PARTITION BY folder, day) AS peaks FROM picks)
     SELECT folder, CAST(day AS VARCHAR) AS day, CAST(row_number() OVER (PARTITION BY folder, day ORDER BY first_touch, name) AS INTEGER) AS place, name FROM n WHERE cls = 0 OR peaks < 2 QUALIFY place <= 4""")
 def track_names(s, d):
-    """Up to four names of a day in the order they were reached: near peaks and saddles, and trails and
-    viewpoints only if there are fewer than two of those; of equal names the best ranked counts."""
-    base = places.trail_place(c("name"))
-    named = naming.named(s, d).select(c("p_partkey").alias("feature_no"), base.alias("name")).where("name is not null").withColumn("same", places.same_place_key(c("name")))
-    cls = F.when(c("kind").isin("peak", "saddle"), 0).otherwise(1)
-    rows = tracks(s, d).withColumn("cls", cls).where((c("cls") == 1) | (c("min_d") < P.PEAK_KEEP_M)).join(named, "feature_no")
-    rank = F.struct("cls", -c("near"), "min_d", "feature_no")
-    picks = rows.groupBy("folder", "day", "same").agg(F.min_by("name", rank).alias("name"), F.min_by("first_touch", rank).alias("first_touch"), F.min("cls").alias("cls"))
-    whole = Window.partitionBy("folder", "day")
-    used = picks.withColumn("peaks", F.count_if(c("cls") == 0).over(whole)).where("cls = 0 or peaks < 2")
-    return used.withColumn("place", F.row_number().over(whole.orderBy("first_touch", "name"))).where("place <= 4").select("folder", c("day").cast("string").alias("day"), "place", "name")
+    """Up to four names of a day in the order they were reached."""
+    shaped = stored(shapes(features(s, d)), "features")
+    found = best_names(s, d, shaped, tracks(s, d, shaped), ["folder", "day"])
+    return found.select("folder", c("day").cast("string").alias("day"), "place", "name")
 
 
 def at_home(lat, lon):
