@@ -81,3 +81,18 @@ def test_running_medians_insert_by_bisection(monkeypatch):
     for x in (3.0, 1.0, 2.0, 10.0):
         middle.add(x)
     assert middle.get() == 2.5
+
+
+def test_a_log_is_replayed_in_batches(spark, sf_dir):
+    from tidepool.operators import lifecycle
+    from tidepool.queries import lives
+
+    log = lives.log(spark, sf_dir)
+    found = lifecycle.replay(log, "pack", lives.CAP)
+    assert "flatmapgroupsinpandas" not in plan(found)
+    whole = sorted(map(str, found.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(str, lifecycle.replay(log, "pack", lives.CAP).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -203,22 +204,38 @@ def replay(log: DataFrame, key: str, cap: int = P.EXEMPLAR_CAP) -> DataFrame:
     own = F.xxhash64(node(F.get("ids", F.lit(0))))
     grouped = named.withColumn("a", own).join(found, "a", "left").withColumn("group", F.coalesce("root", "a")).drop("a", "root", "ids")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        registry, out = Registry(cap), []
-        whole = lambda x: None if pd.isna(x) else int(x)
-        for e in pdf.sort_values("seq", kind="stable").itertuples(index=False):
-            e = e._replace(subject=whole(e.subject), other=whole(e.other), ref=whole(e.ref), files=whole(e.files) or 0, name=e.name or None)
-            row = {"what": "audit", "subject": e.subject, "seq": e.seq, "decision": e.verb}
-            try:
-                row["moved"] = getattr(registry, e.verb)(e) if e.verb in VERBS else []
-            except Refused as why:
-                row |= {"decision": "refused", "reason": f"{e.verb}: {why}"}
-            out.append(row)
-        table = pd.DataFrame([*out, *rows_of(registry)], columns=[p.split(" ")[0] for p in STATE.split(", ")])
-        table.insert(0, key, pdf[key].iloc[0])
-        return table.astype(object).where(table.notna(), None) if len(table) else table
-
-    return grouped.groupBy(key, "group").applyInPandas(run, f"{key} {dict(log.dtypes)[key]}, {STATE}")
+    columns = [key, *[p.split(" ")[0] for p in STATE.split(", ")]]
+    whole = lambda x: None if pd.isna(x) else int(x)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a group's events come in order and leave with their batch, so only its subjects are held
+        now, registry = None, Registry(cap)
+        for pdf in batches:
+            out, at, of = [], pdf.columns.get_loc(key), pdf.columns.get_loc("group")
+            for e in pdf.rename(columns={key: "of_key"}).itertuples(index=False):
+                k = None if pd.isna(e[at]) else e[at]
+                if now != (k, e[of]):
+                    out += [{key: now[0], **r} for r in rows_of(registry)] if now else []
+                    now, registry = (k, e[of]), Registry(cap)
+                e = e._replace(subject=whole(e.subject), other=whole(e.other), ref=whole(e.ref), files=whole(e.files) or 0, name=e.name or None)
+                row = {key: k, "what": "audit", "subject": e.subject, "seq": e.seq, "decision": e.verb}
+                try:
+                    row["moved"] = getattr(registry, e.verb)(e) if e.verb in VERBS else []
+                except Refused as why:
+                    row |= {"decision": "refused", "reason": f"{e.verb}: {why}"}
+                out.append(row)
+            yield table(out)
+        if now:
+            held = rows_of(registry)
+            while some := list(islice(held, 10_000)):
+                yield table([{key: now[0], **r} for r in some])
+
+    def table(rows: list[dict]) -> pd.DataFrame:
+        found = pd.DataFrame(rows, columns=columns)
+        return found.astype(object).where(found.notna(), None) if len(found) else found
+
+    ordered = grouped.repartition(key, "group").sortWithinPartitions(key, "group", "seq")
+    return ordered.mapInPandas(run, f"{key} {dict(log.dtypes)[key]}, {STATE}")
 
 
 def shown_files(states: DataFrame, key: str) -> DataFrame:
