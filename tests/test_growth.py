@@ -96,3 +96,15 @@ def test_a_log_is_replayed_in_batches(spark, sf_dir):
         assert sorted(map(str, lifecycle.replay(log, "pack", lives.CAP).collect())) == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("name", ["cap_eviction", "draft_store"])
+def test_rounds_of_blocks_stay_one_scan(spark, sf_dir, monkeypatch, name):
+    from tidepool.operators import vectors
+    from tidepool.queries import QUERIES
+
+    want = sorted(map(tuple, QUERIES[name](spark, sf_dir).collect()))
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    found = QUERIES[name](spark, sf_dir)
+    assert plan(found).split("== physical plan ==")[1].count("filescan parquet") == 1
+    assert sorted(map(tuple, found.collect())) == want

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators import vectors
-from tidepool.plans.stored import stored
+from tidepool.plans.stored import appended, shared_dir
 
 
 def run_ladder(rows: DataFrame, key: str, share: float) -> DataFrame:
@@ -52,11 +54,10 @@ def fold_drafts(sightings: DataFrame, kind: str, tau: float) -> DataFrame:
         return pdf[[kind, "id", "v", "blk"]].assign(draft=out)
 
     rows = sightings.select(kind, F.col("seq").cast("long").alias("id"), "v")
-    done, drafts = None, None
+    done, drafts, path = None, None, f"{shared_dir(rows.sparkSession)}/drafts-{uuid.uuid4().hex}"
     for block in vectors.block_rounds(vectors.in_blocks(rows, kind, F.asc("id"))):
         near = vectors.beside(block, drafts, kind, lambda cos, e: cos)
-        new = stored(near.groupBy(kind).applyInPandas(fold, schema), "drafts")
-        done = new if done is None else done.unionByName(new)
+        done = appended(near.groupBy(kind).applyInPandas(fold, schema), path)
         drafts = done.where("draft = id").select(kind, "id", "v", "blk", F.lit(0.0).alias("e"))
     if done is None:
         return rows.select(kind, F.col("id").alias("seq"), F.col("id").alias("draft"), F.lit("new").alias("state"))
