@@ -108,3 +108,46 @@ def test_rounds_of_blocks_stay_one_scan(spark, sf_dir, monkeypatch, name):
     found = QUERIES[name](spark, sf_dir)
     assert plan(found).split("== physical plan ==")[1].count("filescan parquet") == 1
     assert sorted(map(tuple, found.collect())) == want
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_leaders_of_dense_rows_store_no_pairs(spark, monkeypatch, few):
+    import numpy as np
+    from tidepool.operators import vectors
+
+    x = np.random.default_rng(3).normal(size=(300, 6))
+    x[200:220] = x[:20]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    want = set(map(tuple, vectors.leaders(rows, vectors.close_pairs(rows, 0.55)).collect()))
+    for name, value in (("BLOCK", 7), ("TILE", 5), ("FEW", few)):
+        monkeypatch.setattr(vectors, name, value)
+    seen, real = [], vectors.close_pairs
+    monkeypatch.setattr(vectors, "close_pairs", lambda rows, tau: seen.append(tau) or real(rows, tau))
+    assert set(map(tuple, vectors.alike_leaders(rows, 0.55).collect())) == want
+    assert len(seen) == (few > 0)
+
+
+def test_many_candidates_are_no_literals(spark):
+    import numpy as np
+    from tidepool.operators import recurrence
+
+    eye = np.eye(40)
+    rows = [(100 * k + i, (eye[k] if i < 3 else 0.8 * eye[k] + 0.6 * eye[(k + 1) % 40]).tolist(), k if i < 3 else 1000 + k) for k in range(40) for i in range(4)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>, key long").repartition(3)
+    found = recurrence.blast_radius(frame.select("id", "v"), frame.select("id", "key"), frame.where("key < 40").select("key").distinct(), 0.8, 0.05, 8)
+    assert {tuple(r) for r in found.collect()} == {(k, 3, 4) for k in range(40)}
+    assert len(plan(found)) < 400_000
+
+
+def test_a_block_travels_to_a_fixed_number_of_others(spark, monkeypatch):
+    from tidepool.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 1)
+    for n in (1, 2, 60, 133, 400):
+        rows = spark.range(n).withColumn("v", F.array(F.lit(1.0)))
+        pairs = vectors.pairs_of_blocks(*vectors.packed_blocks(rows)).select(F.explode("x.id").alias("a"), "y").select("a", F.explode("y.id").alias("b"))
+        met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        blocks = vectors.block_count(n)
+        assert blocks <= 48 and met.count() == n * (n + 1) // 2
+        assert vectors.pairs_of_blocks(*vectors.packed_blocks(rows)).count() <= blocks * (blocks + 1) // 2

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool import params as P
 from tidepool.operators import vectors
+from tidepool.plans.stored import stored
 
 
 def axes(members: DataFrame, key: str) -> DataFrame:
@@ -47,11 +48,11 @@ def blast_radius(rows: DataFrame, clusters: DataFrame, candidates: DataFrame, ta
 
     rows: id, v. clusters: id, key. candidates: key.
     """
-    labelled = rows.join(clusters, "id")
+    labelled = stored(rows.join(clusters, "id"), "clustered")
     sizes = clusters.groupBy("key").agg(F.count("*").alias("size"))
     centres = vectors.mean_vectors(labelled.join(candidates.select("key"), "key", "left_semi"), "key").select(F.col("key").cast("string").alias("name"), "c")
     counted = labelled.join(candidates.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("mass"))
     rest = labelled.join(candidates.select("key"), "key", "left_anti").join(sizes, "key").where(F.col("size") < mass).select("id", "v")
-    near = vectors.nearest_two(rest, centres, 1000).where(F.col("best_score") >= tau - margin)
+    near = vectors.nearest_two(rest, centres, 16).where(F.col("best_score") >= tau - margin)
     extra = near.groupBy(F.col("best").alias("k")).agg(F.count("*").alias("extra"))
     return counted.join(extra, F.col("key").cast("string") == F.col("k"), "left").select("key", "mass", (F.col("mass") + F.coalesce("extra", F.lit(0))).alias("reach"))

@@ -132,7 +132,7 @@ def candidate_gate(s, d):
 @add("blast_radius")
 def blast_radius(s, d):
     rows = unit(s, d).select("id", "v")
-    clusters = vectors.leaders(rows, vectors.close_pairs(rows, 0.2)).select("id", c("leader").alias("key"))
+    clusters = vectors.alike_leaders(rows, 0.2).select("id", c("leader").alias("key"))
     big = clusters.groupBy("key").agg(F.count("*").alias("n")).where("n >= 12").select("key")
     return recurrence.blast_radius(rows, clusters, big, TAU, 0.05, 8)
 
