@@ -151,3 +151,16 @@ def test_a_block_travels_to_a_fixed_number_of_others(spark, monkeypatch):
         blocks = vectors.block_count(n)
         assert blocks <= 48 and met.count() == n * (n + 1) // 2
         assert vectors.pairs_of_blocks(*vectors.packed_blocks(rows)).count() <= blocks * (blocks + 1) // 2
+
+
+def test_long_names_meet_only_lines_that_may_hold_them(spark):
+    from tidepool.operators import dictionary
+
+    names = spark.range(2000).selectExpr("concat('Customer#', lpad(cast(id as string), 9, '0')) as name")
+    sizes = dictionary.grams(names).groupBy("gram").agg(F.count("*").alias("n"))
+    lines = spark.range(500).selectExpr("id", "concat('reach: IMG_', lpad(cast(id as string), 4, '0'), case when id % 50 = 0 then concat(' in Customer#', lpad(cast(id as string), 9, '0'), '/x') else '' end) as text")
+    assert sizes.groupBy().agg(F.min("n")).first()[0] == 1
+    found = dictionary.found_in(lines, names)
+    assert {(r.id, r.name) for r in found.collect()} == {(i, f"Customer#{i:09}") for i in range(0, 500, 50)}
+    rare = dictionary.grams(names).join(sizes, "gram").groupBy("name").agg(F.min("n").alias("n"))
+    assert rare.agg(F.max("n")).first()[0] <= 10
