@@ -164,3 +164,37 @@ def test_long_names_meet_only_lines_that_may_hold_them(spark):
     assert {(r.id, r.name) for r in found.collect()} == {(i, f"Customer#{i:09}") for i in range(0, 500, 50)}
     rare = dictionary.grams(names).join(sizes, "gram").groupBy("name").agg(F.min("n").alias("n"))
     assert rare.agg(F.max("n")).first()[0] <= 10
+
+
+def test_files_of_places_are_read_once_and_summed(spark, sf_dir, monkeypatch):
+    from tidepool.operators import census
+    from tidepool.queries import QUERIES
+
+    seen, real = [], census.stored
+    monkeypatch.setattr(census, "stored", lambda df, tag: seen.append(tag) or real(df, tag))
+    found = QUERIES["place_components"](spark, sf_dir)
+    assert found.count() > 0 and "cell-days" in seen
+    assert "events.parquet" not in " ".join(found.inputFiles())
+
+
+def test_boxes_are_suppressed_without_python(spark):
+    import random
+
+    from tidepool.operators import vectors
+
+    rnd, rows = random.Random(4), []
+    for file in range(30):
+        for i in range(rnd.randint(1, 12)):
+            x, y, w, h = rnd.randint(0, 9), rnd.randint(0, 9), rnd.randint(0, 9), rnd.randint(0, 9)
+            rows.append((file, i, rnd.choice([0.1, 0.5, 0.9]), *map(float, (x, y, x + w, y + h))))
+    want, kept = set(), {}
+    for file, i, _, x0, y0, x1, y1 in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
+        for a0, b0, a1, b1 in kept.setdefault(file, []):
+            small = min((x1 - x0) * (y1 - y0), (a1 - a0) * (b1 - b0))
+            if small > 0 and max(min(x1, a1) - max(x0, a0), 0) * max(min(y1, b1) - max(y0, b0), 0) / small > 0.55:
+                break
+        else:
+            kept[file].append((x0, y0, x1, y1))
+            want.add((file, i))
+    got = vectors.suppress_boxes(spark.createDataFrame(rows, "file long, id long, score double, x0 double, y0 double, x1 double, y1 double"), "file", 0.55)
+    assert {tuple(r) for r in got.collect()} == want and "python" not in plan(got) and "inarrow" not in plan(got)
