@@ -198,3 +198,17 @@ def test_boxes_are_suppressed_without_python(spark):
             want.add((file, i))
     got = vectors.suppress_boxes(spark.createDataFrame(rows, "file long, id long, score double, x0 double, y0 double, x1 double, y1 double"), "file", 0.55)
     assert {tuple(r) for r in got.collect()} == want and "python" not in plan(got) and "inarrow" not in plan(got)
+
+
+def test_checkpoints_that_arrive_together_may_lie_in_many_files(spark, tmp_path):
+    from tidepool.streaming import rounds
+
+    rows = "dump string, checkpoint long, tiles array<long>, reopened array<long>, final boolean"
+    data = [(f"d{i % 3}", k, [k, k + 1, 20 + i % 7], [k] if i % 2 else [], k == 7) for i, k in enumerate([5, 1, 7, 2, 8, 3, 6, 4] * 3)]
+    data = list({(d, k): (d, k, *rest) for d, k, *rest in data}.values())
+    frame = spark.createDataFrame(data, rows)
+    frame.repartition(6, "checkpoint").write.parquet(f"{tmp_path}/rows")
+    found = rounds.run_gate(spark, f"{tmp_path}/rows", frame.schema, f"{tmp_path}/out")
+    want = sorted(map(tuple, rounds.gate(frame).collect()))
+    assert sorted(map(tuple, found.collect())) == want
+    assert sorted(map(tuple, rounds.streamed(frame.repartition(5)).collect())) == want

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from tidepool.plans.stored import shared_dir
+from tidepool.plans.stored import shared_dir, stored
 
 c = F.col
 FLOOR, CAP = 3, 2
@@ -72,8 +72,9 @@ def live_gate(stream: DataFrame) -> DataFrame:
 
 def run_gate(spark: SparkSession, folder: str, schema: StructType, out: str) -> DataFrame:
     """Decide what is new in folder since the last run with the same out, and return every decision so far. State and
-    table live in out; a batch that is run again overwrites its own part."""
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    table live in out; a batch that is run again overwrites its own part. All files that are new make one batch, in which
+    each dump's checkpoints are put in order, so what arrives together may lie in any number of files."""
+    source = spark.readStream.schema(schema).parquet(folder)
     result = live_gate(source)
 
     def put(batch: DataFrame, number: int) -> None:
@@ -89,10 +90,11 @@ def streamed(rows: DataFrame, parts: int = 3) -> DataFrame:
     part is a run of its own on the state that the one before left."""
     spark = rows.sparkSession
     where = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
+    rows = stored(rows, "checkpoints")  # read by the cuts and by each part
     cuts = rows.selectExpr(f"percentile_approx(checkpoint, array({', '.join(f'{k / parts}D' for k in range(1, parts))}), 1000) AS c").first().c or []
     found = None
     for low, high in zip([None, *sorted(set(cuts))], [*sorted(set(cuts)), None]):
         part = rows.where((F.lit(True) if low is None else c("checkpoint") > low) & (F.lit(True) if high is None else c("checkpoint") <= high))
-        part.repartition(1).write.mode("append").parquet(f"{where}/rows")  # one file, so one batch keeps the order
+        part.write.mode("append").parquet(f"{where}/rows")
         found = run_gate(spark, f"{where}/rows", rows.schema, where)
     return found
