@@ -212,3 +212,11 @@ def test_checkpoints_that_arrive_together_may_lie_in_many_files(spark, tmp_path)
     want = sorted(map(tuple, rounds.gate(frame).collect()))
     assert sorted(map(tuple, found.collect())) == want
     assert sorted(map(tuple, rounds.streamed(frame.repartition(5)).collect())) == want
+
+
+def test_blocks_of_a_key_reach_python_as_arrow(spark):
+    from tidepool.operators import vectors
+
+    rows = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [0.6, 0.8]), ("b", 3, [1.0, 0.0])], "k string, id long, v array<double>")
+    found = vectors.coherence(rows, "k")
+    assert {tuple(r) for r in found.collect()} == {("a", 0.6)} and "inpandas" not in plan(found)
