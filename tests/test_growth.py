@@ -220,3 +220,45 @@ def test_blocks_of_a_key_reach_python_as_arrow(spark):
     rows = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [0.6, 0.8]), ("b", 3, [1.0, 0.0])], "k string, id long, v array<double>")
     found = vectors.coherence(rows, "k")
     assert {tuple(r) for r in found.collect()} == {("a", 0.6)} and "inpandas" not in plan(found)
+
+
+def test_rows_are_matched_from_lists_not_pairs(spark, sf_dir, monkeypatch):
+    import numpy as np
+    from tidepool.operators import vectors
+    from tidepool.queries import more
+
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(size=(240, 8))
+    v[rnd.choice(240, 60, replace=False)] = v[7]
+    v[:40] = v[40] + 0.3 * v[:40]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    ids = rnd.permutation(1000)[:240]
+    cos, want, new, old = v @ v.T, [], set(), set()
+    pairs = [(-round(float(cos[i, j]), 9), int(ids[i]), int(ids[j])) for i in range(240) for j in range(240) if ids[i] < ids[j] and cos[i, j] >= 0.2]
+    for c, a, b in sorted(pairs):
+        if a not in new and b not in old:
+            want.append((a, b, -c))
+            new.add(a)
+            old.add(b)
+    rows, real = [], vectors.stored
+    monkeypatch.setattr(vectors, "stored", lambda df, tag: (lambda out: rows.append(out.count()) or out)(real(df, tag)))
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    monkeypatch.setattr(vectors, "ASKERS", 90)
+    monkeypatch.setattr(vectors, "OFFERS", 2)
+    monkeypatch.setattr(vectors, "TILE", 32)
+    monkeypatch.setattr(vectors, "FIRST", 8)
+    frame = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "id long, v array<double>")
+    monkeypatch.setattr(more, "unit", lambda s, d: frame)
+    found = more.QUERIES["prior_match"](spark, sf_dir)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and found.columns == ["new", "old", "cos"]
+    assert len(pairs) > 6000 and max(rows) <= 8 * 240
+
+
+def test_copies_are_matched_in_few_rounds(spark, monkeypatch):
+    from tidepool.operators import vectors
+
+    rounds, real = [], vectors.stored
+    monkeypatch.setattr(vectors, "stored", lambda df, tag: rounds.append(tag) or real(df, tag))
+    pairs = spark.createDataFrame([(a, b, 1.0) for a in range(12) for b in range(a + 1, 12)], "new long, old long, cos double")
+    assert {(r.new, r.old) for r in vectors.match_best_first(pairs).collect()} == {(a, a + 1) for a in range(11)}
+    assert len(rounds) <= 8

@@ -231,9 +231,7 @@ def areas(s, d):
 
 @add("prior_match")
 def prior_match(s, d):
-    rows = unit(s, d)
-    pairs = vectors.close_pairs(rows, 0.2).select(c("a").alias("new"), c("b").alias("old"), F.round("cos", 9).alias("cos"))
-    return vectors.match_best_first(pairs)
+    return vectors.match_alike(unit(s, d), 0.2)
 
 
 @add("home_stops", A.CTE + f""", p AS (SELECT folder, day, lat, lon FROM typed WHERE lat IS NOT NULL AND day IS NOT NULL), m AS (SELECT folder, day, median(lat) AS clat, median(lon) AS clon FROM p GROUP BY ALL),
